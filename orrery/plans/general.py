@@ -75,8 +75,8 @@ of_nodes AS (SELECT id, side, at_ts FROM kept k WHERE NOT starts_with(ref, 'file
 of_files AS (SELECT id, side, at_ts FROM kept k WHERE starts_with(ref, 'file:') AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.p = {_canonical("substr(k.ref, 6)")} AND s.seen <= k.at_ts)),
 spec AS (SELECT DISTINCT id, seen_at, CASE WHEN starts_with(specifier, './') OR starts_with(specifier, '../') THEN regexp_extract({_canonical("file_path")}, '^(.*)/[^/]*$', 1) || '/' || specifier
   WHEN starts_with(specifier, '@/') OR starts_with(specifier, '~/') THEN string_split({_canonical("file_path")}, '/')[1] || '/src/' || substr(specifier, 3) END AS raw FROM unresolved_refs),
-parts AS (SELECT id, seen_at, list_reduce(list_prepend([], list_transform(string_split(replace(raw, '\\', '/'), '/'), x -> [x])),
-  (acc, x) -> CASE WHEN x[1] IN ('', '.') THEN acc WHEN x[1] = '..' THEN acc[1:greatest(len(acc) - 1, 0)] ELSE list_concat(acc, x) END) AS segs FROM spec WHERE raw IS NOT NULL),
+parts AS (SELECT id, seen_at, list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(replace(raw, chr(92), '/'), '/'), lambda x: [x])),
+  lambda acc, x: CASE WHEN x[1] IN ('', '.') THEN acc WHEN x[1] = '..' THEN acc[1:greatest(len(acc) - 1, 0)] ELSE list_concat(acc, x) END) AS segs FROM spec WHERE raw IS NOT NULL),
 paths AS (SELECT id, seen_at, array_to_string(segs, '/') AS p FROM parts),
 tried AS (SELECT id, seen_at, p || unnest({_SUFFIX_LIST}) AS p FROM paths),
 of_specs AS (SELECT DISTINCT id, seen_at AS at_ts FROM paths WHERE id NOT IN (SELECT t.id FROM tried t JOIN seen s ON s.p = t.p AND s.seen <= t.seen_at)),
