@@ -41,3 +41,24 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per context, unless they have it on their path already."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_orrery_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="orrery-code-")  # read by the driver alone, which sends it to the executors
+    path = os.path.join(folder, "orrery.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.join("orrery", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._orrery_shipped = True
