@@ -24,13 +24,10 @@ def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\r?\n")).alias("p", "line")).select("key", (F.col("p") + 1).alias("line_no"), "line")
 
 
-def _count(line: Column, words: list[str]) -> Column:
-    """Whole-word occurrences."""
-    out = None
-    for w in words:
-        n = F.size(F.regexp_extract_all(line, F.lit(r"(?:^|[^A-Za-z0-9_])(" + w.replace(" ", r"\s") + r")(?![A-Za-z0-9_])"), F.lit(1)))
-        out = n if out is None else out + n
-    return out
+def _count(words: Column, wanted: list[str]) -> Column:
+    """Occurrences of single words in the words of a line."""
+    single = [w for w in wanted if " " not in w]
+    return F.size(F.filter(words, lambda x: x.isin(*single)))
 
 
 def complexity(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -40,9 +37,12 @@ def complexity(texts: DataFrame, key: str, text: str) -> DataFrame:
     base = F.min("indent").over(W.partitionBy("key"))
     level = F.least(F.floor((F.col("indent") - base) / 2), F.lit(10))
     line = F.col("line")
-    logical = F.size(F.regexp_extract_all(line, F.lit(r"&&|\|\|"), F.lit(0)))
+    pairs = lambda pattern: F.when(line.rlike(pattern), F.size(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)))).otherwise(0)
+    words = F.col("words")
     return (
-        rows.select("key", _count(line, BRANCHES).alias("b"), logical.alias("o"), (_count(line, NESTING) * (1 + level)).alias("n"), _count(line, FLAT).alias("f"))
+        rows.withColumn("level", level)
+        .withColumn("words", F.split(line, "[^A-Za-z0-9_]+"))
+        .select("key", (_count(words, BRANCHES) + pairs(r"\belse\sif\b")).alias("b"), pairs(r"&&|\|\|").alias("o"), (_count(words, NESTING) * (1 + F.col("level"))).alias("n"), _count(words, FLAT).alias("f"))
         .groupBy("key")
         .agg((F.lit(1) + F.sum(F.col("b") + F.col("o"))).alias("cyclomatic"), F.sum(F.col("n") + F.col("f") + F.col("o")).alias("cognitive"))
     )
