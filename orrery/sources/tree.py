@@ -50,7 +50,7 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """(file_path, language, size_bytes, content, content_hash) of the supported sources below root.
 
     Hidden and skipped directories and files over MOST_BYTES are left out before their bytes are read; texts that are
-    not UTF-8 are left out. In a git repository, what git ignores is left out too.
+    not UTF-8 are left out, and so are empty files, which the reader passes over. In a git repository, what git ignores is left out too.
     """
     base = Path(root).resolve().as_uri()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
