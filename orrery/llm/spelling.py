@@ -18,7 +18,7 @@ LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻]|[\U000e0000-\U000e007f]")
 _FENCE = re.compile(r"[`]{1,3}[^`\n]{1,80}[`]{1,3}")
-_ADDRESS = re.compile(r"\b[a-z]+://\S+|\b[\w.+-]+@[\w-]+\.\w+|(?:\.{1,2}|[@~])?/[\w./@-]*\w|<[\w-]+>")
+_ADDRESS = re.compile(r"\b[a-z]+://\S+|\b[\w.+-]+@[\w-]+\.\w+|(?<!\w)[\w.@~-]+(?:/[\w.@-]+){2,}|(?:\.{1,2}|[@~])?/[\w./@-]*\w|<[\w-]+>")
 _IDENTIFIER = re.compile(r"\b(?:[A-Za-z]\w*_\w+|[a-z]+\d*[A-Z]\w*|[A-Z][a-z]+[A-Z]\w*|[A-Za-z]\w*\.(?:ts|tsx|js|py|rs|go|java|sh|md|json|yml|yaml|toml|txt)|[A-Za-z]+\w*\((?=[\w\s,.)]*\)?)|v?\d+(?:[.:,-]\d+)+\w*|#?\d+(?![^\W\d_])|[0-9a-f]{7,40})\b\)?")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ .\-_*·•|/,]{1,2})[^\W\d_](?:\1[^\W\d_](?![^\W_]))+(?![^\W_])")
 _REPEAT = re.compile(r"([^\W\d_])\1+")
