@@ -38,7 +38,7 @@ PASSAGE, STRIDE = 14, 9
 LEAST_COSINE, NEAR, NEIGHBOURS, BLOCK = 0.42, 0.5, 9, 64
 FOUND = 0.5
 #: Evidence of a passage: below LOW its words say no, from HIGH on yes; from LIKELY on it is an abusive example, below LOW a clean one.
-LOW, HIGH, LIKELY = 0.3, 0.55, 0.47
+LOW, HIGH, LIKELY, PRIOR = 0.3, 0.55, 0.47, 3
 
 # Examples of abusive, hateful and sexual passages.
 _BAD = """you are a complete idiot and everybody knows it
@@ -337,10 +337,10 @@ def label_passages(docs: dict[int, tuple[int, list[str]]], idf: dict[str, float]
 
     The evidence of a passage is the mean, weighted by idf, of the shares of abusive ones among the other labelled
     documents (and seeds) with its words. Between LOW and HIGH, where words leave it open, the near passages of other
-    documents vote too. Shares are drawn to the usual share, as if two more documents had been seen.
+    documents vote too. Shares are drawn to the usual share, as if PRIOR more documents had been seen.
     """
     n_bad = sum(y for y, _ in docs.values())
-    usual_share = min(0.35, max(0.1, (n_bad + 1) / (len(docs) + 4)))
+    usual_share = min(0.25, max(0.1, (n_bad + 1) / (len(docs) + 4)))
     words: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
     for y, ps in docs.values():
         for w in {w for p in ps for w in p.split(" ")}:
@@ -359,7 +359,7 @@ def label_passages(docs: dict[int, tuple[int, list[str]]], idf: dict[str, float]
             elif y == 0:
                 good -= 1
             x = idf.get(w, usual)
-            up += x * (max(bad, 0) + 2 * usual_share) / (max(bad, 0) + max(good, 0) + 2)
+            up += x * (max(bad, 0) + PRIOR * usual_share) / (max(bad, 0) + max(good, 0) + PRIOR)
             down += x
         return up / down if down else 0.0
 
@@ -386,7 +386,7 @@ def label_passages(docs: dict[int, tuple[int, list[str]]], idf: dict[str, float]
                 seen = counts[rows].copy()
                 seen[rows == row[p], y] -= 1
                 w = cos[:, None] ** 2 * seen
-                e = (w[:, 1].sum() + 2 * usual_share) / (w.sum() + 2)
+                e = (w[:, 1].sum() + PRIOR * usual_share) / (w.sum() + PRIOR)
             judged[p, y] = e
     examples: dict[str, tuple[int, int | None]] = {}
     for t in SEEDS_GOOD:
