@@ -94,17 +94,26 @@ def direct_orphans(edges: DataFrame, unresolved: DataFrame, nodes: DataFrame, ha
     return of_edges.unionByName(of_imports).distinct()
 
 
+def orphan_records(edges: DataFrame, orphans: DataFrame) -> DataFrame:
+    """(ref): what the orphan references of `edges` mean, whatever their edge type and side."""
+    refs = edge_references(edges)
+    lost = orphans.where(F.col("src_table") == "edges").select(F.col("ref_id").alias("__id"), F.col("side").alias("__side"), F.col("at").alias("__at"))
+    same = (F.col("ref_id") == F.col("__id")) & (F.col("side") == F.col("__side")) & F.col("at").eqNullSafe(F.col("__at"))
+    return refs.join(lost, same, "left_semi").select("ref").distinct()
+
+
 def cascade(edges: DataFrame, orphans: DataFrame, child_types: tuple[str, ...] = ("contains",), max_rounds: int = 50) -> DataFrame:
     """Records orphaned by inheritance: (node_id, depth, kind).
 
-    An edge of a child type with an orphan source makes its target an inherited orphan of depth 1, whose own children
-    follow. Each round is a semi-join with the last round's records and an anti-join with all earlier ones, and is
-    written to the checkpoint folder. Sources that are orphans themselves come out with depth 0 and kind `direct`.
+    The children (targets of edges of a child type) of a record that any orphan reference of `edges` means are inherited
+    orphans of depth 1, and their own children follow. Each round is a semi-join with the last round's records and an
+    anti-join with all earlier ones, and is written to the checkpoint folder. Parents that are orphans themselves come out
+    with depth 0 and kind `direct`; orphans without children only where another's children hold them.
     """
     links = edges.where(F.col("type").isin(*child_types) & F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
-    broken = links.join(orphans.where((F.col("src_table") == "edges") & (F.col("side") == "source")).select(F.col("ref_id").alias("id")).distinct(), "id", "left_semi")
     pairs = links.select("source_id", "target_id").distinct()
-    found = cut(broken.select(F.col("source_id").alias("node_id"), F.lit(0).alias("depth")).distinct())
+    parents = pairs.select(F.col("source_id").alias("ref"))
+    found = cut(orphan_records(edges, orphans).join(parents, "ref", "left_semi").select(F.col("ref").alias("node_id"), F.lit(0).alias("depth")))
     frontier = found
     for depth in range(1, max_rounds + 1):
         step = pairs.join(frontier.select(F.col("node_id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("node_id")).distinct()
@@ -117,11 +126,19 @@ def cascade(edges: DataFrame, orphans: DataFrame, child_types: tuple[str, ...] =
     return found.withColumn("kind", F.when(F.col("depth") == 0, "direct").otherwise("inherited"))
 
 
-def orphan_report(edges: DataFrame, orphans: DataFrame, inherited: DataFrame) -> DataFrame:
-    """Counts per table and month: direct orphan references, and references to or from records orphaned by inheritance."""
+def orphan_report(edges: DataFrame, orphans: DataFrame, inherited: DataFrame, unresolved: DataFrame | None = None) -> DataFrame:
+    """Counts per table and month: direct orphan references, and references to or from records orphaned by inheritance.
+
+    A row of `unresolved` whose source_id is an orphan record, direct or inherited, counts as inherited. That's besides its
+    specifier, which is a reference of its own.
+    """
     month = F.date_format("at", "yyyy-MM").alias("month")
     direct = orphans.groupBy("src_table", month, F.lit("direct").alias("kind")).agg(F.count(F.lit(1)).alias("n_refs"))
     refs = edge_references(edges).distinct()
     via = refs.join(inherited.where("kind = 'inherited'").select(F.col("node_id").alias("ref")), "ref", "left_semi")
-    via = via.join(orphans.where("src_table = 'edges'").select("ref_id", "side"), ["ref_id", "side"], "left_anti")
-    return direct.unionByName(via.groupBy(F.lit("edges").alias("src_table"), month, F.lit("inherited").alias("kind")).agg(F.count(F.lit(1)).alias("n_refs")))
+    via = via.join(orphans.where("src_table = 'edges'").select("ref_id", "side"), ["ref_id", "side"], "left_anti").select(F.lit("edges").alias("src_table"), "at")
+    if unresolved is not None:
+        lost = orphan_records(edges, orphans).unionByName(inherited.select(F.col("node_id").alias("ref")))
+        own = unresolved.select(F.col("id").alias("ref_id"), F.col("source_id").alias("ref"), F.col("seen_at").alias("at")).distinct()
+        via = via.unionByName(own.join(lost, "ref", "left_semi").select(F.lit("unresolved_refs").alias("src_table"), "at"))
+    return direct.unionByName(via.groupBy("src_table", month, F.lit("inherited").alias("kind")).agg(F.count(F.lit(1)).alias("n_refs")))

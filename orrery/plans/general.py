@@ -46,7 +46,7 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     from orrery.session import cut
 
     direct = cut(_orphans(spark, folder))
-    return orphans.orphan_report(edges, direct, orphans.cascade(edges, direct))
+    return orphans.orphan_report(edges, direct, orphans.cascade(edges, direct), table(spark, folder, "unresolved_refs"))
 
 
 def p7_cascade(spark: SparkSession, folder: str) -> DataFrame:

@@ -121,3 +121,20 @@ def test_orphans(spark):
     assert report["edges", "direct"] == 11 and report["unresolved_refs", "direct"] == 2
     empty = orphans.direct_orphans(edges.limit(0), refs.limit(0), nodes.limit(0), hashes.limit(0))
     assert empty.count() == 0 and orphans.cascade(edges.limit(0), empty).count() == 0
+
+
+def test_cascade_from_any_orphan(spark):
+    """A record that is an orphan through another edge type, or as a target, passes it on to its children by older edges."""
+    nodes = spark.createDataFrame([(i, ts(0), ts(10) if i in ("gone", "aim") else None) for i in ("gone", "aim", "a", "b", "c", "live", "d")], "id string, indexed_at timestamp_ntz, deleted_at timestamp_ntz")
+    edges = spark.createDataFrame(
+        [(1, "gone", "a", "contains", ts(5)), (2, "a", "b", "contains", ts(5)), (3, "gone", "live", "calls", ts(20)), (4, "aim", "c", "contains", ts(5)), (5, "live", "aim", "calls", ts(20)), (6, "live", "d", "contains", ts(5))],
+        "id long, source_id string, target_id string, type string, indexed_at timestamp_ntz",
+    )
+    hashes = spark.createDataFrame([("r/x.ts", ts(0))], "file_path string, indexed_at timestamp_ntz")
+    refs = spark.createDataFrame([(i, s, "lodash", "r/m.ts", ts(1)) for i, s in enumerate(("gone", "b", "c", "live", "d", None, "gone"))], "id long, source_id string, specifier string, file_path string, seen_at timestamp_ntz")
+    direct = orphans.direct_orphans(edges, refs, nodes, hashes)
+    assert {(r.ref_id, r.side) for r in direct.collect()} == {(3, "source"), (5, "target")}
+    fall = orphans.cascade(edges, direct)
+    assert {(r.node_id, r.depth, r.kind) for r in fall.collect()} == {("gone", 0, "direct"), ("aim", 0, "direct"), ("a", 1, "inherited"), ("b", 2, "inherited"), ("c", 1, "inherited")}
+    report = {(r.src_table, r.kind): r.n_refs for r in orphans.orphan_report(edges, direct, fall, refs.unionByName(refs)).collect()}
+    assert report == {("edges", "direct"): 2, ("edges", "inherited"): 4, ("unresolved_refs", "inherited"): 4}
