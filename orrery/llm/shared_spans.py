@@ -152,6 +152,8 @@ class SharedSpans:
 
     def __init__(self, nodes: DataFrame):
         self.rows = classes(nodes.select("id", "body"))
+        #: The records that classes() leaves out, as they can't share anything.
+        self.short = nodes.where(F.col("id").isNotNull() & (F.col("body").isNull() | (F.length("body") < LENGTH))).select("id", "body").distinct()
         self.members = self.rows.select("id", "c_hi", "c_lo").distinct()
         spans = self.rows.select("c_hi", "c_lo", "body").mapInArrow(_hash_runs, "h long, c_hi long, c_lo long, place long").repartition(F.col("h"))
         shared = spans.groupBy("h").agg(F.min("c_hi").alias("a"), F.max("c_hi").alias("b")).where("a <> b").select("h")
@@ -208,15 +210,17 @@ class SharedSpans:
         return self.members.join(per_class, ["c_hi", "c_lo"]).select("id", "n_stretches", "shared_chars", "share").groupBy("id").agg(F.max("n_stretches").alias("n_stretches"), F.max("shared_chars").alias("shared_chars"), F.max("share").alias("share"))
 
     def cleaned(self) -> DataFrame:
-        """(id, text, removed_chars): bodies without the sentences that a non-first shared stretch covers.
+        """(id, text, removed_chars) of every id: bodies without the sentences that a non-first shared stretch covers.
 
-        First is the class with the least number; equal bodies are kept for the least id and emptied for the others.
+        First is the class with the least number; equal bodies are kept for the least id and emptied for the others. Null,
+        empty and shorter bodies come out as they are.
         """
         later = self.stretches.where("c_hi <> least").groupBy("c_hi", "c_lo").agg(F.collect_set("pos").alias("starts"))  # of one body
         bodies = self.rows.groupBy("c_hi", "c_lo").agg(F.first("body").alias("body"), F.min("id").alias("first_id"))
         cut = bodies.join(later, ["c_hi", "c_lo"], "left").mapInArrow(_remove, "c_hi long, c_lo long, first_id string, text string, size long")
         first = F.col("id") == F.col("first_id")
-        return self.members.join(cut, ["c_hi", "c_lo"]).select("id", F.when(first, F.col("text")).otherwise("").alias("text"), F.when(first, F.col("size") - F.length("text")).otherwise(F.col("size")).cast("long").alias("removed_chars"))
+        long = self.members.join(cut, ["c_hi", "c_lo"]).select("id", F.when(first, F.col("text")).otherwise("").alias("text"), F.when(first, F.col("size") - F.length("text")).otherwise(F.col("size")).cast("long").alias("removed_chars"))
+        return long.unionByName(self.short.select("id", F.col("body").alias("text"), F.lit(0).cast("long").alias("removed_chars")))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,6 +43,14 @@ def test_shared_spans(spark):
     assert shared_spans.SharedSpans(df.limit(0)).pairs().count() == 0
 
 
+def test_cleaned_keeps_every_id(spark):
+    long = "".join(random.Random(4).choice("abcdefghij \n;") for _ in range(400))
+    rows = [("long", long), ("copy", long), ("null", None), ("empty", ""), ("short", "x = 1\n"), ("edge", long[:199]), ("twin1", "y" * 150), ("twin2", "y" * 150), ("twin2", "y" * 150), (None, "z")]
+    got = sorted(map(tuple, shared_spans.SharedSpans(spark.createDataFrame(rows, "id string, body string")).cleaned().collect()))
+    assert [x[0] for x in got] == sorted({i for i, _ in rows if i})
+    assert [x for x in got if x[0] not in ("long", "copy")] == sorted({(i, b, 0) for i, b in rows if i not in ("long", "copy", None)})
+
+
 def test_boundaries_are_local():
     import numpy as np
 
