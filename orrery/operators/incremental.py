@@ -1,8 +1,9 @@
 """Processing only new or changed records (problem 2).
 
 A run rereads the source from the oldest transaction that was open at the last run, so that rows that became visible
-late are seen again, and removes the overlap by an anti-join of (key, version) pairs against a ledger of what was
-processed. Output and ledger of a batch become visible together, by one rename of a marker file.
+late are seen again, and removes the overlap by an anti-join against a ledger of what was processed. A version may come
+back (A, B, A): with a time each change is a record of its own, without one the ledger's last version of a key counts.
+Output and ledger of a batch become visible together, by one rename of a marker file.
 
 Defined results: a null key is no record; a null or blank version means the content is unknown and the record is left
 out; repeated rows count once; of rows with the same time the greatest tie-break wins; empty tables give empty results.
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.paths import canonical_hash, canonical_path
@@ -94,22 +95,51 @@ class IncrementalProcessor:
 
     def _read(self, what: str) -> DataFrame | None:
         done = [f"{self.root}/{what}/batch={n}" for n in self.batches()]
-        return self.spark.read.option("basePath", f"{self.root}/{what}").parquet(*done) if done else None
+        return self.spark.read.option("basePath", f"{self.root}/{what}").option("mergeSchema", what == "ledger").parquet(*done) if done else None
 
     def ledger(self) -> DataFrame | None:
+        """(key, version, batch), and for batches run with a time also __at and __timed."""
         return self._read("ledger")
 
     def output(self) -> DataFrame | None:
         return self._read("out")
 
     def pending(self, source: DataFrame, at: str | None = None, reread_from=None) -> DataFrame:
-        """Rows to process: from the reread point on, one per (key, version), without those in the ledger."""
+        """Rows to process.
+
+        With `at`: from the reread point on, one per (key, version, at), those whose version is not that of the row before
+        in time, in the source or in the ledger, and that the ledger lacks. What was processed without a time counts as
+        processed at any time. Without `at`: one per (key, version) that the ledger lacks; and where the source has one
+        version of a key only, so that this is its state, also if the last batch with this key had another.
+        """
+        pair = [self.key, self.version]
         rows = source.where(F.col(self.key).isNotNull() & F.col(self.version).isNotNull())
-        if at is not None and reread_from is not None:
-            rows = rows.where(F.col(at) >= F.lit(reread_from))
-        rows = rows.dropDuplicates([self.key, self.version])
         ledger = self.ledger()
-        return rows if ledger is None else rows.join(ledger.select(self.key, self.version), [self.key, self.version], "left_anti")
+        if at is None:
+            rows = rows.dropDuplicates(pair)
+            return rows if ledger is None else rows.join(self._unseen(rows, ledger), pair, "left_semi")
+        if reread_from is not None:
+            rows = rows.where(F.col(at) >= F.lit(reread_from))
+        rows = rows.dropDuplicates([*pair, at])
+        story = rows.select(*pair, F.col(at).alias("__at"), F.lit(0).alias("__old"))
+        if ledger is not None and "__timed" in ledger.columns:
+            story = story.unionByName(ledger.where("__timed").select(*pair, "__at", F.lit(1).alias("__old")))
+        before = F.lag(self.version).over(Window.partitionBy(self.key).orderBy(F.col("__at").asc_nulls_first(), self.version))
+        story = story.groupBy(*pair, "__at").agg(F.max("__old").alias("__old")).withColumn("__before", before)
+        fresh = story.where((F.col("__old") == 0) & ~F.col("__before").eqNullSafe(F.col(self.version)))
+        if ledger is not None:
+            untimed = ledger.where(F.col("__timed").isNull()) if "__timed" in ledger.columns else ledger
+            fresh = fresh.join(untimed.select(*pair), pair, "left_anti")
+        fresh = fresh.select(F.col(self.key).alias("__key"), F.col(self.version).alias("__version"), "__at")
+        return rows.join(fresh, (F.col(self.key) == F.col("__key")) & (F.col(self.version) == F.col("__version")) & F.col(at).eqNullSafe(F.col("__at")), "left_semi")
+
+    def _unseen(self, rows: DataFrame, ledger: DataFrame) -> DataFrame:
+        """(key, version) of the distinct `rows` that the ledger lacks or that came back."""
+        pair = [self.key, self.version]
+        last = ledger.groupBy(self.key, "batch").agg(F.min(self.version).alias("lo"), F.max(self.version).alias("hi")).groupBy(self.key).agg(F.max(F.struct("batch", "lo", "hi")).alias("last"))
+        state = rows.groupBy(self.key).agg(F.min(self.version).alias(self.version), F.count(F.lit(1)).alias("n")).where("n = 1")
+        back = state.join(last, self.key).where((F.col("last.lo") != F.col(self.version)) | (F.col("last.hi") != F.col(self.version)))
+        return changed_pairs(rows, ledger, self.key, self.version).select(*pair).unionByName(back.select(*pair))
 
     def run(self, source: DataFrame, transform: Callable[[DataFrame], DataFrame] = lambda d: d, at: str | None = None, reread_from=None) -> int:
         """Process what is pending and commit it; returns the batch number."""
@@ -118,7 +148,8 @@ class IncrementalProcessor:
         self.pending(source, at, reread_from).write.mode("overwrite").parquet(staged)
         batch = self.spark.read.parquet(staged)
         transform(batch).write.mode("overwrite").parquet(f"{self.root}/out/batch={n}")
-        batch.select(self.key, self.version).write.mode("overwrite").parquet(f"{self.root}/ledger/batch={n}")
+        timed = [] if at is None else [F.col(at).alias("__at"), F.lit(True).alias("__timed")]
+        batch.select(self.key, self.version, *timed).write.mode("overwrite").parquet(f"{self.root}/ledger/batch={n}")
         self._fs.mkdirs(self._path(f"{self.root}/commits"))
         self._fs.create(self._path(f"{self.root}/commits/{n}"), False).close()  # fails if another run committed n
         self._fs.delete(self._path(staged), True)

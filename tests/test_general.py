@@ -61,6 +61,29 @@ def test_processor_survives_failures(spark, tmp_path):
     assert p.pending(more.unionByName(spark.createDataFrame([("z", "1", 0)], schema)), "at", 1).count() == 0
 
 
+@pytest.mark.parametrize("at", ["at", None])
+def test_processor_takes_returning_versions(spark, tmp_path, at):
+    """A -> B -> A: as a log with times, and as a snapshot without."""
+    p = incremental.IncrementalProcessor(spark, str(tmp_path), "k", "v")
+    log = [("f", "A", 1), ("g", "A", 1), ("f", "B", 2), ("f", "A", 3), ("f", "A", 4)]
+    done = []
+    for n, i in enumerate((2, 3, 4, 4, 5)):
+        rows = log[:i] if at else [*{k: (k, v, t) for k, v, t in log[:i]}.values()]
+        assert p.run(spark.createDataFrame(rows + rows, "k string, v string, at long"), at=at, reread_from=2 if at and n > 1 else None) == n
+        done.append(sorted((r.k, r.v) for r in p.output().where(f"batch = {n}").collect()))
+    assert done == [[("f", "A"), ("g", "A")], [("f", "B")], [("f", "A")], [], []]
+
+
+def test_processor_takes_all_changes_of_a_run(spark, tmp_path):
+    p = incremental.IncrementalProcessor(spark, str(tmp_path), "k", "v")
+    rows = [("f", "A", None), ("f", "B", 2), ("f", "A", 3), ("f", "A", 4)]
+    source = lambda x: spark.createDataFrame(x, "k string, v string, at long")
+    p.run(source(rows), at="at")
+    assert Counter((r.v, r.at) for r in p.output().collect()) == Counter([("A", None), ("B", 2), ("A", 3)])
+    late = source([*rows, ("f", "C", 3), ("f", "B", 5)])
+    assert sorted((r.v, r.at) for r in p.pending(late, "at").collect()) == [("A", 4), ("B", 5), ("C", 3)]
+
+
 def test_counts_of_skewed_keys(spark):
     r = random.Random(4)
     rows = [("hot" if r.random() < 0.4 else f"t{r.randint(0, 60)}", r.choice(["calls", None]), None if r.random() < 0.1 else f"s{r.randint(0, 200)}", "x") for _ in range(4000)]
