@@ -7,6 +7,9 @@ vertices beyond the seeds. Null ends are no edges. Repeated edges count once, ex
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,20 +169,29 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 100, damping:
     return out if personal is None else out.where("rank > 1e-10")
 
 
-def components(edges: DataFrame, types: list[str] | None = None, max_rounds: int = 500) -> DataFrame:
+def _rounds(most: int | None) -> Iterator[int]:
+    """Numbers of rounds without end; an error where `most` rounds gave no fixpoint."""
+    for n in itertools.count():
+        if n == most:
+            raise RuntimeError(f"no fixpoint after {most} rounds")
+        yield n
+
+
+def components(edges: DataFrame, types: list[str] | None = None, max_rounds: int | None = None) -> DataFrame:
     """(id, component) of the strongly connected components of two vertices or more; component is their least id.
 
     Vertices without an edge in or out are trimmed; the least id that reaches a vertex colours it; what reaches the root
-    of its colour, inside the colour, is a component. The rest goes on without it.
+    of its colour, inside the colour, is a component. The rest goes on without it. All loops run to the fixpoint, which each
+    reaches; with `max_rounds` there's an error where one needs more.
     """
     left = cut(links(edges, types).where("src <> dst"))
     found = None
-    for _ in range(max_rounds):
+    for _ in _rounds(max_rounds):
         left, rest = _trim(left, max_rounds)
         if rest == 0:
             break
         colour = cut(left.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")))
-        for _ in range(max_rounds):
+        for _ in _rounds(max_rounds):
             offered = left.join(colour.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("offer"))
             new = cut(colour.join(offered, "id", "left").select("id", F.least("colour", F.coalesce("offer", "colour")).alias("colour"), (F.col("offer") < F.col("colour")).alias("changed")))
             stop = new.where("changed").isEmpty()
@@ -191,7 +203,7 @@ def components(edges: DataFrame, types: list[str] | None = None, max_rounds: int
         )
         member = cut(colour.where("id = colour"))
         frontier = member
-        for _ in range(max_rounds):
+        for _ in _rounds(max_rounds):
             step = inside.join(frontier.select(F.col("id").alias("dst"), "colour"), ["dst", "colour"], "left_semi").select(F.col("src").alias("id"), "colour").distinct()
             frontier = cut(step.join(member.select("id"), "id", "left_anti"))
             if frontier.isEmpty():
@@ -207,10 +219,10 @@ def components(edges: DataFrame, types: list[str] | None = None, max_rounds: int
     return found.join(found.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", F.col("least").alias("component"))
 
 
-def _trim(left: DataFrame, max_rounds: int) -> tuple[DataFrame, int]:
+def _trim(left: DataFrame, max_rounds: int | None) -> tuple[DataFrame, int]:
     """Edges between vertices that have both an edge in and an edge out, to the fixpoint; their number."""
     n = left.count()
-    for _ in range(max_rounds):
+    for _ in _rounds(max_rounds):
         if n == 0:
             break
         heads, tails = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()

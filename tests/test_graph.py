@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from orrery.operators import graph
 
 SCHEMA = "source_id string, target_id string, type string"
@@ -82,3 +84,10 @@ def test_impact_and_empty(spark):
     none = e.limit(0)
     assert graph.cycles(none).count() == 0 and graph.bfs(none, ids(spark, "a"), 3).count() == 1
     assert {r.vertex_type for r in graph.vertices(nodes, e).collect()} == {"symbol", "file"}
+
+
+def test_components_meet_no_silent_bound(spark):
+    e = make(spark, [(f"v{i}", f"v{(i + 1) % 6}") for i in range(6)])
+    with pytest.raises(RuntimeError):
+        graph.components(e, max_rounds=3)
+    assert {(r.component, r["size"]) for r in graph.cycles(e).collect()} == {("v0", 6)}
