@@ -1,9 +1,11 @@
 """Generated, minified or vendored source files and data blobs (problem 6): thresholds on layout statistics per language.
 
 Each node's body gives the longest and the mean line, the shares of white space, of letters and digits, of numeric
-literals, of long encoded runs and of long dense lines. They are summed per file, combined before the shuffle, so a file
-with a third of all nodes is no burden, and held against the thresholds of the file's language. Two more signs come
-before them: the place in the tree, and a banner comment at the head of a body that says how the file came about.
+literals, of encoded text (across quotes, escapes and line ends) and of long dense lines. They are summed per file,
+combined before the shuffle, so a file with a third of all nodes is no burden, and held against the thresholds of the
+file's language. Two more signs come before them: the place in the tree, and a banner: a comment at the head of a body, of
+any length, with several kinds of evidence that the file was made from something or copied from somewhere (the word for
+it, the tool, the source, a checksum, the order not to edit it).
 
 Defined results: a null path is no file; a null or empty body has no statistics; repeated rows of a node only weigh more;
 a file without nodes is judged by its path; the language of most characters counts (of equals, the first by name).
@@ -29,44 +31,85 @@ VENDOR_PATH = "(?:^|/)(?:" + "|".join(VENDOR_DIRS) + ")/|^[^/]+/(?:" + "|".join(
 GENERATED_PATH = "(?:^|/)(?:" + "|".join(GENERATED_DIRS) + ")/|^[^/]+/(?:" + "|".join(ROOT_GENERATED_DIRS) + r")/|(?:[._]generated|\.gen|_gen|\.g|_pb2|_pb2_grpc|\.pb|\.pb\.gw|_pb|_grpc_pb|\.designer|\.autogen)\.\w+$|(?:^|/)zz_generated\.[^/]*$|\.pb\.(?:cc|h)$"
 MINIFIED_PATH = r"[.-]min\.(?:js|mjs|cjs|css|jsx|ts)$|\.(?:bundle|chunk|umd\.min|packed)\.(?:js|mjs|cjs)$|^[^/]+/(?:" + "|".join(BUILD_DIRS) + ")/"
 
-COMMENT = r"(?://+!?|/\*+!?|#+!?|--|;+|<!--|\(\*|\"\"\"|''')"
-# What a banner comment of a generated file says.
-GENERATED_BANNERS = [
-    r"@generated\b",
-    r"<auto-?generated",
-    r"auto-?generated\b(?! (?:ids?|keys?|names?|values?)\b)",
-    r"code generated by \S.*do not (?:edit|modify)",
-    r"(?:this (?:file|code|module|class) )?(?:was |is |has been )?(?:automatically|machine|auto)[- ](?:generated|written|produced|created)",
-    r"this (?:file|code|module|source) (?:was|is|has been) (?:generated|produced|emitted|created) (?:by|from|with|using)\b",
-    r"generated (?:by|from|with|using) .*(?:do not (?:edit|modify|change)|changes will be lost|by hand)\W*$",
-    r"(?:do not|don't) (?:edit|modify)\W+(?:this file|generated|auto)",
-    r"(?:diese datei|dieser code) wurde (?:automatisch )?(?:generiert|erzeugt)",
-    r"(?:fichier|code) (?:généré|genere) automatiquement",
-    r"(?:archivo|código|codigo) generado automáticamente",
-    r"自動生成|自动生成",
-]
-# What a banner comment of a copy says.
-VENDORED_BANNERS = [
-    r"vendored (?:from|copy of)\b",
-    r"third[- ]party: *\S+@",
-    r".*\bupstream copy\b",
-    r"(?:copied|imported|taken) verbatim from\b",
-    r"\S+ v\d+\.\d+\.\d+ *(?:\||-|,) *(?:\(c\)|©|copyright)",
-]
-HEAD = r"(?i)\A(?:[^\n]*\n){0,2}\s*" + COMMENT + r"\s*[-*=!]*\s*"
-
-# Fixed values, by language: `encoded` and `numeric` are the shares of a node's characters from which it is a blob,
-# `blob` and `dense` the shares of a file's characters in blobs and in long dense lines from which it is no hand-written
-# source, and `longest` is the length of a line that no hand writes. Shell and Java lines are longer by custom.
+# Lines that belong to a comment at the head of a body (attributes and preprocessor lines don't).
+COMMENT_LINE = r"""^\s*(?://|#(?!!?\[|include\b|define\b|if|pragma\b)|--|;|/\*|\*|<!--|"{3}|'{3}|\(\*|%)|^\s*$"""
+COMMENT_START = r"""^\s*(?://|#|--|;|/\*|\*|<!--|"{3}|'{3}|\(\*|%)"""
+COMMENT_BLOCK = r"""(?s)\A\s*(/\*.*?\*/|<!--.*?-->|"{3}.*?"{3}|'{3}.*?'{3})"""
+
+# What a banner is made of. No phrase alone makes one: a line of the head comment starts with one of the first words, and
+# several kinds of evidence meet. The words of each kind.
+_VERBS = "generated|created|(?:re)?written|produced|emitted|compiled|built|scaffolded|rendered|erzeugt|generiert|erstellt|geschrieben|gebaut|générée?|genere|créée?|produite?|generado|creado|producido|gerado|criado|gegenereerd|сгенерирован\\w*|создан\\w*"
+_MADE = rf"\b(?:{_VERBS})\b|\boutput of\b|\b(?:compiler|generator|codegen)\s*:|自動生成|自动生成"
+_AUTOMATIC = r"\bauto[- ]?(?:generated|written|created|gen)\b|\bautomati\w+|\bautomáti\w+|\bmachine[- ](?:generated|written|made)|@generated\b|<auto-?generated|自動|自动"
+_ORDER = (
+    r"\b(?:do not|don't|never|please don't|not to be|ne pas|no|não|niet|не)\s+(?:be\s+)?(?:manually |hand[- ]?|by hand )?(?:edit|modif|chang|touch|alter|patch|éditer|edit|bewerk|редактир|измен)"
+    r"|\bnicht (?:von hand |manuell )?(?:bearbeiten|ändern|editieren)|\b(?:by|von) hand\b|\bà la main\b|\ba mano\b|\bmanual(?:ly)? (?:changes|edit)"
+    r"|\b(?:changes|edits|änderungen|modifications|cambios)\b.{0,60}\b(?:lost|overwritten|discarded|verloren|überschrieben|perdu|perdid|sobrescri)"
+    r"|\bnot (?:this|the) (?:output|file|copy|code)\b|\bregenerate\b|\bneu geschrieben\b|手動で|勿编辑|请勿|編集しない"
+)
+_SOURCE = r"\b[\w./-]+\.(?:proto|idl|schema|toml|ya?ml|json|xml|xsd|wsdl|thrift|graphql|avsc|fbs|g4|tmpl|tpl|template|in|sql|csv|def|spec)\b"
+_TOOL = rf"(?:{_VERBS})\W+(?:\S+\W+){{0,3}}?(?:by|with|using|via|mit|von|durch|par|avec|con|por|door)\s+\S|\b(?:compiler|generator|tool)\s*[:=]|\(\s*[a-z][\w.-]+\s*\)\W*$|`[^`\n]+`|\b[a-z][\w-]+ v?\d+\.\d+"
+_SELF = r"\b(?:this|diese[rs]?|ce(?:tte)?|est[ea]|dit) (?:file|code|module|source|output|class|script|datei|modul|quelltext|fichier|classe|archivo|módulo|código|bestand)\b|\bcode generated\b"
+_CHECKSUM = r"\b(?:checksum|sha-?\d+|md5|digest|crc|prüfsumme)\b\W*[0-9a-f]{4,}"
+_GENERATED_START = rf"(?m)^\W*(?:{_SELF}|{_MADE}|{_AUTOMATIC}|{_ORDER}|(?:source|code|file|bindings|input|quelle)\b)"
+
+_COPIED = r"\bvendored\b|\bthird[- ]party\b|\b(?:copied|imported|mirrored|forked|taken|bundled|übernommen|kopiert|copié|copiado)\b|\bcopy of\b|\bupstream\b|\bverbatim\b"
+_PACKAGE = r"[\w@./-]*\w(?:@| v?| release | version )\d+\.\d+"
+_ORIGIN = r"\b(?:from|of|aus|von|de|desde)\s+(?:the\s+)?\S|https?://|\bupstream\b|\b(?:project|repository)\b"
+_OWNER = r"\(c\)|©|\bcopyright\b|\bcontributors\b|\blicen[sc]e"
+_LEAVE = r"\b(?:do not|don't|never|nicht|ne pas|no)\s+(?:patch|edit|modif|chang|touch)|\bunmodified\b|\bverbatim\b|\bunverändert\b|\blocal(?:ly)? (?:changes|patch)"
+_PACKAGE_START = rf"(?m)^\W*{_PACKAGE}"
+
+# Fixed values, by language. Of a node: the shares of its characters in encoded text and in numeric literals from which it
+# is a blob. Of a file: the share of its characters in blobs; the length of a line that no hand writes, with the share of
+# characters in long dense lines; the mean line, white space and alphanumeric share beyond which code is minified. They lie
+# between the hand-written and the other files of each language; `layout_error` gives the error on files that path or
+# banner tell of.
 THRESHOLDS = {
-    "": {"longest": 300, "dense": 0.3, "encoded": 0.4, "numeric": 0.33, "blob": 0.2},
-    "javascript": {"longest": 300, "dense": 0.2, "encoded": 0.4, "numeric": 0.33, "blob": 0.2},
-    "bash": {"longest": 400, "dense": 0.3, "encoded": 0.45, "numeric": 0.33, "blob": 0.2},
-    "java": {"longest": 350, "dense": 0.3, "encoded": 0.4, "numeric": 0.33, "blob": 0.2},
+    "": {"longest": 300, "dense": 0.3, "encoded": 0.4, "numeric": 0.33, "blob": 0.2, "mean": 200, "blanks": 0.05, "alphanumeric": 0.85},
+    "javascript": {"longest": 300, "dense": 0.2, "encoded": 0.4, "numeric": 0.33, "blob": 0.2, "mean": 180, "blanks": 0.055, "alphanumeric": 0.82},
+    "typescript": {"longest": 300, "dense": 0.2, "encoded": 0.4, "numeric": 0.33, "blob": 0.2, "mean": 200, "blanks": 0.055, "alphanumeric": 0.85},
+    "python": {"longest": 300, "dense": 0.3, "encoded": 0.4, "numeric": 0.36, "blob": 0.2, "mean": 200, "blanks": 0.05, "alphanumeric": 0.84},
+    "go": {"longest": 300, "dense": 0.3, "encoded": 0.4, "numeric": 0.33, "blob": 0.2, "mean": 180, "blanks": 0.05, "alphanumeric": 0.86},
+    "java": {"longest": 350, "dense": 0.3, "encoded": 0.4, "numeric": 0.33, "blob": 0.2, "mean": 180, "blanks": 0.045, "alphanumeric": 0.84},
+    "rust": {"longest": 320, "dense": 0.3, "encoded": 0.4, "numeric": 0.33, "blob": 0.2, "mean": 200, "blanks": 0.045, "alphanumeric": 0.8},
+    "bash": {"longest": 400, "dense": 0.3, "encoded": 0.45, "numeric": 0.33, "blob": 0.2, "mean": 180, "blanks": 0.045, "alphanumeric": 0.78},
 }
 _SUMS = ("size", "lines", "blanks", "alphanumeric", "numeric", "encoded", "dense", "data")
-DENSE_LINE, DENSE_BLANKS, DENSE_SIGNS, ENCODED_RUN, LEAST_BLOB = 300, 0.05, 0.15, 120, 400
+DENSE_LINE, DENSE_BLANKS, DENSE_SIGNS, LEAST_BLOB = 300, 0.05, 0.15, 400
 NUMBER = r"(?<![\w.])(?:0[xX][0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE]-?\d+)?)(?![\w.])"
+#: A key between its armour lines is a credential in code and no data.
+ARMOUR = r"(?s)-----BEGIN [^-\n]*-----[^-]*(?:-----END [^-\n]*-----)?"
+#: Text of a code, whatever quotes, escapes and line ends cut it: escaped bytes; one long run; runs on lines of their own.
+ENCODED = (
+    r"(?:\\x[0-9A-Fa-f]{2}|\\u\{?[0-9A-Fa-f]{4,6}\}?|\\[0-3][0-7]{2}){4,}"
+    r"|(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]{0,50}[0-9])[A-Za-z0-9+/=_-]{60,}"
+    r"|(?m:^)[ \t]*[\"'`]?(?=[A-Za-z+/=_-]{0,50}[0-9])[A-Za-z0-9+/=_-]{24,}[\"'`]?[ \t]*[+,;.\\&]?[ \t]*\r?(?m:$)"
+)
+
+
+def _evidence(head: Column, kinds: list[str]) -> Column:
+    """How many of the kinds stand in a head comment."""
+    out = F.lit(0)
+    for kind in kinds:
+        out = out + head.rlike("(?im)" + kind).cast("int")
+    return out
+
+
+def head_comment(body: Column, lines: Column) -> Column:
+    """The comment at the head of a body, as long as it is: all leading comment lines, and a leading block as a whole."""
+    code = F.array_position(F.transform(lines, lambda x: ~x.rlike(COMMENT_LINE)), True).cast("int")
+    leading = F.slice(lines, F.lit(1), F.when(code == 0, F.size(lines)).otherwise(code - 1))
+    return F.when(body.rlike(COMMENT_START), F.concat_ws("\n", F.regexp_extract(body, COMMENT_BLOCK, 1), F.array_join(leading, "\n"))).otherwise("")
+
+
+def banners(head: Column) -> tuple[Column, Column]:
+    """(generated, vendored): whether a head comment says that the file was made from something, or copied."""
+    marked = head.rlike("(?i)@generated\\b|<auto-?generated")
+    made = head.rlike("(?i)" + _GENERATED_START) & (head.rlike(f"(?i){_MADE}|{_AUTOMATIC}")) & (_evidence(head, [_AUTOMATIC, _ORDER, _SOURCE, _TOOL, _SELF, _CHECKSUM]) >= 2)
+    copied = head.rlike("(?i)" + _COPIED) & (_evidence(head, [_PACKAGE, _ORIGIN, _OWNER, _LEAVE]) >= 2)
+    named = head.rlike("(?i)" + _PACKAGE_START) & head.rlike("(?i)" + _OWNER)
+    return marked | made, copied | named
 
 
 def layout(nodes: DataFrame) -> DataFrame:
@@ -80,12 +123,13 @@ def layout(nodes: DataFrame) -> DataFrame:
         F.lit(0),
         lambda acc, x: acc + F.when((F.length(F.regexp_replace(x, r"\s+", "")) >= F.length(x) * (1 - DENSE_BLANKS)) & (F.length(F.regexp_replace(x, "[A-Za-z0-9]+", "")) >= F.length(x) * DENSE_SIGNS), F.length(x)).otherwise(0),
     )
-    banner = lambda some: body.rlike(HEAD + "(?:" + "|".join(some) + ")")
-    long_line = F.col("longest") >= 100  # else no run is long enough
+    open_ = F.when(body.contains("-----BEGIN "), F.regexp_replace(body, ARMOUR, "")).otherwise(body)
+    generated, vendored = banners(F.col("__head"))
+    has_head = F.col("__head").rlike(r"\w")
     return (
         nodes.where(F.col("file_path").isNotNull() & (size > 0))
-        .select(canonical_path(F.col("file_path")).alias("file_path"), F.lower(F.coalesce("language", F.lit(""))).alias("language"), body, size.alias("size"), lines.alias("__lines"))
-        .withColumn("longest", F.array_max(F.transform("__lines", lambda x: F.length(x))))
+        .select(canonical_path(F.col("file_path")).alias("file_path"), F.lower(F.coalesce("language", F.lit(""))).alias("language"), body, size.alias("size"), lines.alias("__lines"), open_.alias("__open"))
+        .withColumns({"longest": F.array_max(F.transform("__lines", lambda x: F.length(x))), "__head": head_comment(body, F.col("__lines"))})
         .select(
             "file_path",
             "language",
@@ -95,10 +139,10 @@ def layout(nodes: DataFrame) -> DataFrame:
             without(r"\s+").alias("blanks"),
             without("[A-Za-z0-9]+").alias("alphanumeric"),
             F.when(body.rlike(r"\d\S*[^\w.]+\S*\d"), without(NUMBER)).otherwise(0).alias("numeric"),
-            F.when(long_line, without("[A-Za-z0-9+/=_-]{%d,}" % ENCODED_RUN)).otherwise(0).alias("encoded"),
+            (F.length("__open") - F.length(F.regexp_replace("__open", ENCODED, ""))).alias("encoded"),
             dense.alias("dense"),
-            banner(GENERATED_BANNERS).alias("generated_banner"),
-            banner(VENDORED_BANNERS).alias("vendored_banner"),
+            (has_head & generated).alias("generated_banner"),
+            (has_head & vendored).alias("vendored_banner"),
         )
         .withColumn("data", F.when((F.col("size") >= LEAST_BLOB) & ((F.col("encoded") >= F.col("size") * _threshold("encoded")) | (F.col("numeric") >= F.col("size") * _threshold("numeric"))), F.col("size")).otherwise(0))
     )
@@ -137,6 +181,7 @@ def classify_files(hashes: DataFrame, nodes: DataFrame) -> DataFrame:
         ("data", "encoded runs", (share("data") >= _threshold("blob")) & (F.col("encoded") > F.col("numeric"))),
         ("data", "numeric literals", share("data") >= _threshold("blob")),
         ("minified", "dense lines", (F.col("longest") >= _threshold("longest")) & (share("dense") >= _threshold("dense"))),
+        ("minified", "layout", (F.col("size") / F.col("lines") >= _threshold("mean")) & (share("blanks") <= _threshold("blanks")) & (share("alphanumeric") <= _threshold("alphanumeric"))),
     ]
     pick = lambda at: F.coalesce(*[F.when(F.coalesce(r[2], F.lit(False)), F.lit(r[at])) for r in rules])
     return files.join(file_statistics(nodes), "file_path", "left").select(
@@ -148,3 +193,12 @@ def classify_files(hashes: DataFrame, nodes: DataFrame) -> DataFrame:
         *[F.round(share(c), 4).alias(f"{c}_share") for c in ("blanks", "alphanumeric", "numeric", "encoded", "dense", "data")],
         F.round(F.col("size") / F.col("lines"), 2).alias("mean_line"),
     )
+
+
+def layout_error(kinds: DataFrame) -> DataFrame:
+    """(language, files, flagged): of the files in `kinds` that neither path nor banner tells of, how many the layout flags.
+
+    With (reason = 'path' or 'banner') as known cases and the rest as hand-written, this shows where the thresholds lie.
+    """
+    told = F.col("reason").isin("path", "banner")
+    return kinds.where(F.col("language").isNotNull() & ~F.coalesce(told, F.lit(False))).groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("kind") != "hand-written").alias("flagged"))

@@ -175,6 +175,26 @@ def test_provenance(spark):
     assert provenance.classify_files(hashes.limit(0), nodes).count() == 0 and provenance.classify_files(hashes, nodes.limit(0)).count() == len(cases)
 
 
+def test_banners_and_blobs(spark):
+    code = "def f(x):\n    return x + 1\n" * 12
+    bytes_ = "".join(f'  "{"".join(chr(92) + "x" + format(i * 7 % 256, "02x") for i in range(k, k + 14))}"\n' for k in range(0, 280, 14))
+    wrapped = "".join(f'  "{"Ab9+kQz3" * 9}" +\n' for _ in range(12))
+    cases = {
+        "made from": ("# Built from tables.g4 with parsegen; edit the grammar, not this file\n" + code, "generated"),
+        "ordered": ("# Never edit by hand: emitted by linkgen 2.4\n" + code, "generated"),
+        "long licence": ("".join(f"# licence line {i}\n" for i in range(40)) + "# This module was created automatically by wiregen.\n" + code, "generated"),
+        "block": ("/*\n  Licence\n\n  Ce fichier est généré automatiquement par wiregen. Ne pas modifier.\n*/\n" + code, "generated"),
+        "copied": ("# Imported from the ropes project, version 2.11; do not change\n" + code, "vendored"),
+        "mentions": ("# generated keys live in the cache\n" + code, "hand-written"), "below": (code + "# Code generated by x. DO NOT EDIT.\n", "hand-written"), "creates": ("# Creates the index from a list of names.\n" + code, "hand-written"), "edits": ("# Do not change the order of these calls.\n" + code, "hand-written"),
+        "bytes": ("T = (\n" + bytes_ + ")\n", "data"), "wrapped": ("T = (\n" + wrapped + ")\n", "data"), "key": ("def f():\n  k = `-----BEGIN PRIVATE KEY-----\n" + "Ab9+kQz3" * 8 + "\n" + "Ab9+kQz3" * 8 + "\n-----END PRIVATE KEY-----`\n" + "  g(k)\n" * 40, "hand-written"),
+        "one digest": (code + 'd = "' + "ab12" * 16 + '"\n', "hand-written"), "comment only": ("# a\n" * 30_000, "hand-written"),
+    }
+    nodes = spark.createDataFrame([(f"r/src/{p}.py", "python", b) for p, (b, _) in cases.items()], "file_path string, language string, body string")
+    kinds = provenance.classify_files(nodes.select("file_path"), nodes)
+    assert {r.file_path[6:-3]: r.kind for r in kinds.collect()} == {p: k for p, (_, k) in cases.items()}
+    assert provenance.layout_error(kinds).first().flagged == 2
+
+
 def test_mixing(spark):
     words = "alpha beta gamma delta index query graph memory ".split()
     r = random.Random(9)
