@@ -1,13 +1,11 @@
 """Credentials embedded in source code (problem 5): lexical tokens labelled by a conditional random field.
 
-A line is cut into lexical tokens of code, string literals and comments. Each token gets features of its shape and its
-context; Viterbi labels O, B and I tell exactly which characters are a credential. The field is trained here, on
-TRAINING_LINES labelled lines that a generator writes (a documented bound; no row of the data is needed for it).
+Every line of every text is cut into lexical tokens of code, string literals and comments. Each token gets features of its
+shape and its context; Viterbi labels O, B and I tell exactly which characters are a credential. The field is trained here,
+on TRAINING_LINES labelled lines that a generator writes (a documented bound; no row of the data is needed for it).
 
-A gate, one regular expression, passes every line that could hold one: a value after a telling name, user and password in
-a URL, a command or a connection string, a scheme of a header, a run with the prefix of a key, a key block. Lines
-without any of them hold nothing that tells a credential from other text, and the field isn't asked. Where a token is
-masked, a variable, or a plain word of code, the lattice has no path through B or I.
+Where a token is masked, a variable, or a plain word of code, the lattice has no path through B or I. Such tokens part a
+line into runs, and only the runs between them need features and a search; lines without any need neither.
 
 Defined results: null and empty texts have no credentials; texts are taken whole; repeated rows give one result each;
 rows with a null key are left out; empty tables give no rows; other columns aren't read.
@@ -25,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.crf import train, viterbi
+from orrery.llm.crf import best_path, emission, train
 
-TRAINING_LINES, SEED = 4000, 11
+TRAINING_LINES, SEED = 8000, 11
+#: Shorter tokens are no credentials.
+LEAST = 4
 
 # Parts of names that tell of a credential.
 TELLING = "passw|passphrase|passcode|passwd|pwd|secret|token|api_?key|apikey|access_?key|signing_?key|master_?key|private_?key|encryption_?key|license_?key|licence_?key|account_?key|auth_?key|deploy_?key|bearer|credential|kennwort|contrase|senha|mot_?de_?passe|motdepasse|wachtwoord|пароль|密码|密碼|パスワード|秘密"
@@ -42,58 +42,11 @@ _TELLING = re.compile(f"(?i)(?:{TELLING})|(?:^|[_\\-.\\[\"'$ ])(?:{TELLING_WORDS
 _DIGEST = re.compile(f"(?i)(?:{DIGESTS})")
 _LOOKUP = re.compile(f"(?i)^(?:{LOOKUPS})$")
 
-_Q = "[\"'`]"
-_NAME = rf"(?i:{TELLING}|\b(?:{TELLING_WORDS})\b|_(?:pw|pass|key|auth)\b|pass\b)[\w\-]*"
-#: Java and Python read it alike.
-GATE = "|".join(
-    [
-        r"-----BEGIN [A-Z0-9 ]*PRIVATE",
-        rf"{_NAME}[\"'\]]*[ \t]*(?::=|=>|=|:|,)[ \t]*(?:[\w.]{{1,12}}\()?[bru]?{_Q}[^\"'`\n]{{4,}}",
-        rf"(?://|#|--|\*)[^\n]*{_NAME}[ \t]*[:=][ \t]*[\"'`]?[^\s\"'`]{{6,}}",
-        rf"(?m:^)[ \t]*(?:(?:export|set|ENV|ARG)[ \t]+)?[\w.\-]*{_NAME}=[^\s\"'`(){{}}\[\]<>$][^\s\"'`(){{}}\[\]<>]{{5,}}",
-        rf"(?m:^)[ \t]*(?:- )?[\w.\-]*{_NAME}:[ \t]+[^\s\"'`(){{}}\[\]<>$,]{{6,}}[ \t]*(?m:$)",
-        r"--?[\w\-]*(?i:pass|pw|secret|token|key|auth)[\w\-]*(?:=|[ \t]+)[^\s\"'`$<{\-][^\s\"'`]{4,}",
-        r"\b(?i:basic|bearer|token|apikey|negotiate)[ \t]+[A-Za-z0-9+/=_.\-]{12,}",
-        r"[a-z][a-z0-9+.\-]*://[^\s/:@\"'`]+:[^\s/\"'`]+@",
-        r"(?i:pass(?:word)?|pwd|accountkey|sharedaccesskey)=[^\s;\"'`&$][^\s;\"'`&]{3,}",
-        r"\b(?:AKIA|ASIA)[A-Z0-9]{12,}|\bgh[pousr]_\w{10,}|\bgithub_pat_|\bxox[abpors]-|\b[a-z]{2,6}[_\-](?:live|prod|test|sec|key|pat|secret)[_\-]\w{12,}|\bsk-\w{16,}|\bAIza[\w\-]{20,}|\bglpat-|\beyJ[\w\-]{8,}\.|\bnpm_\w{20,}|\bdop_v1_|\bSG\.[\w\-]{10,}\.|\bhv[sb]\.\w{20,}|\bya29\.",
-    ]
-)
-_GATE = re.compile(GATE)
-
-# What stands, in lower case, in every line that the gate passes.
-SIGNALS = "pass pw secret token key bearer cred kennwort contrase senha wachtwoord пароль 密码 密碼 パスワード 秘密 auth psk cookie jwt otp basic negotiate :// begin akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ xox _live_ -live- _prod_ -prod- _test_ -test- _sec_ -sec- _pat_ -pat- sk- aiza glpat- eyj npm_ dop_v1_ sg. hvs. hvb. ya29.".split()
-
-
-@lru_cache(maxsize=1)
-def _signals():
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for x in SIGNALS:
-        found.add_word(x, len(x))
-    found.make_automaton()
-    return found
-
-
-def gated_lines(text: str) -> Iterator[int]:
-    """Starts of the lines that the gate passes: one pass for the signals, the gate only where there is one."""
-    small = text.lower()
-    if len(small) != len(text):  # a few letters change their length
-        small = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    stop = -1
-    for at, _ in _signals().iter(small):
-        if at < stop:
-            continue
-        start, stop = text.rfind("\n", 0, at) + 1, text.find("\n", at)
-        stop = len(text) if stop < 0 else stop
-        if _GATE.search(text, start, stop):
-            yield start
-
-
 _LITERAL = re.compile(r"\"(?:[^\"\\]|\\.)*(?:\"|$)|'(?:[^'\\]|\\.)*(?:'|$)|`[^`]*(?:`|$)")
 _COMMENT = re.compile(r"(?:(?<![:\w\"'])//|^\s*\*(?!\*)|/\*|(?:^|(?<=\s))#(?!\[)|(?:^|(?<=\s))--(?=\s)|<!--)")
 _CODE = re.compile(r"[A-Za-z_$][\w$\-]*|\d[\w.]*|:=|=>|->|[^\s\w]")
+_CODE_WORD = re.compile(r"[A-Za-z_$][\w$\-]*|\d[\w.]*")
+_NOT_CODE = re.compile(r"[\"'`#]|//|--|/\*|<!|^\s*\*")
 _INNER = re.compile(r"(?P<pem>-----(?:BEGIN|END)[ A-Z0-9]*-----)|(?P<url>[A-Za-z][A-Za-z0-9+.\-]*://)|\\[nrt]|[^\s\"'`<>(){}\[\];,|&:=\\]+={0,2}(?=[\s\"'`;,)\]}&|\\]|$)|[^\s\"'`<>(){}\[\];,|&:=\\]+|\s+|.", re.S)
 _USERINFO = re.compile(r"([^\s/:@\"'`]+):(\S+)@([\w.\-$\{\}]+(?::\d+)?)(?=[/?\s\"'`]|$)")
 _WORDS = re.compile(r"^(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[_\-./ ]?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}))*[\d]{0,3}$")
@@ -134,8 +87,11 @@ def lex(line: str) -> list[Token]:
                     p = info.end()
 
     n = len(line)
+    comment = _COMMENT.search(line)
     while at < n:
-        literal, comment = _LITERAL.search(line, at), _COMMENT.search(line, at)
+        literal = _LITERAL.search(line, at)
+        if comment and comment.start() < at:
+            comment = _COMMENT.search(line, at)
         stop = min(literal.start() if literal else n, comment.start() if comment else n)
         for m in _CODE.finditer(line, at, stop):
             out.append((m.start(), m.end(), "code"))
@@ -214,80 +170,187 @@ def _meaning(text: str) -> str:
 
 
 _SCHEME = re.compile(r"(?i)^(?:basic|bearer|token|negotiate|apikey)$")
+#: A name whose value stands on the next line.
+_OPEN_NAME = re.compile(r"([\w\-]+)[\"'\]]*\s*(?::=|=>|=|:)\s*\(?$")
 _LOOKING_UP = re.compile(r"(?i)\b(?:vault|getpass|getenv|environ|process\.env|keyring|ssm)\b|\$\{")
 _WHOLE_RUN = re.compile(r"^\s*[\"'`]?[A-Za-z0-9+/=]{40,80}[\"'`]?[,;+\\]?\s*$")
 
 
-def features(line: str, tokens: list[Token], before: str = "") -> list[list[str]]:
-    """Features of each token: its shape and its context in the line."""
+@lru_cache(maxsize=1 << 16)
+def _seen(text: str) -> tuple[tuple[str, ...], str]:
+    """(shape, meaning) of a text; many tokens come again and again."""
+    return tuple(shape(text)), _meaning(text) if len(text) > 1 or text.isalnum() else ""
+
+
+@lru_cache(maxsize=1 << 16)
+def _plain_code(text: str) -> bool:
+    """Whether a token of code is barred by itself."""
+    return len(text) < LEAST or bool(_WORDS.fullmatch(text))
+
+
+def only_plain_code(line: str) -> bool:
+    """True for lines without literals and comments whose words of code are all barred: they needn't be cut to tokens."""
+    return not _NOT_CODE.search(line) and all(map(_plain_code, _CODE_WORD.findall(line)))
+
+
+def open_tokens(line: str, tokens: list[Token]) -> list[int]:
+    """The tokens that may be a credential by themselves: neither short nor plain words of code. Many lines have none."""
+    return [i for i, (a, b, region) in enumerate(tokens) if b - a >= LEAST and not (region == "code" and _plain_code(line[a:b]))]
+
+
+#: What the features of a token come from: shape, region, meaning of the nearest telling word, meaning of the last word, what
+#: links it, then whether a scheme or an option goes before, a lookup is in the line, its literal is prose, what follows,
+#: and whether the line before goes on here or begins a key block.
+Context = tuple[tuple[str, ...], str, str, str, str, bool, bool, bool, bool, str, bool, bool]
+
+
+def contexts(line: str, tokens: list[Token], before: str = "", wanted: list[int] | None = None) -> list[Context]:
+    """The contexts of all tokens, or of the wanted ones."""
     texts = [line[a:b] for a, b, _ in tokens]
-    shapes = [shape(t) for t in texts]
     words = [i for i, t in enumerate(texts) if len(t) > 1 or t.isalnum()]
-    meanings = {i: _meaning(texts[i]) for i in words}
     looked_up = bool(_LOOKING_UP.search(line))
     previous = before.rstrip()
-    goes_on = bool(re.search(r"[\"'`]\s*(?:\+|\\|\.|,)?$", previous)) and (previous.endswith("+") or previous.endswith("\\") or previous.endswith(".")) and bool(re.match(r"\s*[\"'`+.]", line))
+    goes_on = previous.endswith(("+", "\\", ".")) and bool(re.search(r"[\"'`]\s*(?:\+|\\|\.,)?$", previous)) and bool(re.match(r"\s*[\"'`+.]", line))
     block = bool(_WHOLE_RUN.match(line)) and ("-----BEGIN" in previous or bool(_WHOLE_RUN.match(previous)))
+    named = _OPEN_NAME.search(previous)
+    above = _seen(named[1])[1] if named else ""
+    above = above if above in ("telling", "digest", "about") else ""
+    asked = range(len(tokens)) if wanted is None else wanted
+    prose = _prose(texts, tokens) if any(tokens[i][2] == "string" for i in asked) else None
     out = []
-    opened = -1
-    prose = 0
-    for i, (a, b, region) in enumerate(tokens):
+    k = 0  # words before the token
+    for i in asked:
+        region = tokens[i][2]
         t = texts[i]
-        f = ["bias", "in=" + region, *shapes[i]]
-        if region == "code" and t in "\"'`" and len(t) == 1:
+        own = _seen(t)[0]
+        if not (len(t) > 1 or t.isalnum()):
+            out.append((own, region, "", "", "", False, False, False, False, "", goes_on, block))
+            continue
+        while words[k] < i:
+            k += 1
+        key, last, link, scheme, option = "none", "none", "", False, False
+        if not k and above:
+            key = above
+        for j in reversed(words[max(0, k - 4) : k]):
+            m = _seen(texts[j])[1]
+            if m in ("telling", "digest", "about"):
+                key = m
+                break
+        if k:
+            j = words[k - 1]
+            shape_, last = _seen(texts[j])
+            link = "".join(texts[j + 1 : i])[-4:]
+            for q in "\"'`":
+                link = link.replace(q, "q")
+            scheme = region == "string" and bool(_SCHEME.match(texts[j]))
+            option = last == "telling" and "option" in shape_
+        follows = "" if i + 1 >= len(texts) else texts[i + 1] if len(texts[i + 1]) == 1 else "word"
+        out.append((own, region, key, last, link, scheme, option, looked_up, region == "string" and prose is not None and prose[i] >= 2, follows, goes_on, block))
+    return out
+
+
+def expand(c: Context) -> list[str]:
+    """The features of a token with this context."""
+    own, region, key, last, link, scheme, option, looked_up, prose, follows, goes_on, block = c
+    f = ["bias", "in=" + region, *own]
+    if key:
+        s = "|".join(x for x in own if not x.startswith(("len", "mix"))) or "odd"
+        f += ["near=" + key, "last=" + last, "link=" + link, f"near={key}|link={link}", f"near={key}|last={last}|{region}", f"near={key}|shape={s}|{region}"]
+        f += [f"{own[0]}|{own[1] if len(own) > 1 else ''}|near={key}", f"shape={s}|{region}|link={link}"]
+        if scheme:
+            f += ["after-scheme", "after-scheme|" + s]
+        if option:
+            f.append("after-option")
+        if looked_up:
+            f.append("looked-up|" + region)
+        if prose:
+            f += ["prose", f"prose|{s}"]
+        if follows:
+            f.append("next=" + follows)
+    if goes_on:
+        f.append("goes-on")
+    if block:
+        f.append("block")
+    return f
+
+
+def features(line: str, tokens: list[Token], before: str = "") -> list[list[str]]:
+    """Features of each token: its shape and its context in the line."""
+    return [expand(c) for c in contexts(line, tokens, before)]
+
+
+def _prose(texts: list[str], tokens: list[Token]) -> list[int]:
+    """For each token, the plain words of the literal that was opened last before it."""
+    out, opened, prose = [], -1, 0
+    for i, t in enumerate(texts):
+        if len(t) == 1 and t in "\"'`" and tokens[i][2] == "code":
             opened = i if opened < 0 else -1
             prose = 0
             if opened == i:
                 j = i + 1
                 while j < len(tokens) and tokens[j][2] != "code":
-                    prose += shapes[j][-1] == "words"
+                    prose += _seen(texts[j])[0][-1] == "words"
                     j += 1
-        earlier = [j for j in words if j < i][-4:]
-        if len(t) > 1 or t.isalnum():
-            key = "none"
-            for j in reversed(earlier):
-                if meanings[j] in ("telling", "digest", "about"):
-                    key = meanings[j]
-                    break
-            f.append("near=" + key)
-            last = meanings[earlier[-1]] if earlier else "none"
-            f.append("last=" + last)
-            link = "".join(x for x in texts[earlier[-1] + 1 : i]) if earlier else ""
-            link = re.sub(r"[\"'`]", "q", link)[-4:]
-            f.append("link=" + link)
-            f.append(f"near={key}|link={link}")
-            f.append(f"near={key}|last={last}|{region}")
-            s = "|".join(x for x in shapes[i] if not x.startswith(("len", "mix"))) or "odd"
-            f.append(f"near={key}|shape={s}|{region}")
-            f.append(f"{shapes[i][0]}|{shapes[i][1] if len(shapes[i]) > 1 else ''}|near={key}")
-            f.append(f"shape={s}|{region}|link={link}")
-            if earlier and _SCHEME.match(texts[earlier[-1]]) and region == "string":
-                f.append("after-scheme")
-                f.append("after-scheme|" + s)
-            if earlier and "option" in shapes[earlier[-1]] and meanings[earlier[-1]] == "telling":
-                f.append("after-option")
-            if looked_up:
-                f.append("looked-up|" + region)
-            if region == "string" and prose >= 2:
-                f.append("prose")
-                f.append(f"prose|{s}")
-            if i + 1 < len(texts):
-                f.append("next=" + (texts[i + 1] if len(texts[i + 1]) == 1 else "word"))
-        if goes_on:
-            f.append("goes-on")
-        if block:
-            f.append("block")
-        out.append(f)
+        out.append(prose)
     return out
 
 
 _BARRED = {"mask", "variable", "uuid", "digest-run", "data-url", "pem-other", "option"}
 
 
-def barred(token: list[str]) -> bool:
+def barred(c: Context) -> bool:
     """Tokens that can't be a credential whatever stands around them."""
-    words = "words" in token
-    return any(f in _BARRED or f.startswith("sign=") or (words and f.startswith("link=,")) for f in token) or ("in=code" in token and words) or ("in=comment" in token and words and not any(f.startswith("mix=") and f[6] == "1" for f in token))
+    own, region, link = c[0], c[1], c[4]
+    if f"len={_bucket(LEAST - 1)}" in own:
+        return True
+    words = "words" in own
+    if words and (region == "code" or link.startswith(",") or (region == "comment" and not any(x.startswith("mix=") and x[6] == "1" for x in own))):
+        return True
+    return any(x in _BARRED or x.startswith("sign=") for x in own)
+
+
+class Labeller:
+    """Labels the tokens of lines by the best path of the field.
+
+    Barred tokens are O on every path, so they part the line into runs whose best paths don't depend on each other, and
+    their own features don't matter. This is the Viterbi path of the whole line, not an approach to it. The weight of a
+    context is kept, as most come again: None for barred ones.
+    """
+
+    MOST = 200_000
+
+    def __init__(self, weights: dict[str, tuple[float, ...]], transitions: list[list[float]]):
+        self.weights, self.transitions = weights, transitions
+        self.known: dict[Context, list[float] | None] = {}
+
+    def weight(self, c: Context) -> list[float] | None:
+        try:
+            return self.known[c]
+        except KeyError:
+            if len(self.known) >= self.MOST:
+                self.known.clear()
+            found = self.known[c] = None if barred(c) else emission(expand(c), self.weights, len(self.transitions))
+            return found
+
+    def labels(self, line: str, tokens: list[Token], before: str) -> dict[int, int]:
+        """The label of each token that isn't O."""
+        wanted = open_tokens(line, tokens)
+        if not wanted:
+            return {}
+        kept = [(i, e) for i, e in zip(wanted, map(self.weight, contexts(line, tokens, before, wanted))) if e is not None]
+        out: dict[int, int] = {}
+        at = 0
+        while at < len(kept):
+            stop = at + 1
+            while stop < len(kept) and kept[stop][0] == kept[stop - 1][0] + 1:
+                stop += 1
+            after_o = self.transitions[0] if kept[at][0] else None
+            before_o = [row[0] for row in self.transitions] if kept[stop - 1][0] + 1 < len(tokens) else None
+            for (i, _), y in zip(kept[at:stop], best_path([e for _, e in kept[at:stop]], self.transitions, after_o, before_o)):
+                if y:
+                    out[i] = y
+            at = stop
+        return out
 
 
 # --- the generator of labelled lines ---------------------------------------------------------------------------------
@@ -301,6 +364,15 @@ _LIKE = "tokenType token_count tokenPool keyName password_field passwordLabel la
 _NEUTRAL = "value key data target remote fixture headers cookie region_id conn dsn url broker endpoint config item payload entry header id".split()
 
 
+# Words of sentences that the generator writes.
+_PROSE = [
+    "the a of returns given after still active elements that this is for each when with applies indicated".split(),
+    "die der das mit für wird nach dem angegebenen noch aktive Elemente gibt zurück wenn".split(),
+    "le la les des pour avec qui après encore actifs renvoie indiqué sont".split(),
+    "el la los que de siguen activos después aplicar devuelve indicado con".split(),
+]
+
+
 class _Writer:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -343,6 +415,21 @@ class _Writer:
             return self.chars(self.r.randint(10, 20))
         return self.pick(_NOUNS) + "-" + self.pick(_NOUNS) + "-" + str(self.r.randint(1, 999)) + self.pick("!#")
 
+    def strong(self) -> str:
+        """A password with letters of both cases, digits and a sign."""
+        word = self.pick(_NOUNS + _VERBS).title()
+        return self.pick([self.chars(self.r.randint(5, 9)) + self.pick("#%!$@&") + self.chars(self.r.randint(3, 6)), re.sub("[aeio]", lambda m: {"a": "4", "e": "3", "i": "1", "o": "0"}[m[0]], word + self.pick(_NOUNS)) + self.pick("!@#&*?") + str(self.r.randint(1, 999)), word + self.pick("!@#&*?") + self.pick(_NOUNS) + str(self.r.randint(10, 999))])
+
+    def telling(self) -> str:
+        """A name of code with a telling word in it."""
+        word = self.pick(["Token", "Key", "Secret", "Password", "Auth", "Credential", "Pass"])
+        return self.pick([self.pick(_NOUNS) + word, self.pick(_NOUNS) + self.pick(_NOUNS).title() + word, self.pick(_NOUNS) + word + self.pick(_NOUNS).title(), self.pick(_NOUNS) + "_" + word.lower()])
+
+    def prose(self) -> str:
+        """A sentence in one of several languages in which a telling word stands."""
+        words = self.pick(_PROSE)
+        return " ".join([*(self.pick(words + [self.pick(_NOUNS)]) for _ in range(self.r.randint(2, 7))), self.pick(["token", "password", "key", "secret", "credential"]), *(self.pick(words + [self.pick(_NOUNS)]) for _ in range(self.r.randint(0, 5)))]) + self.pick([".", "", ":", "?"])
+
     def prefixed(self) -> str:
         return self.pick(
             [
@@ -378,7 +465,7 @@ class _Writer:
     def positive(self) -> str:
         """A line with its credentials between control signs."""
         s = "\x01%s\x02"
-        k = self.pick([0, 1, 2, 3, 4, 5, 6, 6, 7, 8, 8, 8, 9, 10, 11, 12, 13])
+        k = self.pick([0, 1, 2, 3, 4, 5, 6, 6, 7, 8, 8, 8, 9, 10, 11, 11, 12, 13, 14])
         name = self.pick(_NAMES)
         if k <= 3:
             return self.assign(name, s % self.secret())
@@ -409,12 +496,19 @@ class _Writer:
             kind = self.pick(["RSA ", "EC ", "", "OPENSSH ", "DSA ", "ENCRYPTED "])
             begin = f"-----BEGIN {kind}PRIVATE KEY-----"
             tail = "".join("\\n" + self.b64(64) for _ in range(self.r.randint(1, 3))) + f"\\n-----END {kind}PRIVATE KEY-----" if self.r.random() < 0.5 else ""
+            if tail and self.r.random() < 0.3:  # cut off
+                return self.assign(self.pick(["pem", "key", name]), s % (begin + tail)).rsplit("\\n", 1)[0] + "\x02"
             return self.pick([self.assign(self.pick(["pem", "key", name]), s % (begin + tail)) if tail else f"{self.pick(['const ', '', 'String '])}{self.pick(['pem', name])} = `{s % begin}"])
         if k == 12:
             q = self.pick("\"'")
             a, b = self.chars(14), self.chars(14)
             end = f"{q}\x01{a}\x02{q} + {q}\x03{b}\x02{q}" if self.r.random() < 0.6 else f"{q}\x01{a}\x02{q} +"
             return f"{self.pick(['', 'const ', 'String ', 'let '])}{name} = {end}"
+        if k == 14:
+            q = self.pick("\"'")
+            user = self.pick([self.pick(_NOUNS), "admin", "root", "svc-" + self.pick(_NOUNS), self.pick(_NOUNS) + "_bot"])
+            call = self.pick(["login", "open", "connect", "authenticate", "signIn", "bind", "logon", "auth", "Credentials", "BasicAuth"])
+            return f"{self.pick(['', '  ', 'await ', 'return '])}{self.pick(['', self.pick(_NOUNS) + '.'])}{call}({q}{user}{q}, {q}{s % self.strong()}{q}){self.pick(['', ';'])}"
         return self.pick(["", "  "]) + f"{name}{self.pick(['=', ': '])}{s % self.secret()}"
 
     def negative(self) -> str:
@@ -466,6 +560,15 @@ class _Writer:
                 lambda: self.b64(64),
                 lambda: "-----END " + self.pick(["RSA ", "", "EC "]) + "PRIVATE KEY-----" + self.pick(["", "`", "`;"]),
                 lambda: f"open({n} + {q}/{self.name()}{q})",
+                lambda: f"{self.pick(['open', n, 'join', 'read'])}({self.telling()} + {q}/{self.name()}{q}){end}",
+                lambda: f"{n}.{self.pick(['set', 'get', 'put', 'emit'])}(`{self.telling()}:${{{self.name()}}}`, {self.name()}{self.pick([' ?? ' + str(self.r.randint(1, 999)), ''])}){end}",
+                lambda: self.pick(['"""%s"""', "// %s", "# %s", "/** %s */", "throw new Error('%s');", 'raise ValueError("%s")', '    help="%s",']) % self.prose(),
+                lambda: f"{self.pick(['return ' + n, n + '(' + m + ')' + end, 'let x = ' + n])} {self.pick(['//', '#'])} {self.telling()}{self.pick(['', str(self.r.randint(2, 99))])} {self.hex(self.pick([6, 7, 8, 10, 12]))}",
+                lambda: f"import {{ {self.telling()}{self.pick(_NOUNS).title()} }} from {q}{self.pick(['./', '../', '@/'])}{m}{self.r.randint(2, 99)}{q};",
+                lambda: f"echo {q}{self.prose()} ${self.telling()}{q} >> {q}{self.name()}.log{q}",
+                lambda: f"import {{ {self.telling()} }} from {q}./{self.name()}{q};",
+                lambda: f"{self.pick(_NOUNS)}.{self.pick(['open', 'connect', 'put', 'set', 'get', 'bind', 'login'])}({q}{self.pick(_NOUNS)}{q}, {q}{self.pick([self.name(), 'rb', self.pick(_NOUNS), 'utf-8', 'v2.' + str(self.r.randint(1, 30)), self.name() + '.json', '10.0.0.' + str(self.r.randint(1, 254))])}{q}){end}",
+                lambda: f"{self.telling()} = {n}.{self.name()}({q}{self.name()}{q}, {self.r.randint(1, 999)}){end}",
                 lambda: f"throw new IllegalStateException({q}{self.pick(_NOUNS)} {self.pick(_NOUNS)} {self.name()}{q});",
                 lambda: self.assign(n, f"{self.pick(_NOUNS)}/{self.name()}.{self.pick(['py', 'ts', 'json'])}"),
                 lambda: self.assign(self.pick(["version", "color", "date", n]), self.pick(["1.24.3-rc1", "#a4f3c2", "2025-04-03T10:22:01Z", "v2.13.8", "en_US.UTF-8", "application/json; charset=utf-8"])),
@@ -481,6 +584,9 @@ def training_lines(n: int = TRAINING_LINES, seed: int = SEED) -> list[tuple[str,
         if k % 25 == 0:  # a credential cut in pieces, its second line
             q = w.pick("\"'")
             raw, before = f"    {q}\x03{w.chars(14)}\x02{q}{w.pick([';', '', ''])}", f"const {w.pick(_NAMES)} = {q}{w.chars(14)}{q} +"
+        elif k % 25 == 2:  # a value below its name
+            q = w.pick("\"'")
+            raw, before = w.pick([("    " + q + "\x01" + w.secret() + "\x02" + q + w.pick([";", ",", ""]), f"{w.pick(['const ', '', 'String '])}{w.pick(_NAMES)} {w.pick(['=', ':', ':=', '= ('])}"), (f"    {q}{w.pick([w.opaque(), w.name(), 'sha256:' + w.hex(64)])}{q}", f"{w.pick(['checksum', 'etag', w.name()])} ="), (f"    {w.name()}({q}{w.name()}{q})", f"{w.pick(_NAMES)} =")])
         elif k % 25 == 1:
             raw, before = w.b64(64), w.pick(["const pem = `-----BEGIN PRIVATE KEY-----", w.b64(64)])
         else:
@@ -512,58 +618,38 @@ def model(n: int = TRAINING_LINES, seed: int = SEED):
                 y[i] = 1 if begins and k == 0 else 2
         xs.append(features(line, tokens, before))
         ys.append(y)
-    keep = [i for i, x in enumerate(xs) if len(x) <= 40]
-    return train([xs[i] for i in keep], [ys[i] for i in keep])
+    return train(xs, ys)
 
 
 def find(text: str, trained) -> list[tuple[int, int, int, bool]]:
-    """(line number, start, end, begins) of every part of a credential, offsets in the text."""
-    weights, transitions = trained
+    """(line number, start, end, begins) of every part of a credential, offsets in the text. Every line is labelled."""
+    field = trained if isinstance(trained, Labeller) else Labeller(*trained)
     out: list[tuple[int, int, int, bool]] = []
-    number, counted, done = 1, 0, -1
-    lines = gated_lines(text)
-    start = next(lines, None)
-    while start is not None:
+    start, number, before, done = 0, 0, "", -1
+    while start <= len(text):
         end = text.find("\n", start)
         end = len(text) if end < 0 else end
+        number += 1
         line = text[start:end].rstrip("\r")
-        number += text.count("\n", counted, start)
-        counted = start
-        before = text[text.rfind("\n", 0, max(0, start - 1)) + 1 : start - 1].rstrip("\r") if start else ""
-        tokens = lex(line)
-        feats = features(line, tokens, before)
-        labels = viterbi(feats, weights, transitions, [barred(f) for f in feats])
-        for (a, b, _), y in zip(tokens, labels):
-            if y:
-                if y == 2 and out and out[-1][0] == number and text[out[-1][2] : start + a].strip() in ("", ":", "=", ".", "-", "\\n"):
+        if start > done and not only_plain_code(line):
+            tokens = lex(line)
+            labels = field.labels(line, tokens, before)
+            for i in sorted(labels):
+                a, b, _ = tokens[i]
+                if labels[i] == 2 and out and out[-1][0] == number and text[out[-1][2] : start + a].strip() in ("", ":", "=", ".", "-", "\\n"):
                     out[-1] = (number, out[-1][1], start + b, out[-1][3])
                 else:
-                    out.append((number, start + a, start + b, y == 1))
-        done = end
-        following = None
-        if "-----BEGIN" in line and "PRIVATE" in line and any(y == 1 for y in labels):
-            close = text.find("-----END", start)
-            stop = text.find("-----", close + 8) + 5 if close >= 0 else len(text)
-            if stop > out[-1][2]:
-                out[-1] = (out[-1][0], out[-1][1], stop, True)
-            done = max(done, stop)
-        elif any(labels) and line.rstrip().endswith(("+", "\\", ".")) and end < len(text):
-            following = end + 1  # a credential cut in pieces goes on there
-        start = next(lines, None)
-        while start is not None and start <= done:
-            start = next(lines, None)
-        if following is not None and (start is None or following < start):
-            lines = _and_then(start, lines)
-            start = following
+                    out.append((number, start + a, start + b, labels[i] == 1))
+            if "-----BEGIN" in line and "PRIVATE" in line and 1 in labels.values():
+                close = text.find("-----END", start)
+                done = text.find("-----", close + 8) + 5 if close >= 0 else len(text)
+                if done > out[-1][2]:
+                    out[-1] = (out[-1][0], out[-1][1], done, True)
+        before = line
+        start = end + 1
     return out
 
 
-def _and_then(first: int | None, rest: Iterator[int]) -> Iterator[int]:
-    if first is not None:
-        yield first
-    yield from rest
-
-
 def redact(text: str, trained) -> str:
     """The text with each character of a credential masked; lines and lengths stay."""
     chars = list(text)
@@ -576,10 +662,11 @@ def redact(text: str, trained) -> str:
 
 def _finder(trained):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = Labeller(*trained)
         for batch in batches:
             keys, lines = [], []
             for key, text in zip(batch.column("rec_id").to_pylist(), batch.column("text").to_pylist()):
-                for n in sorted({n for n, _, _, begins in find(text, trained) if begins}):
+                for n in sorted({n for n, _, _, begins in find(text, field) if begins}):
                     keys.append(key)
                     lines.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(lines, pa.int64())], ["rec_id", "line_no"])
@@ -599,9 +686,10 @@ def redacted(df: DataFrame, key: str, text: str) -> DataFrame:
     trained = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = Labeller(*trained)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("rec_id"), batch.column("text"), pa.array([redact(t, trained) for t in texts], pa.string())], ["rec_id", "text", "redacted"])
+            yield pa.RecordBatch.from_arrays([batch.column("rec_id"), batch.column("text"), pa.array([redact(t, field) for t in texts], pa.string())], ["rec_id", "text", "redacted"])
 
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("rec_id"), F.col(text).alias("text")).where(F.length("text") > 0)
     return rows.distinct().mapInArrow(run, "rec_id string, text string, redacted string").where("text <> redacted")

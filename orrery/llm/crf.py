@@ -77,33 +77,45 @@ def train(sequences: list[list[list[str]]], labels: list[list[int]], rounds: int
     return {f: tuple(w[i].tolist()) for f, i in ids.items() if np.abs(w[i]).max() > 1e-3}, tr.tolist()
 
 
-def viterbi(features: list[list[str]], weights: dict[str, tuple[float, ...]], transitions: list[list[float]], barred: list[bool] | None = None) -> list[int]:
-    """The best labels of one line; barred tokens get O."""
-    if not features:
-        return []
-    k = len(transitions)
-    none = (0.0,) * k
-    back, best = [], None
-    for i, token in enumerate(features):
-        e = [0.0] * k
-        for f in token:
-            for y, x in enumerate(weights.get(f, none)):
+def emission(features: list[str], weights: dict[str, tuple[float, ...]], k: int) -> list[float]:
+    """The weight of each label of a token with these features."""
+    e = [0.0] * k
+    for f in features:
+        w = weights.get(f)
+        if w:
+            for y, x in enumerate(w):
                 e[y] += x
-        if barred and barred[i]:
-            e[1:] = [-1e9] * (k - 1)
-        if best is None:
-            best = e
-            continue
+    return e
+
+
+def best_path(emissions: list[list[float]], transitions: list[list[float]], start: list[float] | None = None, end: list[float] | None = None) -> list[int]:
+    """Viterbi: the best labels of a run of tokens. `start` and `end` weigh the labels at its ends."""
+    if not emissions:
+        return []
+    k = range(len(transitions))
+    best = [a + b for a, b in zip(emissions[0], start)] if start else emissions[0]
+    back = []
+    for e in emissions[1:]:
         row, new = [], []
-        for y in range(k):
-            at = max(range(k), key=lambda x: best[x] + transitions[x][y])
+        for y in k:
+            at = max(k, key=lambda x: best[x] + transitions[x][y])
             row.append(at)
             new.append(best[at] + transitions[at][y] + e[y])
         back.append(row)
         best = new
-    y = max(range(k), key=lambda x: best[x])
-    out = [y]
+    if end:
+        best = [a + b for a, b in zip(best, end)]
+    out = [max(k, key=lambda x: best[x])]
     for row in reversed(back):
-        y = row[y]
-        out.append(y)
+        out.append(row[out[-1]])
     return out[::-1]
+
+
+def viterbi(features: list[list[str]], weights: dict[str, tuple[float, ...]], transitions: list[list[float]], barred: list[bool] | None = None) -> list[int]:
+    """The best labels of one line; barred tokens get O."""
+    k = len(transitions)
+    emissions = [emission(f, weights, k) for f in features]
+    for i, no in enumerate(barred or []):
+        if no:
+            emissions[i][1:] = [-1e9] * (k - 1)
+    return best_path(emissions, transitions)
