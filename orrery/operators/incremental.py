@@ -3,7 +3,7 @@
 A run rereads the source from the oldest transaction that was open at the last run, so that rows that became visible
 late are seen again, and removes the overlap by an anti-join against a ledger of what was processed. A version may come
 back (A, B, A): with a time each change is a record of its own, without one the ledger's last version of a key counts.
-Output and ledger of a batch become visible together, by one rename of a marker file.
+Output and ledger of a batch become visible together, by the creation of one marker file.
 
 Defined results: a null key is no record; a null or blank version means the content is unknown and the record is left
 out; repeated rows count once; of rows with the same time the greatest tie-break wins; empty tables give empty results.
@@ -11,6 +11,7 @@ out; repeated rows count once; of rows with the same time the greatest tie-break
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,15 +51,6 @@ def changed_pairs(current: DataFrame, ledger: DataFrame, key: str, version: str)
     return current.join(ledger.select(key, version), [key, version], "left_anti")
 
 
-def changed_files(listing: DataFrame, hashes: DataFrame, runs: DataFrame) -> DataFrame:
-    """Files whose current content differs from what the last sound run left: (file_path, content_hash)."""
-    tidy = lambda df, *extra: df.select(canonical_path(F.col("file_path")).alias("file_path"), canonical_hash(F.col("content_hash")).alias("content_hash"), *extra)
-    current = latest(tidy(listing, "listed_at", "listing_id"), "file_path", [F.col("listed_at"), F.col("listing_id")], "content_hash")
-    sound = inside_windows(tidy(hashes, "indexed_at"), "indexed_at", runs.where(F.col("status") == "ok"), "started_at", "finished_at")
-    stored = latest(sound, "file_path", [F.col("indexed_at")], "content_hash")
-    return changed_pairs(current, stored, "file_path", "content_hash")
-
-
 def low_water_mark(runs: DataFrame) -> DataFrame:
     """One row: `reread_from`, the start of the oldest run that was open when the last sound run ended.
 
@@ -74,35 +66,86 @@ def low_water_mark(runs: DataFrame) -> DataFrame:
 class IncrementalProcessor:
     """Runs `transform` over the records that no committed batch holds, each exactly once, even if runs die.
 
-    Layout below `root`: `out/batch=N`, `ledger/batch=N` and the marker `commits/N`, written last. Folders without a
-    marker are leftovers of a run that died: they are ignored by readers and overwritten by the next run.
+    Layout below `root`: `out/KEY` and `ledger/KEY`, where KEY is new for each attempt, and the marker `commits/N` with the
+    KEY, which comes last, by one rename that fails where N is taken. So of two runs at once one wins, the other's folders
+    are never read, and those of a run that died aren't either. The file system has to have such a rename, as HDFS has.
+    `snapshots/N` names a folder with the ledger of all batches up to N.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str, version: str):
         self.spark, self.root, self.key, self.version = spark, root.rstrip("/"), key, version
         self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._context = self._hadoop.FileContext.getFileContext(self._fs.getUri(), conf)
 
     def _path(self, p: str):
         return self._hadoop.Path(p)
 
-    def batches(self) -> list[int]:
-        """Numbers of the committed batches; the list is bounded by the number of runs."""
-        folder = self._path(f"{self.root}/commits")
+    def _marks(self, what: str) -> dict[int, str]:
+        """Number -> KEY of the markers below `what`; bounded by the number of runs."""
+        folder = self._path(f"{self.root}/{what}")
         if not self._fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit())
+            return {}
+        out = {}
+        for s in self._fs.listStatus(folder):
+            if s.getPath().getName().isdigit():
+                stream = self._fs.open(s.getPath())
+                out[int(s.getPath().getName())] = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+        return out
+
+    def _mark(self, what: str, n: int, key: str) -> None:
+        """Fails if another run has marked n."""
+        self._fs.mkdirs(self._path(f"{self.root}/{what}"))
+        written = self._path(f"{self.root}/{what}/_{key}")
+        stream = self._fs.create(written, False)
+        stream.write(bytearray(key.encode()))
+        stream.close()
+        keep = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 1)
+        keep[0] = self._hadoop.Options.Rename.NONE
+        try:
+            self._context.rename(written, self._path(f"{self.root}/{what}/{n}"), keep)
+        finally:
+            self._fs.delete(written, False)
 
-    def _read(self, what: str) -> DataFrame | None:
-        done = [f"{self.root}/{what}/batch={n}" for n in self.batches()]
-        return self.spark.read.option("basePath", f"{self.root}/{what}").option("mergeSchema", what == "ledger").parquet(*done) if done else None
+    def batches(self) -> list[int]:
+        """Numbers of the committed batches."""
+        return sorted(self._marks("commits"))
 
     def ledger(self) -> DataFrame | None:
         """(key, version, batch), and for batches run with a time also __at and __timed."""
-        return self._read("ledger")
-
-    def output(self) -> DataFrame | None:
-        return self._read("out")
+        done, shots = self._marks("commits"), self._marks("snapshots")
+        last = max(shots, default=-1)
+        folders = ([f"{self.root}/ledger/{shots[last]}"] if shots else []) + [f"{self.root}/ledger/{k}" for n, k in sorted(done.items()) if n > last]
+        return self.spark.read.option("mergeSchema", True).parquet(*folders) if folders else None
+
+    def output(self, batch: int | None = None) -> DataFrame | None:
+        """What the committed batches gave, or one of them."""
+        folders = [f"{self.root}/out/{k}" for n, k in sorted(self._marks("commits").items()) if (batch is None or n == batch) and self._fs.exists(self._path(f"{self.root}/out/{k}"))]
+        return self.spark.read.parquet(*folders) if folders else None
+
+    def compact(self) -> None:
+        """Write the ledger of all committed batches into one folder, so that later runs read that and what follows."""
+        done, ledger = self.batches(), self.ledger()
+        if ledger is None or done[-1] in self._marks("snapshots"):
+            return
+        key = uuid.uuid4().hex
+        ledger.distinct().write.parquet(f"{self.root}/ledger/{key}")
+        self._mark("snapshots", done[-1], key)
+
+    def adopt(self, processed: DataFrame, at: str | None = None) -> int:
+        """Commit a batch of (key, version) that another process is known to have processed; it has no output."""
+        return self._commit(processed, at, uuid.uuid4().hex, self._next())
+
+    def _next(self) -> int:
+        return max(self._marks("commits"), default=-1) + 1
+
+    def _commit(self, processed: DataFrame, at: str | None, key: str, n: int) -> int:
+        timed = [] if at is None else [F.col(at).alias("__at"), F.lit(True).alias("__timed")]
+        processed.select(self.key, self.version, F.lit(n).alias("batch"), *timed).write.parquet(f"{self.root}/ledger/{key}")
+        self._mark("commits", n, key)
+        return n
 
     def pending(self, source: DataFrame, at: str | None = None, reread_from=None) -> DataFrame:
         """Rows to process.
@@ -142,15 +185,32 @@ class IncrementalProcessor:
         return changed_pairs(rows, ledger, self.key, self.version).select(*pair).unionByName(back.select(*pair))
 
     def run(self, source: DataFrame, transform: Callable[[DataFrame], DataFrame] = lambda d: d, at: str | None = None, reread_from=None) -> int:
-        """Process what is pending and commit it; returns the batch number."""
-        n = max(self.batches(), default=-1) + 1
-        staged = f"{self.root}/staged/{n}"
-        self.pending(source, at, reread_from).write.mode("overwrite").parquet(staged)
-        batch = self.spark.read.parquet(staged)
-        transform(batch).write.mode("overwrite").parquet(f"{self.root}/out/batch={n}")
-        timed = [] if at is None else [F.col(at).alias("__at"), F.lit(True).alias("__timed")]
-        batch.select(self.key, self.version, *timed).write.mode("overwrite").parquet(f"{self.root}/ledger/batch={n}")
-        self._fs.mkdirs(self._path(f"{self.root}/commits"))
-        self._fs.create(self._path(f"{self.root}/commits/{n}"), False).close()  # fails if another run committed n
-        self._fs.delete(self._path(staged), True)
-        return n
+        """Process what is pending and commit it; returns the batch number. Of two runs at once, the later one to commit fails."""
+        n, key = self._next(), uuid.uuid4().hex  # the number is taken before the ledger is read
+        staged = f"{self.root}/staged/{key}"
+        try:
+            self.pending(source, at, reread_from).write.parquet(staged)
+            batch = self.spark.read.parquet(staged)
+            transform(batch).write.parquet(f"{self.root}/out/{key}")
+            return self._commit(batch, at, key, n)
+        finally:
+            self._fs.delete(self._path(staged), True)
+
+
+def changed_files(listing: DataFrame, hashes: DataFrame, runs: DataFrame, root: str) -> DataFrame:
+    """Files whose current content differs from what the last sound run left: (file_path, content_hash, listed_at).
+
+    One run of the processor below `root`. Its ledger begins with what the sound runs left of each file. The listing is
+    read again from the oldest run on that was open when the last sound one ended; a file without a row since then is
+    taken by its last row before, so none is passed over. The anti-join with the ledger removes what was processed.
+    """
+    tidy = lambda df, *extra: df.select(canonical_path(F.col("file_path")).alias("file_path"), canonical_hash(F.col("content_hash")).alias("content_hash"), *extra)
+    sound = inside_windows(tidy(hashes, "indexed_at"), "indexed_at", runs.where(F.col("status") == "ok"), "started_at", "finished_at")
+    work = IncrementalProcessor(listing.sparkSession, root, "file_path", "content_hash")
+    work.adopt(latest(sound, "file_path", [F.col("indexed_at")], "content_hash"))
+    mark = low_water_mark(runs).first().reread_from
+    rows = tidy(listing, "listed_at", "listing_id").where(F.col("file_path").isNotNull() & F.col("content_hash").isNotNull())
+    again = F.lit(True) if mark is None else F.coalesce(F.col("listed_at") >= F.lit(mark), F.lit(False))
+    order = F.struct(again.alias("again"), "listed_at", "listing_id", "content_hash")
+    current = rows.groupBy("file_path").agg(F.max(order).alias("top")).select("file_path", "top.content_hash", "top.listed_at")
+    return work.output(work.run(current))

@@ -9,6 +9,8 @@ without a time is an orphan, as nothing is known to live then; repeated rows cou
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,43 +104,55 @@ def orphan_records(edges: DataFrame, orphans: DataFrame) -> DataFrame:
     return refs.join(lost, same, "left_semi").select("ref").distinct()
 
 
-def cascade(edges: DataFrame, orphans: DataFrame, child_types: tuple[str, ...] = ("contains",), max_rounds: int = 50) -> DataFrame:
-    """Records orphaned by inheritance: (node_id, depth, kind).
+def cascade(edges: DataFrame, lost: DataFrame, child_types: tuple[str, ...] = ("contains",)) -> DataFrame:
+    """Records orphaned by inheritance: (node_id, depth, kind). `lost` has the orphan records (ref).
 
-    The children (targets of edges of a child type) of a record that any orphan reference of `edges` means are inherited
-    orphans of depth 1, and their own children follow. Each round is a semi-join with the last round's records and an
-    anti-join with all earlier ones, and is written to the checkpoint folder. Parents that are orphans themselves come out
-    with depth 0 and kind `direct`; orphans without children only where another's children hold them.
+    The children (targets of edges of a child type) of an orphan record are inherited orphans of depth 1, and their own
+    children follow, to the fixpoint: each round is a semi-join with the last round's records and an anti-join with all
+    earlier ones, so it ends, however deep the tree. Parents that are orphans themselves come out with depth 0 and kind
+    `direct`; orphans without children only where another's children hold them.
     """
     links = edges.where(F.col("type").isin(*child_types) & F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
-    pairs = links.select("source_id", "target_id").distinct()
+    pairs = cut(links.select("source_id", "target_id").distinct())
     parents = pairs.select(F.col("source_id").alias("ref"))
-    found = cut(orphan_records(edges, orphans).join(parents, "ref", "left_semi").select(F.col("ref").alias("node_id"), F.lit(0).alias("depth")))
-    frontier = found
-    for depth in range(1, max_rounds + 1):
+    found = frontier = cut(lost.join(parents, "ref", "left_semi").select(F.col("ref").alias("node_id"), F.lit(0).alias("depth")))
+    for depth in itertools.count(1):
         step = pairs.join(frontier.select(F.col("node_id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("node_id")).distinct()
         frontier = cut(step.join(found.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
-        found = cut(found.unionByName(frontier))
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    return found.withColumn("kind", F.when(F.col("depth") == 0, "direct").otherwise("inherited"))
+            return found.withColumn("kind", F.when(F.col("depth") == 0, "direct").otherwise("inherited"))
+        found = found.unionByName(frontier)
+        if depth % 10 == 0:  # so that the union stays small
+            found = cut(found)
 
 
-def orphan_report(edges: DataFrame, orphans: DataFrame, inherited: DataFrame, unresolved: DataFrame | None = None) -> DataFrame:
-    """Counts per table and month: direct orphan references, and references to or from records orphaned by inheritance.
+class OrphanReferences:
+    """All orphan references of the tables: the direct ones, then the cascade down the child edges from their records.
 
-    A row of `unresolved` whose source_id is an orphan record, direct or inherited, counts as inherited. That's besides its
-    specifier, which is a reference of its own.
+    `direct`: (src_table, ref_id, side, at). `records`: (node_id, depth, kind) of the cascade.
     """
-    month = F.date_format("at", "yyyy-MM").alias("month")
-    direct = orphans.groupBy("src_table", month, F.lit("direct").alias("kind")).agg(F.count(F.lit(1)).alias("n_refs"))
-    refs = edge_references(edges).distinct()
-    via = refs.join(inherited.where("kind = 'inherited'").select(F.col("node_id").alias("ref")), "ref", "left_semi")
-    via = via.join(orphans.where("src_table = 'edges'").select("ref_id", "side"), ["ref_id", "side"], "left_anti").select(F.lit("edges").alias("src_table"), "at")
-    if unresolved is not None:
-        lost = orphan_records(edges, orphans).unionByName(inherited.select(F.col("node_id").alias("ref")))
-        own = unresolved.select(F.col("id").alias("ref_id"), F.col("source_id").alias("ref"), F.col("seen_at").alias("at")).distinct()
-        via = via.unionByName(own.join(lost, "ref", "left_semi").select(F.lit("unresolved_refs").alias("src_table"), "at"))
-    return direct.unionByName(via.groupBy("src_table", month, F.lit("inherited").alias("kind")).agg(F.count(F.lit(1)).alias("n_refs")))
+
+    def __init__(self, edges: DataFrame, unresolved: DataFrame, nodes: DataFrame, hashes: DataFrame, child_types: tuple[str, ...] = ("contains",)):
+        self.edges, self.unresolved = edges, unresolved
+        self.direct = cut(direct_orphans(edges, unresolved, nodes, hashes))
+        self.lost = cut(orphan_records(edges, self.direct))
+        self.records = cascade(edges, self.lost, child_types)
+
+    def references(self) -> DataFrame:
+        """(src_table, ref_id, side, at, kind), distinct.
+
+        Inherited are the references of `edges` to or from records orphaned by inheritance that aren't direct, and, with
+        side `source`, the rows of unresolved_refs whose source_id is an orphan record, direct or inherited. That's besides
+        their specifier, which is a reference of its own.
+        """
+        heirs = self.records.where("kind = 'inherited'").select(F.col("node_id").alias("ref"))
+        via = edge_references(self.edges).distinct().join(heirs, "ref", "left_semi")
+        via = via.join(self.direct.where("src_table = 'edges'").select("ref_id", "side"), ["ref_id", "side"], "left_anti").select(F.lit("edges").alias("src_table"), "ref_id", "side", "at")
+        own = self.unresolved.select(F.col("id").alias("ref_id"), F.col("source_id").alias("ref"), F.col("seen_at").alias("at")).distinct()
+        own = own.join(self.lost.unionByName(heirs).distinct(), "ref", "left_semi").select(F.lit("unresolved_refs").alias("src_table"), "ref_id", F.lit("source").alias("side"), "at")
+        return self.direct.withColumn("kind", F.lit("direct")).unionByName(via.unionByName(own).withColumn("kind", F.lit("inherited")))
+
+    def report(self) -> DataFrame:
+        """(src_table, month, kind, n_refs): counts per table and month."""
+        month = F.date_format("at", "yyyy-MM").alias("month")
+        return self.references().groupBy("src_table", month, "kind").agg(F.count(F.lit(1)).alias("n_refs"))

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import incremental, orphans, skew
+from orrery.session import new_folder
 from orrery.sources.tables import table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return incremental.changed_files(*(table(spark, folder, t) for t in ("file_listing", "file_hashes", "index_runs"))).select("file_path").distinct()
+    """One run of the processor: the files of its committed batch."""
+    tables = (table(spark, folder, t) for t in ("file_listing", "file_hashes", "index_runs"))
+    return incremental.changed_files(*tables, root=new_folder(spark)).select("file_path").distinct()
 
 
 def p2_reread_from(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,24 +36,21 @@ def p4_typed_edges(spark: SparkSession, folder: str) -> DataFrame:
     return joined.groupBy("type").agg(F.count(F.lit(1)).alias("n_edges"), F.max("in_degree").alias("max_in_degree"), F.round(F.avg("in_degree"), 6).alias("mean_in_degree"))
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
-    return orphans.direct_orphans(*(table(spark, folder, t) for t in ("edges", "unresolved_refs", "nodes", "file_hashes")))
+def _orphans(spark: SparkSession, folder: str) -> orphans.OrphanReferences:
+    return orphans.OrphanReferences(*(table(spark, folder, t) for t in ("edges", "unresolved_refs", "nodes", "file_hashes")))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).select("src_table", "ref_id", "side").distinct()
+    """The direct ones of all orphan references, direct and inherited."""
+    return _orphans(spark, folder).references().where("kind = 'direct'").select("src_table", "ref_id", "side")
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
-    edges = table(spark, folder, "edges")
-    from orrery.session import cut
-
-    direct = cut(_orphans(spark, folder))
-    return orphans.orphan_report(edges, direct, orphans.cascade(edges, direct), table(spark, folder, "unresolved_refs"))
+    return _orphans(spark, folder).report()
 
 
 def p7_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    return orphans.cascade(table(spark, folder, "edges"), _orphans(spark, folder))
+    return _orphans(spark, folder).records
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_reread_from, p4_found, p4_degrees, p4_typed_edges, p7_found, p7_report, p7_cascade)}
@@ -83,6 +83,14 @@ of_specs AS (SELECT DISTINCT id, seen_at AS at_ts FROM paths WHERE id NOT IN (SE
 orphan AS (SELECT 'edges' AS src_table, id AS ref_id, side, at_ts FROM of_nodes UNION ALL SELECT 'edges', id, side, at_ts FROM of_files UNION ALL SELECT 'unresolved_refs', id, 'specifier', at_ts FROM of_specs)
 """
 
+_FALL = """
+, lost AS (SELECT DISTINCT k.ref FROM kept k JOIN orphan o ON o.src_table = 'edges' AND o.ref_id = k.id AND o.side = k.side AND o.at_ts IS NOT DISTINCT FROM k.at_ts),
+tree AS (SELECT DISTINCT source_id, target_id FROM edges WHERE type = 'contains' AND source_id IS NOT NULL AND target_id IS NOT NULL),
+walk AS (WITH RECURSIVE w AS (SELECT DISTINCT ref AS node_id, 0 AS depth FROM lost JOIN tree ON source_id = ref
+  UNION SELECT t.target_id, w.depth + 1 FROM w JOIN tree t ON t.source_id = w.node_id WHERE w.depth < 40) SELECT * FROM w),
+fall AS (SELECT node_id, CAST(min(depth) AS INT) AS depth, CASE WHEN min(depth) = 0 THEN 'direct' ELSE 'inherited' END AS kind FROM walk GROUP BY 1)
+"""
+
 ORACLES = {
     "p2_found": f"""
 WITH listed AS (SELECT {_canonical("file_path")} AS file_path, {_digest("content_hash")} AS h, listed_at, listing_id FROM file_listing),
@@ -100,10 +108,12 @@ SELECT min(started_at) AS reread_from FROM index_runs, last WHERE started_at <=
 SELECT type, count(*) AS n_edges, max(d) AS max_in_degree, round(avg(d), 6) AS mean_in_degree
 FROM (SELECT type, count(*) OVER (PARTITION BY target_id, type) AS d FROM edges) GROUP BY 1""",
     "p7_found": _P7 + "SELECT DISTINCT src_table, ref_id, side FROM orphan",
-    "p7_cascade": _P7
-    + """,
-walk AS (WITH RECURSIVE w AS (
-  SELECT DISTINCT e.source_id AS node_id, 0 AS depth FROM edges e JOIN orphan o ON o.src_table = 'edges' AND o.side = 'source' AND o.ref_id = e.id WHERE e.type = 'contains' AND e.source_id IS NOT NULL
-  UNION SELECT e.target_id, w.depth + 1 FROM w JOIN edges e ON e.source_id = w.node_id AND e.type = 'contains' WHERE w.depth < 40) SELECT * FROM w)
-SELECT node_id, CAST(min(depth) AS INT) AS depth, CASE WHEN min(depth) = 0 THEN 'direct' ELSE 'inherited' END AS kind FROM walk GROUP BY 1""",
+    "p7_cascade": _P7 + _FALL + "SELECT node_id, depth, kind FROM fall",
+    "p7_report": _P7
+    + _FALL
+    + """, heirs AS (SELECT node_id FROM fall WHERE kind = 'inherited'),
+via AS (SELECT DISTINCT 'edges' AS src_table, id AS ref_id, side, at_ts FROM kept WHERE ref IN (SELECT node_id FROM heirs) AND (id, side) NOT IN (SELECT (ref_id, side) FROM orphan WHERE src_table = 'edges')),
+own AS (SELECT DISTINCT 'unresolved_refs' AS src_table, id AS ref_id, 'source' AS side, source_id, seen_at AS at_ts FROM unresolved_refs WHERE source_id IN (SELECT ref FROM lost) OR source_id IN (SELECT node_id FROM heirs)),
+every_ AS (SELECT src_table, at_ts, 'direct' AS kind FROM (SELECT DISTINCT * FROM orphan) UNION ALL SELECT src_table, at_ts, 'inherited' FROM via UNION ALL SELECT src_table, at_ts, 'inherited' FROM own)
+SELECT src_table, strftime(at_ts, '%Y-%m') AS month, kind, count(*) AS n_refs FROM every_ GROUP BY ALL""",
 }

@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from orrery.operators import incremental, orphans, skew
 
 
@@ -18,7 +20,7 @@ HASHES = "file_path string, content_hash string, indexed_at timestamp_ntz, extra
 RUNS = "run_id int, started_at timestamp_ntz, finished_at timestamp_ntz, status string"
 
 
-def test_changed_files(spark):
+def test_changed_files(spark, tmp_path):
     runs = spark.createDataFrame([(1, ts(0), ts(10), "ok"), (2, ts(20), ts(30), "failed"), (3, ts(40), None, "running"), (4, ts(50), ts(60), "ok")], RUNS)
     hashes = spark.createDataFrame(
         [
@@ -33,10 +35,13 @@ def test_changed_files(spark):
         ],
         LISTING,
     )
-    got = sorted(r.file_path for r in incremental.changed_files(listing, hashes, runs).collect())
+    roots = (str(tmp_path / str(n)) for n in range(9))
+    got = sorted(r.file_path for r in incremental.changed_files(listing, hashes, runs, next(roots)).collect())
     assert got == ["b.py", "d.py", "h.py", "i.py"]
     for args, n in (((listing.limit(0), hashes, runs), 0), ((listing, hashes.limit(0), runs), 7), ((listing, hashes, runs.limit(0)), 7)):
-        assert incremental.changed_files(*args).count() == n
+        assert incremental.changed_files(*args, next(roots)).count() == n
+    old = spark.createDataFrame([(1, "b.py", "h9", "py", ts(3), ""), (2, "b.py", "h2", "py", ts(4), ""), (3, "a.py", "h1", "py", ts(39), ""), (4, "a.py", "h0", "py", ts(2), ""), (5, "c.py", "h3", "py", ts(39), "")], LISTING)
+    assert sorted(tuple(r)[:2] for r in incremental.changed_files(old, hashes, runs, next(roots)).collect()) == [("b.py", "h2"), ("c.py", "h3")]
     assert incremental.low_water_mark(runs).first()[0] == ts(40)
     assert incremental.low_water_mark(runs.limit(0)).first()[0] is None
 
@@ -70,10 +75,32 @@ def test_processor_takes_returning_versions(spark, tmp_path, at):
     for n, i in enumerate((2, 3, 4, 4, 5)):
         rows = log[:i] if at else [*{k: (k, v, t) for k, v, t in log[:i]}.values()]
         assert p.run(spark.createDataFrame(rows + rows, "k string, v string, at long"), at=at, reread_from=2 if at and n > 1 else None) == n
-        done.append(sorted((r.k, r.v) for r in p.output().where(f"batch = {n}").collect()))
+        done.append(sorted((r.k, r.v) for r in p.output(n).collect()))
     assert done == [[("f", "A"), ("g", "A")], [("f", "B")], [("f", "A")], [], []]
 
 
+def test_two_runs_at_once(spark, tmp_path):
+    """The later to commit fails, whatever it wrote, and nothing is lost or repeated."""
+    schema = "k string, v string"
+    p, q = (incremental.IncrementalProcessor(spark, str(tmp_path), "k", "v") for _ in range(2))
+    source = spark.createDataFrame([("a", "1"), ("b", "1")], schema)
+
+    def meanwhile(df):
+        q.run(source.where("k = 'a'"))
+        return df.withColumn("v", F.lit("spoilt"))
+
+    with pytest.raises(Exception, match="exists"):
+        p.run(source, meanwhile)
+    assert [(r.k, r.v) for r in p.output().collect()] == [("a", "1")] and p.batches() == [0]
+    assert p.run(source) == 1
+    assert sorted((r.k, r.v) for r in p.output().collect()) == [("a", "1"), ("b", "1")]
+    p.compact()
+    p.compact()
+    assert p.ledger().count() == 2 and p.pending(source).count() == 0
+    assert p.run(source.unionByName(spark.createDataFrame([("c", "1"), ("a", "2")], schema))) == 2
+    assert sorted((r.k, r.v, r.batch) for r in p.ledger().collect()) == [("a", "1", 0), ("a", "2", 2), ("b", "1", 1), ("c", "1", 2)]
+
+
 def test_processor_takes_all_changes_of_a_run(spark, tmp_path):
     p = incremental.IncrementalProcessor(spark, str(tmp_path), "k", "v")
     rows = [("f", "A", None), ("f", "B", 2), ("f", "A", 3), ("f", "A", 4)]
@@ -137,13 +164,23 @@ def test_orphans(spark):
         ("edges", 2, "target"), ("edges", 5, "source"), ("edges", 5, "target"), ("edges", 6, "source"), ("edges", 6, "target"), ("edges", 7, "source"), ("edges", 7, "target"), ("edges", 8, "source"), ("edges", 9, "source"), ("edges", 9, "target"), ("edges", 10, "source"),
         ("unresolved_refs", 4, "specifier"), ("unresolved_refs", 7, "specifier"),
     }
-    direct = orphans.direct_orphans(edges, refs, nodes, hashes)
-    fall = {(r.node_id, r.depth, r.kind) for r in orphans.cascade(edges, direct).collect()}
-    assert fall == {("n2", 0, "direct"), ("kid", 0, "direct"), ("kid2", 1, "inherited")}
-    report = {(r.src_table, r.kind): r.n_refs for r in orphans.orphan_report(edges, direct, orphans.cascade(edges, direct)).groupBy("src_table", "kind").sum("n_refs").withColumnRenamed("sum(n_refs)", "n_refs").collect()}
+    refs = refs.withColumn("source_id", F.lit(None).cast("string"))
+    all_ = orphans.OrphanReferences(edges, refs, nodes, hashes)
+    assert {(r.node_id, r.depth, r.kind) for r in all_.records.collect()} == {("n2", 0, "direct"), ("kid", 0, "direct"), ("kid2", 1, "inherited")}
+    assert {(r.src_table, r.ref_id, r.side) for r in all_.references().where("kind = 'direct'").collect()} == got
+    report = Counter()
+    for r in all_.report().collect():
+        report[r.src_table, r.kind] += r.n_refs
     assert report["edges", "direct"] == 11 and report["unresolved_refs", "direct"] == 2
-    empty = orphans.direct_orphans(edges.limit(0), refs.limit(0), nodes.limit(0), hashes.limit(0))
-    assert empty.count() == 0 and orphans.cascade(edges.limit(0), empty).count() == 0
+    empty = orphans.OrphanReferences(edges.limit(0), refs.limit(0), nodes.limit(0), hashes.limit(0))
+    assert empty.references().count() == 0 and empty.records.count() == 0
+
+
+def test_cascade_has_no_bound(spark):
+    pairs = [(i, f"n{i}", f"n{i + 1}", "contains") for i in range(60)] + [(999, "n60", "n7", "contains")]
+    edges = spark.createDataFrame(pairs, "id long, source_id string, target_id string, type string")
+    fall = orphans.cascade(edges, spark.createDataFrame([("n0",)], "ref string"))
+    assert {r.node_id: r.depth for r in fall.collect()} == {f"n{i}": i for i in range(61)}
 
 
 def test_cascade_from_any_orphan(spark):
@@ -155,9 +192,9 @@ def test_cascade_from_any_orphan(spark):
     )
     hashes = spark.createDataFrame([("r/x.ts", ts(0))], "file_path string, indexed_at timestamp_ntz")
     refs = spark.createDataFrame([(i, s, "lodash", "r/m.ts", ts(1)) for i, s in enumerate(("gone", "b", "c", "live", "d", None, "gone"))], "id long, source_id string, specifier string, file_path string, seen_at timestamp_ntz")
-    direct = orphans.direct_orphans(edges, refs, nodes, hashes)
-    assert {(r.ref_id, r.side) for r in direct.collect()} == {(3, "source"), (5, "target")}
-    fall = orphans.cascade(edges, direct)
+    all_ = orphans.OrphanReferences(edges, refs.unionByName(refs), nodes, hashes)
+    assert {(r.ref_id, r.side) for r in all_.direct.collect()} == {(3, "source"), (5, "target")}
+    fall = all_.records
     assert {(r.node_id, r.depth, r.kind) for r in fall.collect()} == {("gone", 0, "direct"), ("aim", 0, "direct"), ("a", 1, "inherited"), ("b", 2, "inherited"), ("c", 1, "inherited")}
-    report = {(r.src_table, r.kind): r.n_refs for r in orphans.orphan_report(edges, direct, fall, refs.unionByName(refs)).collect()}
+    report = {(r.src_table, r.kind): r.n_refs for r in all_.report().collect()}
     assert report == {("edges", "direct"): 2, ("edges", "inherited"): 4, ("unresolved_refs", "inherited"): 4}
