@@ -135,6 +135,16 @@ def test_shard_plan_balances(spark):
     assert set(plan.buckets) <= set(range(8))
 
 
+def test_salts_place_keys(spark):
+    """The salted keys land, by Spark's own hash partitioning, so that the tasks are even."""
+    left = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, "warm").otherwise(F.concat(F.lit("k"), F.col("id") % 300)).alias("k"), "id")
+    right = left.select("k").distinct().withColumn("y", F.lit(1))
+    joined = skew.skew_join(left, right, ["k"], tasks=8)
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 40_000 and len(sizes) == 8 and max(sizes) < 1.15 * 40_000 / 8
+    assert joined.where("k = 'hot'").select(F.spark_partition_id()).distinct().count() > 3
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_skew_join(spark, how):
     left = spark.createDataFrame([("a" if i % 3 else f"b{i % 40}", i) for i in range(600)] + [(None, -1)], "k string, x int")
