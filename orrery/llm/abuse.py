@@ -3,14 +3,18 @@
 1. Documents are brought to plain spelling and cut into passages of at most PASSAGE words. The passages are written once
    to the shared folder; equal passages of the corpus are scored once.
 2. Examples are the passages of at most LABELLED_ROWS labelled documents (those with the least hash of their id, where
-   there are more) and the SEEDS below. As labels are of documents and partly wrong, a passage is an example of what
-   its words and its near passages in the other labelled documents tell of it, whatever its own document's label.
-3. Weights are tf * idf with document frequencies over all passages of the corpus.
+   there are more) and the SEEDS below. As labels are of documents and partly wrong, each passage first gets a label of
+   its own, from what its words and its near passages in the other labelled documents tell of it. Where they leave it
+   open, a passage of OFTEN labelled documents or more counts as much as they say, another isn't an example.
+3. Weights are tf * idf, for every word with its document frequency over all passages of the corpus. Only the frequencies
+   of the examples' words are known beforehand; the others' are bounded by the most frequent of them, and those of the few
+   passages that may be near by this bound are fetched by a join, so the cosines are exact.
 4. The examples stand in a block-max inverted index. Terms whose weights can't reach LEAST_COSINE together open no
    candidates; blocks of candidates whose bound stays below it are skipped; the rest get their exact cosine. A passage
    whose cosine to every abusive example is below LEAST_COSINE has the score 0.
-5. The NEIGHBOURS nearest vote, weighted with the square of what their cosine exceeds LEAST_COSINE by. The score of a document is that of its worst passage,
-   made a probability by a logistic curve fitted to the leave-one-out scores of the labelled documents.
+5. The NEIGHBOURS nearest vote, weighted with the square of what their cosine exceeds LEAST_COSINE by. The vote of a
+   document is that of its worst passage, made a probability by a logistic curve that is fitted to the votes of the
+   labelled documents without their own examples. Found is what has a probability of FOUND or more.
 
 Defined results: null, empty and blank texts have the score 0; of several labels of a document the majority counts, a tie
 or null labels only are no label; without any labels the seeds alone decide; repeated rows give one result; a null
@@ -21,7 +25,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,14 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.spelling import sentences
-from orrery.session import ensure_checkpoint_dir
+from orrery.session import cut, new_folder
 
 LABELLED_ROWS = 20_000
 PASSAGE, STRIDE = 14, 9
 LEAST_COSINE, NEAR, NEIGHBOURS, BLOCK = 0.42, 0.5, 9, 64
 FOUND = 0.5
-#: Evidence of a passage: below LOW its words say no, from HIGH on yes; from LIKELY on it is an abusive example, below LOW a clean one.
-LOW, HIGH, LIKELY, PRIOR = 0.3, 0.55, 0.47, 3
+#: Evidence of a passage: below LOW its words say no, from HIGH on yes; from LIKELY on it is an abusive example, below LOW a
+#: clean one. PRIOR is how many documents the usual share weighs.
+LOW, HIGH, LIKELY, PRIOR, OFTEN = 0.3, 0.55, 0.47, 3, 3
 
 # Examples of abusive, hateful and sexual passages.
 _BAD = """you are a complete idiot and everybody knows it
@@ -256,17 +260,18 @@ class Index:
         fits = [w for n in range(max(1, len(word) - word.count("*")), len(word) + 1) for w in self.by_size.get(n, ()) if pattern.fullmatch(w)]
         return max(fits, key=lambda w: (self.idf.get(w, self.usual), w)) if fits else word
 
-    def vector(self, text: str) -> dict[str, float]:
+    def vector(self, text: str, others: dict[str, float] | None = None) -> dict[str, float]:
         counts = Counter(text.split(" "))
-        v = {w: (1 + math.log(n)) * self.idf.get(w, self.usual) for w, n in counts.items()}
+        others = others or {}
+        v = {w: (1 + math.log(n)) * (self.idf.get(w) or others.get(w, self.usual)) for w, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {w: x / norm for w, x in v.items()}
 
-    def near(self, text: str, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of all examples with at least this cosine, exactly."""
+    def near(self, text: str, least: float, others: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cosines) of all examples with at least this cosine, exactly, if `others` has the idf of the words that `idf` lacks."""
         if "*" in text:
             text = " ".join(self.unmask(w) for w in text.split(" "))
-        q = [(self.terms[w], x) for w, x in self.vector(text).items() if w in self.terms]
+        q = [(self.terms[w], x) for w, x in self.vector(text, others).items() if w in self.terms]
         if not q:
             return np.zeros(0, np.int64), np.zeros(0)
         q.sort(key=lambda t: t[1] * self.most[t[0]])
@@ -308,31 +313,48 @@ def vote(labels: np.ndarray, cos: np.ndarray) -> float:
 class Judge:
     """The fitted examples: an index of the abusive ones alone, to dismiss most passages, and one of all."""
 
-    def __init__(self, examples: list[tuple[str, int, int | None]], idf: dict[str, float], usual: float):
+    def __init__(self, examples: list[tuple[str, float, int | None]], idf: dict[str, float], usual: float):
         self.examples = sorted(set(examples), key=lambda e: (e[0], e[1], -1 if e[2] is None else e[2]))
         self.labels = np.array([y for _, y, _ in self.examples], float)
-        bad = [t for t, y, _ in self.examples if y]
+        self.of_document = np.array([-1 if d is None else d for _, _, d in self.examples], np.int64)
+        self.idf = idf
+        bad = [t for t, y, _ in self.examples if y >= LIKELY]
         self.bad = Index(bad, idf, usual)
         self.all = Index([t for t, _, _ in self.examples], idf, usual)
         self.slope, self.shift = 8.0, -4.0
 
-    def score(self, passage: str) -> tuple[float, int]:
-        """(vote, number of the nearest example or -1)."""
-        if not len(self.bad.near(passage, LEAST_COSINE)[0]):
+    def plain(self, passage: str) -> str:
+        """The passage with words of masked letters replaced by the words of the abusive examples they stand for."""
+        return " ".join(self.bad.unmask(w) for w in passage.split(" ")) if "*" in passage else passage
+
+    def may_be_near(self, plain: str) -> bool:
+        """False only if no abusive example can have LEAST_COSINE, whatever the idf of the words that no example has.
+
+        They're taken to be as frequent as the most frequent of such words, so the norm is at most, and the cosine at least,
+        what it really is.
+        """
+        return bool(len(self.bad.near(plain, LEAST_COSINE)[0]))
+
+    def unknown(self, plain: str) -> list[str]:
+        return [w for w in dict.fromkeys(plain.split(" ")) if w not in self.idf]
+
+    def score(self, plain: str, others: dict[str, float] | None = None, without: int | None = None) -> tuple[float, int]:
+        """(vote, number of the nearest example or -1), without the examples of one document."""
+        if not len(self.bad.near(plain, LEAST_COSINE, others)[0]):
             return 0.0, -1
-        rows, cos = self.all.near(self._unmasked(passage), LEAST_COSINE)
-        if not len(rows):
+        rows, cos = self.all.near(plain, LEAST_COSINE, others)
+        if without is not None:
+            keep = self.of_document[rows] != without
+            rows, cos = rows[keep], cos[keep]
+        if not len(rows) or self.labels[rows].max() < LIKELY:
             return 0.0, -1
         return vote(self.labels[rows], cos), int(rows[np.argmax(cos * (0.001 + self.labels[rows]))])
 
-    def _unmasked(self, passage: str) -> str:
-        return " ".join(self.bad.unmask(w) for w in passage.split(" ")) if "*" in passage else passage
-
     def probability(self, score: float) -> float:
         return 0.0 if score <= 0 else 1 / (1 + math.exp(-(self.slope * score + self.shift)))
 
 
-def label_passages(docs: dict[int, tuple[int, list[str]]], idf: dict[str, float], usual: float) -> tuple[list[tuple[str, int, int | None]], dict[int, float]]:
+def label_passages(docs: dict[int, tuple[int, list[str]]], idf: dict[str, float], usual: float) -> tuple[list[tuple[str, float, int | None]], dict[int, float]]:
     """Examples from labelled documents, and the leave-one-out evidence of each document.
 
     The evidence of a passage is the mean, weighted by idf, of the shares of abusive ones among the other labelled
@@ -388,7 +410,7 @@ def label_passages(docs: dict[int, tuple[int, list[str]]], idf: dict[str, float]
                 w = cos[:, None] ** 2 * seen
                 e = (w[:, 1].sum() + PRIOR * usual_share) / (w.sum() + PRIOR)
             judged[p, y] = e
-    examples: dict[str, tuple[int, int | None]] = {}
+    examples: dict[str, tuple[float, int | None]] = {}
     for t in SEEDS_GOOD:
         examples[t] = (0, None)
     for t in SEEDS_BAD:
@@ -397,9 +419,10 @@ def label_passages(docs: dict[int, tuple[int, list[str]]], idf: dict[str, float]
     for d, (y, ps) in sorted(docs.items()):
         scores[d] = max((judged[p, y] for p in ps), default=0.0)
         for p in ps:
-            if LOW <= judged[p, y] < LIKELY:  # of neither kind
+            e = judged[p, y]
+            if LOW <= e < LIKELY and counts[row[p]].sum() < OFTEN:  # of neither kind
                 continue
-            bad = int(judged[p, y] >= LIKELY)
+            bad = 1 if e >= LIKELY else 0 if e < LOW else e  # between, as likely as its words and neighbours say
             if p not in examples or bad > examples[p][0]:
                 examples[p] = (bad, d)
     return [(t, y, d) for t, (y, d) in examples.items()], scores
@@ -426,9 +449,8 @@ class AbuseScores:
 
     def __init__(self, documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS):
         spark = documents.sparkSession
-        ensure_checkpoint_dir(spark)
         self.documents = documents
-        path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+        path = new_folder(spark)
         rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
         rows.where(F.length(F.trim("text")) > 0).mapInArrow(_to_passages, "doc_id long, passage string").write.parquet(path)
         self.passages = spark.read.parquet(path)
@@ -438,32 +460,62 @@ class AbuseScores:
         for r in self.passages.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.collect_set("passage").alias("ps")).collect():  # at most labelled_rows
             docs[r.doc_id] = (r.y, sorted(r.ps))
         vocabulary = {w for _, ps in docs.values() for p in ps for w in p.split(" ")} | {w for t in SEEDS_BAD + SEEDS_GOOD for w in t.split(" ")}
-        wanted = spark.createDataFrame([(w,) for w in sorted(vocabulary)], "term string")
-        n = self.passages.count()
+        wanted = F.broadcast(spark.createDataFrame([(w,) for w in sorted(vocabulary)], "term string"))  # at most the examples' vocabulary
+        self.n = self.passages.count()
         terms = self.passages.select(F.explode(F.array_distinct(F.split("passage", " "))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        df = {r.term: r.df for r in terms.join(F.broadcast(wanted), "term").collect()}  # at most the examples' vocabulary
-        idf = {w: math.log(1 + n / (1 + df.get(w, 0))) for w in vocabulary}
-        usual = math.log(1 + n)
-        examples, scores = label_passages(docs, idf, usual)
-        self.judge = Judge(examples, idf, usual)
-        self.judge.slope, self.judge.shift = _fit_curve([(s, docs[d][0]) for d, s in scores.items()])
+        #: Passages that hold each term, of all terms of the corpus.
+        self.terms = cut(terms)
+        df = {r.term: r.df for r in self.terms.join(wanted, "term").collect()}
+        most = self.terms.join(wanted, "term", "left_anti").agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
+        idf = {w: self._idf(df.get(w, 0)) for w in vocabulary}
+        examples, _ = label_passages(docs, idf, self._idf(0))
+        self.judge = Judge(examples, idf, self._idf(most))
+        #: (vote without the document's own examples, label) of each labelled document.
+        self.points = [(max((self.judge.score(self.judge.plain(p), without=d)[0] for p in ps), default=0.0), y) for d, (y, ps) in sorted(docs.items())]
+        self.judge.slope, self.judge.shift = _fit_curve(self.points)
+
+    def _idf(self, df: float) -> float:
+        return math.log(1 + self.n / (1 + df))
+
+    def quality(self) -> dict[str, float]:
+        """Found and missed labelled documents, each judged without its own examples; some of the labels are wrong."""
+        found = [(self.judge.probability(v) >= FOUND, y) for v, y in self.points]
+        hit, bad, flagged = sum(f and y for f, y in found), sum(y for _, y in found), sum(f for f, _ in found)
+        return {"documents": len(found), "abusive": bad, "found": flagged, "both": hit, "recall": hit / bad if bad else 0.0, "precision": hit / flagged if flagged else 0.0}
 
     def scored_passages(self) -> DataFrame:
-        """(passage, vote, near_text, near_doc) of the distinct passages with a vote above 0."""
+        """(passage, vote, near_text, near_doc) of the distinct passages with a vote above 0.
+
+        First the bound: it needs no idf but those of the examples and leaves few passages. Only their other words get
+        their idf, by a join with the terms of the corpus, so that the cosines are exact.
+        """
         shared = self.documents.sparkSession.sparkContext.broadcast(self.judge)  # bounded by LABELLED_ROWS
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             judge = shared.value
             for batch in batches:
                 out = []
                 for p in batch.column("passage").to_pylist():
-                    v, near = judge.score(p)
+                    plain = judge.plain(p)
+                    if judge.may_be_near(plain):
+                        out.append((p, plain, judge.unknown(plain)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.list_(pa.string())))], ["passage", "plain", "words"])
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            judge = shared.value
+            for batch in batches:
+                out = []
+                for p, plain, others in zip(*(batch.column(c).to_pylist() for c in ("passage", "plain", "others"))):
+                    v, near = judge.score(plain, {x["term"]: x["idf"] for x in others or ()})
                     if v > 0:
                         t, _, d = judge.examples[near]
                         out.append((p, v, t, d))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string(), pa.int64()))], ["passage", "vote", "near_text", "near_doc"])
 
-        return self.passages.select("passage").distinct().mapInArrow(run, "passage string, vote double, near_text string, near_doc long")
+        left = cut(self.passages.select("passage").distinct().mapInArrow(bound, "passage string, plain string, words array<string>"))
+        idf = F.log(1 + F.lit(float(self.n)) / (1 + F.coalesce("df", F.lit(0))))
+        words = left.select("passage", F.explode("words").alias("term")).join(self.terms, "term", "left").groupBy("passage").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("others"))  # of one passage
+        return left.join(words, "passage", "left").select("passage", "plain", "others").mapInArrow(exact, "passage string, vote double, near_text string, near_doc long")
 
     def scores(self) -> DataFrame:
         """(doc_id, vote, score, evidence, near_text, near_doc), one row per document."""
@@ -473,11 +525,11 @@ class AbuseScores:
         return ids.join(worst, "doc_id", "left").select("doc_id", F.coalesce("w.vote", F.lit(0.0)).alias("vote"), "w.evidence", "w.near_text", "w.near_doc").withColumn("score", F.when(F.col("vote") > 0, F.round(curve, 6)).otherwise(0.0))
 
     def found(self) -> DataFrame:
-        return self.scores().where(F.col("vote") >= FOUND).select("doc_id")
+        return self.scores().where(F.col("score") >= FOUND).select("doc_id")
 
     def rates(self) -> DataFrame:
         """(source, n_docs, n_abusive, rate, mean_score) per source, compared trimmed and in lower case."""
         source = F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source")
         docs = self.documents.where(F.col("doc_id").isNotNull()).select("doc_id", source).distinct()
-        bad = F.when(F.col("vote") >= FOUND, 1).otherwise(0)
+        bad = F.when(F.col("score") >= FOUND, 1).otherwise(0)
         return docs.join(self.scores(), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(bad).alias("n_abusive"), F.round(F.avg(bad), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 # Letters of other scripts, and signs, that look like Latin letters.
 LOOKALIKES = str.maketrans(
@@ -35,10 +36,19 @@ def _joined(m: re.Match) -> str:
 
 def visible(text: str) -> str:
     """Without invisible characters, in compatibility form."""
+    if text.isascii():
+        return text
     return _INVISIBLE.sub("", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
 
 
+@lru_cache(maxsize=1 << 17)
 def _plain_word(w: str) -> str:
+    """The word in plain spelling, or nothing if it has no letters; most words come again."""
+    w = _spelled(w)
+    return w if w and any(c.isalpha() for c in w) else ""
+
+
+def _spelled(w: str) -> str:
     latin = bool(_LATIN.search(w))
     if not w.isascii():
         if latin:  # mixed scripts: a disguise
@@ -59,25 +69,45 @@ def _plain_word(w: str) -> str:
 _WHOLE_CYRILLIC = re.compile(r"^[а-яёѐ-џ]+$", re.I)
 
 
+#: Runs without blanks that may hold an address or an identifier: neither has a blank, and each has one of these signs.
+_ADDRESS_RUN = re.compile(r"(?<!\S)[^\s/@<]*[/@<]\S*")
+_IDENTIFIER_RUN = re.compile(r"(?<!\S)\S*?(?:[\d_(.]|(?<=[a-z0-9])[A-Z])\S*")
+_CAMEL = re.compile(r"[a-z][A-Z][a-z]")
+
+
+def _no_identifier(m: re.Match) -> str:
+    found = m.group()
+    return found if found.isalpha() and not _CAMEL.search(found) else " "
+
+
+def _no_address(m: re.Match) -> str:
+    return _ADDRESS.sub(" ", m.group())
+
+
+def _no_identifiers(m: re.Match) -> str:
+    return _IDENTIFIER.sub(_no_identifier, m.group())
+
+
 def sentences(text: str) -> list[list[str]]:
     """Plain words of each sentence. Identifiers, paths and numbers are left out; a word with masked letters keeps its `*`."""
     text = visible(text)
-    text = _ADDRESS.sub(" ", text)
-    text = _FENCE.sub(" ", text)
+    text = _ADDRESS_RUN.sub(_no_address, text)
+    if "`" in text:
+        text = _FENCE.sub(" ", text)
     text = _SPACED.sub(_joined, text)
     out = []
     for part in _END.split(text):
         if not part or not part.strip():
             continue
-        part = _IDENTIFIER.sub(lambda m: m.group() if m.group().isalpha() and not re.search(r"[a-z][A-Z]{1}[a-z]", m.group()) else " ", part)
+        part = _IDENTIFIER_RUN.sub(_no_identifiers, part)
         words = []
         for token in _TOKEN.findall(part):
-            if _WIDE.search(token):
+            if not token.isascii() and _WIDE.search(token):
                 run = "".join(_WIDE.findall(token))
                 words += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
                 continue
             w = _plain_word(token)
-            if w and any(c.isalpha() for c in w):
+            if w:
                 words.append(w)
         if words:
             out.append(words)

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, exact round trips and held-out lines; nulls, empties, ties, clashes."""
 
+import math
 import random
 
 import pytest
@@ -276,6 +277,19 @@ def test_abuse(spark):
     s = {x.doc_id: x.score for x in a.scores().collect()}
     assert len(s) == len(docs) and s[900] == s[901] == s[902] == 0.0 and all(0 <= x <= 1 for x in s.values())
     assert {x.source for x in a.rates().collect()} == {"review", "x", ""}
+    # every cosine by brute force, with the frequencies of all words over all passages
+    ps = sorted({r.passage for r in a.passages.collect()})
+    n, df_ = a.passages.count(), {r.term: r.df for r in a.terms.collect()}
+    idf = {w: math.log(1 + n / (1 + df_.get(w, 0))) for t in ps + [x for x, _, _ in a.judge.examples] for w in t.split(" ")}
+    whole = abuse.Index([], idf, 0.0)
+    near = set()
+    for q in ps:
+        v = whole.vector(a.judge.plain(q))
+        if any(y >= abuse.LIKELY and sum(v.get(w, 0) * x for w, x in whole.vector(t).items()) >= abuse.LEAST_COSINE for t, y, _ in a.judge.examples):
+            near.add(q)
+    votes = {r.passage: r.vote for r in a.scored_passages().collect()}
+    assert set(votes) == near and len(near) > 10
+    assert a.quality()["recall"] > 0.9 and a.quality()["precision"] > 0.9
     alone = abuse.AbuseScores(df, lab.limit(0))
     assert len({x.doc_id for x in alone.found().collect()} & truth) > len(truth) * 0.5
     assert abuse.AbuseScores(df.limit(0), lab).found().count() == 0
