@@ -322,6 +322,8 @@ class Judge:
         self.bad = Index(bad, idf, usual)
         self.all = Index([t for t, _, _ in self.examples], idf, usual)
         self.slope, self.shift = 8.0, -4.0
+        #: (idf, greatest weight in an abusive example) of the words of those.
+        self.reach = {w: (idf.get(w, usual), float(self.bad.most[t])) for w, t in self.bad.terms.items()}
 
     def plain(self, passage: str) -> str:
         """The passage with words of masked letters replaced by the words of the abusive examples they stand for."""
@@ -333,6 +335,17 @@ class Judge:
         They're taken to be as frequent as the most frequent of such words, so the norm is at most, and the cosine at least,
         what it really is.
         """
+        if "*" not in plain:
+            reach = size = 0.0
+            words = plain.split(" ")
+            for w in set(words) if len(words) > 1 else words:
+                weight, most = self.reach.get(w) or (self.idf.get(w) or self.bad.usual, 0.0)
+                if len(words) > 1 and words.count(w) > 1:
+                    weight *= 1 + math.log(words.count(w))
+                size += weight * weight
+                reach += weight * most
+            if reach * reach < size * (LEAST_COSINE - 1e-9) ** 2:  # its words can't reach it even together
+                return False
         return bool(len(self.bad.near(plain, LEAST_COSINE)[0]))
 
     def unknown(self, plain: str) -> list[str]:
