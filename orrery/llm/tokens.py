@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import new_folder
+
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the public pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,7 +104,10 @@ def encode_corpus(docs: DataFrame, folder: str = TOKENIZERS, name: str = "byte_b
     """(doc_id, ids) of every document."""
     docs = docs.select("doc_id", "text")
     some = F.coalesce(F.length("text"), F.lit(0)) > 0
-    cut = docs.where(some & F.col("doc_id").isNotNull()).distinct().mapInArrow(_cut, "doc_id long, pos int, key binary, piece string").repartition(F.col("key"))
+    spark = docs.sparkSession
+    path = new_folder(spark)  # cut once, read for the pieces and for their places
+    docs.where(some & F.col("doc_id").isNotNull()).distinct().mapInArrow(_cut, "doc_id long, pos int, key binary, piece string").write.parquet(path)
+    cut = spark.read.parquet(path)
     once = cut.groupBy("key").agg(F.first("piece").alias("piece")).mapInArrow(_encoder_of(folder, name), "key binary, ids array<int>")
     parts = cut.select("doc_id", "pos", "key").join(once, "key")
     whole = parts.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))  # of one document
