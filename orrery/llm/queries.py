@@ -22,6 +22,14 @@ def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.SharedSpans(_table(spark, folder, "nodes")).coverage()
 
 
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.SharedSpans(_table(spark, folder, "nodes")).groups()
+
+
+def p1_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.SharedSpans(_table(spark, folder, "nodes")).copies()
+
+
 def p1_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.SharedSpans(_table(spark, folder, "nodes")).cleaned()
 
@@ -85,7 +93,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_coverage, p1_cleaned, p3_found, p3_pairs, p5_found, p5_redacted, p6_found, p6_kinds, p8_ids, p9_shares, p9_mix, p10_found, p10_scores, p10_rates)
+    own = (p1_found, p1_groups, p1_copies, p1_coverage, p1_cleaned, p3_found, p3_pairs, p5_found, p5_redacted, p6_found, p6_kinds, p8_ids, p9_shares, p9_mix, p10_found, p10_scores, p10_rates)
     return {f.__name__: f for f in own}
 
 

@@ -94,7 +94,14 @@ def runs(texts: list[str]) -> Iterator[tuple[int, int, int]]:
 
 def _hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
+    done: set[tuple[int, int]] = set()  # copies in one task are worked on once; no larger than the task's rows
     for batch in batches:
+        fresh = []
+        for i, c in enumerate(zip(batch.column("c_hi").to_pylist(), batch.column("c_lo").to_pylist())):
+            if c not in done:
+                done.add(c)
+                fresh.append(i)
+        batch = batch.take(pa.array(fresh, pa.int64()))
         hi, lo, texts = batch.column("c_hi").to_numpy(), batch.column("c_lo").to_numpy(), batch.column("body").to_pylist()
         d, s, e, h = [], [], [], []
         for i, a, b in runs(texts):
@@ -155,18 +162,37 @@ class SharedSpans:
         #: The records that classes() leaves out, as they can't share anything.
         self.short = nodes.where(F.col("id").isNotNull() & (F.col("body").isNull() | (F.length("body") < LENGTH))).select("id", "body").distinct()
         self.members = self.rows.select("id", "c_hi", "c_lo").distinct()
-        spans = self.rows.select("c_hi", "c_lo", "body").mapInArrow(_hash_runs, "h long, c_hi long, c_lo long, place long").repartition(F.col("h"))
+        # hashed once; a run that very many bodies have is combined before the one shuffle and split in the other (a skewed
+        # side of a semi-join may be)
+        spans = _written(self.rows.select("c_hi", "c_lo", "body").mapInArrow(_hash_runs, "h long, c_hi long, c_lo long, place long"))
         shared = spans.groupBy("h").agg(F.min("c_hi").alias("a"), F.max("c_hi").alias("b")).where("a <> b").select("h")
         found = spans.join(shared, "h", "left_semi").select("c_hi", "c_lo", "place").groupBy("c_hi", "c_lo").agg(F.collect_set("place").alias("places"))  # of one body
         self.places = _written(found)
         n = self.places.count()
         places = F.broadcast(self.places.select("c_hi", "c_lo")) if n <= BROADCAST_CLASSES else self.places.select("c_hi", "c_lo")
         bodies = self.rows.select("c_hi", "c_lo", "body").join(places, ["c_hi", "c_lo"], "left_semi").groupBy("c_hi", "c_lo").agg(F.first("body").alias("body"))
-        stretches = bodies.join(self.places, ["c_hi", "c_lo"]).mapInArrow(_hash_stretches, "w_hi long, w_lo long, c_hi long, c_lo long, pos int, once boolean").repartition(F.col("w_hi"), F.col("w_lo"))
+        stretches = bodies.join(self.places, ["c_hi", "c_lo"]).mapInArrow(_hash_stretches, "w_hi long, w_lo long, c_hi long, c_lo long, pos int, once boolean")
         groups = stretches.where("once").groupBy("w_hi", "w_lo").agg(F.count(F.lit(1)).alias("n"), F.min("c_hi").alias("least"), F.max("c_hi").alias("most"), F.sum(F.xxhash64("c_hi", "c_lo").cast("decimal(20,0)")).alias("sum")).where("n > 1")
         #: Stretches in two classes or more: (w_hi, w_lo, c_hi, c_lo, pos, once, n, least, most, sum).
         self.stretches = _written(stretches.join(groups, ["w_hi", "w_lo"]))
 
+    def groups(self) -> DataFrame:
+        """(id, group_id, n_classes, n_chars): the groups of records that share stretches, one row per record and group.
+
+        A group is a set of classes of equal bodies that have the same stretches in common; n_chars is how many places of 200
+        characters these are. Two records with different bodies share a stretch if and only if they have a group in common,
+        so this holds all that the pairs say, in a size that grows with the text and not with its square. Records whose
+        bodies are equal have the same class_id (see `classes`).
+        """
+        key = F.md5(F.concat_ws(":", "n", "least", "most", "sum"))
+        sets = self.stretches.where("once").groupBy("c_hi", "c_lo", "n", "least", "most", "sum").agg(F.count(F.lit(1)).alias("n_chars"))
+        return self.members.join(sets, ["c_hi", "c_lo"]).select("id", key.alias("group_id"), F.col("n").alias("n_classes"), "n_chars")
+
+    def copies(self) -> DataFrame:
+        """(id, class_id, n_copies): records by equal body; class_id is the least id."""
+        one = self.members.groupBy("c_hi", "c_lo").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
+        return self.members.join(one, ["c_hi", "c_lo"]).select("id", "class_id", "n_copies")
+
     def class_pairs(self) -> DataFrame:
         """(a_hi, a_lo, b_hi, b_lo): classes that share a stretch.
 

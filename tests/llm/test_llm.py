@@ -27,6 +27,11 @@ def test_shared_spans(spark):
     s = shared_spans.SharedSpans(df)
     want = brute_pairs([x for x in rows if x[0]])
     assert {(x.id_a, x.id_b) for x in s.pairs().collect()} == want and len(want) > 100
+    sets, same = {}, {x.id: (x.class_id, x.n_copies) for x in s.copies().collect()}
+    for x in s.groups().collect():
+        sets.setdefault(x.group_id, set()).add(x.id)
+    assert {(a, b) for g in sets.values() for a in g for b in g if a < b} | {(a, b) for a in same for b in same if a < b and same[a][0] == same[b][0]} == want
+    assert same["copy2"] == ("copy1", 3) and all(x.n_classes == len({same[i][0] for i in sets[x.group_id]}) for x in s.groups().collect())
     cover = {x.id: x.shared_chars for x in s.coverage().collect()}
     bodies = {i: b for i, b in rows if i}
     grams = {}
