@@ -72,6 +72,10 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "source_targets"))[1]
 
 
+def p9_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "source_targets"))[2]
+
+
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "source_targets"))[0]
 
@@ -93,7 +97,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_groups, p1_copies, p1_coverage, p1_cleaned, p3_found, p3_pairs, p5_found, p5_redacted, p6_found, p6_kinds, p8_ids, p9_shares, p9_mix, p10_found, p10_scores, p10_rates)
+    own = (p1_found, p1_groups, p1_copies, p1_coverage, p1_cleaned, p3_found, p3_pairs, p5_found, p5_redacted, p6_found, p6_kinds, p8_ids, p9_shares, p9_marginals, p9_mix, p10_found, p10_scores, p10_rates)
     return {f.__name__: f for f in own}
 
 

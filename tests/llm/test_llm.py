@@ -223,10 +223,11 @@ def test_mixing(spark):
     rows += [(1000, None, "en", "issue", 7), (1001, "", "en", "issue", 7), rows[0], (None, "x y", "en", "issue", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int")
     targets = spark.createDataFrame([("issue", 0.6, 3), ("readme", 0.3, 1), ("wiki", 0.1, 2)], "source string, target_share double, max_repeats int")
-    taken, report = mixing.mix(docs, targets)
+    taken, report, margins = mixing.mix(docs, targets)
     got = {x.source: x for x in report.collect()}
     assert abs(got["issue"].actual_share - 2 / 3) < 0.01 and abs(got["readme"].actual_share - 1 / 3) < 0.01 and got["wiki"].actual_share == 0
     assert all(x.most_copies <= x.max_repeats for x in got.values())
+    assert {x.name for x in margins.where("marginal = 'lang'").collect()} == {"en", "de", "und", "xx"} and all(abs(x.goal_share - x.actual_share) < 0.05 for x in margins.collect())
     assert taken.where("source not in ('issue', 'readme')").count() == 0 and taken.groupBy("doc_id").count().where("count > 1").count() == 0
     assert sorted(map(tuple, mixing.mix(docs, targets)[0].collect())) == sorted(map(tuple, taken.collect()))
     assert mixing.mix(docs.limit(0), targets)[0].count() == 0 and mixing.mix(docs, targets.limit(0))[0].count() == 0
@@ -234,10 +235,26 @@ def test_mixing(spark):
 
 def test_raking_meets_marginals():
     cells = [{"source": s, "lang": g, "topic": t, "tokens": 100 + 37 * i} for i, (s, g, t) in enumerate((s, g, t) for s in "ab" for g in "xy" for t in "pq")]
-    w, total = mixing.fit(cells, {"a": (0.7, 10), "b": (0.3, 10)})
+    w, total, _ = mixing.fit(cells, {"a": (0.7, 10), "b": (0.3, 10)}, 900)
     by = lambda k: {v: sum(w[c["source"], c["lang"], c["topic"]] * c["tokens"] for c in cells if c[k] == v) for v in {c[k] for c in cells}}
     assert abs(by("source")["a"] / total - 0.7) < 1e-6 and max(w.values()) <= 10 + 1e-9
-    assert mixing.fit([], {}) == ({}, 0.0)
+    there = lambda k: {v: sum(c["tokens"] for c in cells if c[k] == v) / sum(c["tokens"] for c in cells) for v in {c[k] for c in cells}}
+    assert all(abs(by(k)[v] / total - x) < 1e-6 for k in ("lang", "topic") for v, x in there(k).items())
+    w, total, _ = mixing.fit(cells, {"a": (0.9, 1), "b": (0.1, 3)})  # a gives all it has
+    assert all(abs(x - 1) < 1e-9 for k, x in w.items() if k[0] == "a") and abs(by("source")["b"] / total - 0.1) < 1e-6
+    assert mixing.fit([], {}) == ({}, 0.0, [])
+
+
+def test_topics_and_systematic_sampling(spark):
+    r = random.Random(2)
+    themes = ["memory cache latency slow".split(), "token parser grammar syntax".split(), "索引 グラフ 検索 結果".split()]
+    model = mixing.TopicModel([mixing.word_counts(" ".join(r.choices(t, k=12))) for _ in range(40) for t in themes], 3)
+    names = [{model.of(mixing.word_counts(" ".join(r.choices(t, k=12)))) for _ in range(20)} for t in themes]
+    assert all(len(x) == 1 for x in names) and len(set.union(*names)) == 3 and model.of({}) == "none" and mixing.TopicModel([]).of({1: 1}) == "none"
+    rows = [(i, "s" if i % 3 else "t", "en", "x", r.randint(1, 500), 0.37 if i % 3 else 2.5, 3) for i in range(3000)]
+    got = mixing.sample(spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long, weight double, max_repeats int")).collect()
+    assert {x.copies for x in got if x.source == "s"} == {0, 1} and {x.copies for x in got if x.source == "t"} == {2, 3}
+    assert abs(sum(x.copies for x in got if x.source == "s") - 740) <= 1 and abs(sum(x.copies for x in got if x.source == "t") - 2500) <= 1
 
 
 def test_spelling():
