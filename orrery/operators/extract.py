@@ -1,13 +1,17 @@
 """Extraction of definitions and raw references from sources, and their resolution by joins.
 
-One pass over each file gives definitions and raw references at once. Python is read with its own parser; TypeScript,
-JavaScript, Java, Go and Rust by a lexer that knows strings, comments and braces. Other languages give no symbols: there
-are no grammars here for them.
+One pass over each file gives definitions and raw references at once, with the container of each definition and the scope
+of each reference, as the whole file is at hand there. Python is read with its own parser, and by the lexer where a file
+has syntax errors; the other languages by a lexer that knows their comments, literals and blocks (see `languages`).
+
+Defined results: null and empty texts and unknown languages give no rows; a file whose braces don't close has its last
+blocks end with the file.
 """
 
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -17,103 +21,114 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.paths import directory, resolve_dots
+from orrery.operators.languages import BUILTIN_TYPES, LANGUAGES, block_end, blank_out
 from orrery.operators.orphans import SUFFIXES
 
 MOST_BODY = 2000
 # Which kind wins where two definitions share file, name and line.
 SPECIFICITY = {"variable": 0, "type_alias": 1, "function": 2, "module": 2, "namespace": 2, "property": 2, "constant": 2, "class": 3, "struct": 3, "enum": 3, "method": 3, "interface": 4, "trait": 4}
 _CONTAINERS = ("class", "interface", "struct", "trait", "enum")
-_DEF = {
-    "js": [("class", r"class\s+([A-Za-z_$][\w$]*)"), ("interface", r"interface\s+([A-Za-z_$][\w$]*)"), ("enum", r"enum\s+([A-Za-z_$][\w$]*)"), ("type_alias", r"type\s+([A-Za-z_$][\w$]*)\s*(?:<[^=]*>)?\s*="), ("function", r"function\s*\*?\s*([A-Za-z_$][\w$]*)"), ("function", r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>"), ("variable", r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)"), ("method", r"^\s+(?:(?:public|private|protected|static|async|readonly|get|set|override)\s+)*([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;{}]*\)\s*(?::\s*[^{;]+)?\{")],
-    "java": [("class", r"class\s+([A-Za-z_]\w*)"), ("interface", r"interface\s+([A-Za-z_]\w*)"), ("enum", r"enum\s+([A-Za-z_]\w*)"), ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ?.]+\s+([A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:throws [\w, .]+)?\{")],
-    "go": [("method", r"^func\s+\([^)]*\)\s*([A-Za-z_]\w*)"), ("function", r"^func\s+([A-Za-z_]\w*)"), ("class", r"^type\s+([A-Za-z_]\w*)\s+struct"), ("interface", r"^type\s+([A-Za-z_]\w*)\s+interface"), ("type_alias", r"^type\s+([A-Za-z_]\w*)\s+\w"), ("variable", r"^(?:var|const)\s+([A-Za-z_]\w*)")],
-    "rust": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+([A-Za-z_]\w*)"), ("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_]\w*)"), ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+([A-Za-z_]\w*)"), ("interface", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+([A-Za-z_]\w*)"), ("type_alias", r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+([A-Za-z_]\w*)"), ("variable", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:static|const)\s+([A-Za-z_]\w*)")],
-}
-FAMILY = {"typescript": "js", "tsx": "js", "javascript": "js", "jsx": "js", "java": "java", "go": "go", "rust": "rust"}
-_IMPORT = {
-    "js": re.compile(r"""import\s+(?:type\s+)?(?:([\w$*{}\s,]+?)\s+from\s+)?["']([^"']+)["']|(?:^|[^\w.])require\(\s*["']([^"']+)["']\s*\)|export\s+(?:\*|\{[^}]*\})\s+from\s+["']([^"']+)["']"""),
-    "java": re.compile(r"^import\s+(?:static\s+)?()([\w.*]+);", re.M),
-    "go": re.compile(r'^import\s+(?:\w+\s+)?()"([^"]+)"|^\s+(?:\w+\s+)?"([\w./\-]+)"$', re.M),
-    "rust": re.compile(r"^use\s+()([\w:]+)", re.M),
-}
 _CALL = re.compile(r"(?<![\w.$])(new\s+)?(?:([A-Za-z_$][\w$]*)\.)?([A-Za-z_$][\w$]*)\s*\(")
 _NO_CALL = set("if for while switch catch return function match fn func sizeof typeof super constructor elif except print def class await yield throw new in of and or not".split())
 
 
-def blank_out(text: str, hashes: bool = False) -> str:
-    """The text with comments and string contents as blanks; places stay."""
-    pattern = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?\*/" + (r"|#[^\n]*" if hashes else "")
-    keep = lambda m: "".join(c if c == "\n" else " " for c in m.group()) if m.group()[0] in "/#" else m.group()[0] + "".join(c if c == "\n" else " " for c in m.group()[1:-1]) + m.group()[-1]
-    return re.sub(pattern, keep, text, flags=re.S)
-
-
-def _block_end(code: str, start: int) -> int:
-    """End of the braces that open after start, else of the line."""
-    line = code.find("\n", start)
-    line = len(code) if line < 0 else line
-    opened = code.find("{", start)
-    stop = code.find(";", start)
-    if opened < 0 or (0 <= stop < opened) or opened > line + 200:
-        return line
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(code, opened):
-        depth += 1 if m.group() == "{" else -1
-        if depth == 0:
-            return m.end()
-    return len(code)
-
-
 def _shorten(body: str) -> str:
     return body if len(body) <= MOST_BODY else body[:MOST_BODY] + "..."
 
 
+Row = tuple  # record, kind, name, start_line, end_line, exported, doc, body, extra
+
+
 def extract_file(path: str, language: str, text: str) -> list[tuple]:
-    """Rows (record, kind, name, start_line, end_line, exported, doc, body, extra).
+    """Rows (record, kind, name, start_line, end_line, exported, doc, body, extra, outer, container, scope).
 
-    record is `def` or `ref`; kinds of references are calls, imports, extends and implements, extra is the object, `new`
-    or the imported names.
+    record is `def` or `ref`; kinds of references are calls, imports, extends, implements and types; extra is the object,
+    `new`, the child or the imported names (after `*` where they're exported again). outer has the names of the containers
+    around a method, outermost first; container and scope are "kind:name:line" of the tightest one.
     """
-    if language == "python":
-        return _python(text)
-    family = FAMILY.get(language)
-    if family is None:
+    rows = _python(text) if language == "python" else None
+    if rows is None:
+        rows = _lexed(language, text)
+    return _placed(rows)
+
+
+def _lexed(language: str, text: str) -> list[Row]:
+    known = LANGUAGES.get(language)
+    if known is None or not text:
         return []
-    code = blank_out(text)
+    code = blank_out(text, known)
     starts = [0] + [m.end() for m in re.finditer("\n", code)]
-    import bisect
-
     line_of = lambda at: bisect.bisect_right(starts, at)
-    found: dict[tuple[str, int], tuple] = {}
-    for kind, pattern in _DEF[family]:
+    found: dict[tuple[str, int], Row] = {}
+    for kind, pattern in known.definitions:
         for m in re.finditer(pattern, code, re.M):
             name, at = m.group(1), m.start(1)
             if name in _NO_CALL:
                 continue
             start = line_of(at)
-            end_at = _block_end(code, m.end() - 1 if m.group().endswith("{") else m.end())
-            if kind == "function" and family == "rust" and code[starts[start - 1] : at].startswith((" ", "\t")):
-                kind_ = "method"
-            else:
-                kind_ = kind
-            head = code[starts[start - 1] : at]
-            exported = bool(re.match(r"\s*export\b", head)) if family == "js" else "pub" in head if family == "rust" else name[:1].isupper() if family == "go" else "public" in head
             old = found.get((name, start))
-            if old is None or SPECIFICITY[kind_] > SPECIFICITY[old[1]]:
-                found[name, start] = ("def", kind_, name, start, line_of(max(at, end_at - 1)), exported, _doc_before(text, starts, start), _shorten(text[starts[start - 1] : end_at]), None)
+            if old is not None and SPECIFICITY[kind] <= SPECIFICITY[old[1]]:
+                continue
+            end_at = max(at + 1, block_end(code, at, m.end(), known))
+            head = code[starts[start - 1] : at]
+            if known.exported:
+                exported = bool(re.search(known.exported, code[starts[start - 1] : m.end(1)]))
+            else:
+                exported = not (known.private and re.search(known.private, head))
+            found[name, start] = ("def", kind, name, start, line_of(end_at - 1), exported, _doc_before(text, starts, start), _shorten(text[starts[start - 1] : end_at]), None)
     out = list(found.values())
-    for m in _IMPORT[family].finditer(text):
-        groups = [g for g in m.groups()[1:] if g]
-        if groups:
-            names = ",".join(re.findall(r"[\w$]+", re.sub(r"\bas\s+\w+", "", m.group(1) or "").replace("type", ""))) if m.group(1) else None
-            out.append(("ref", "imports", groups[0], line_of(m.start()), line_of(m.start()), None, None, None, names))
-    defs = {(n, s) for n, s in found}
+    for m in re.finditer(known.imports, text, re.M):
+        groups = m.groupdict()
+        source = next((groups[g] for g in "abc" if groups.get(g)), None)
+        if source:
+            names = groups.get("names") or groups.get("reexported")
+            names = ",".join(x for x in re.findall(r"[\w$]+", re.sub(r"\bas\s+\w+", "", names)) if x != "type") if names else None
+            if groups.get("reexported"):
+                names = "*" + ("," + names if names else "")
+            out.append(("ref", "imports", source, line_of(m.start()), line_of(m.start()), None, None, None, names))
     for m in _CALL.finditer(code):
-        if m.group(3) not in _NO_CALL and (m.group(3), line_of(m.start(3))) not in defs:
+        if m.group(3) not in _NO_CALL and (m.group(3), line_of(m.start(3))) not in found:
             out.append(("ref", "calls", m.group(3), line_of(m.start(3)), line_of(m.start(3)), None, None, None, "new" if m.group(1) else m.group(2)))
-    for m in re.finditer(r"(?:class|interface)\s+([A-Za-z_$][\w$]*)[^{\n]*?\b(extends|implements)\s+([\w$.,\s]+?)\s*(?:\bimplements\s+([\w$.,\s]+))?\{", code):
-        for kind, names in ((m.group(2), m.group(3)), ("implements", m.group(4))):
-            for parent in re.findall(r"[\w$]+", names or ""):
-                out.append(("ref", kind, parent, line_of(m.start()), line_of(m.start()), None, None, None, m.group(1)))
+    for kind, pattern in known.inherits:
+        for m in re.finditer(pattern, code, re.M):
+            named = m.groupdict()
+            child, parents = (named["child"], named["parent"]) if named else m.groups()
+            for parent in re.findall(r"[A-Za-z_$][\w$]*", re.sub(r"<[^>]*>|\([^)]*\)|\w+[.:]+(?=\w)", "", parents)):
+                if parent not in ("public", "private", "protected", "virtual", "with"):
+                    out.append(("ref", kind, parent, line_of(m.start()), line_of(m.start()), None, None, None, child))
+    if known.types:
+        for m in re.finditer(known.types, code, re.M):
+            name = next((g for g in m.groups() if g), None)
+            if name and name not in BUILTIN_TYPES:
+                out.append(("ref", "types", name, line_of(m.start()), line_of(m.start()), None, None, None, None))
+    return out
+
+
+def _placed(rows: list[Row]) -> list[tuple]:
+    """The rows with outer, container and scope: one walk over the lines with a stack of the open definitions."""
+    defs = sorted((r for r in rows if r[0] == "def"), key=lambda r: (r[3], -r[4]))
+    refs = sorted((r for r in rows if r[0] == "ref"), key=lambda r: r[3])
+    out: list[tuple] = []
+    stack: list[Row] = []
+    name_of = lambda r: f"{r[1]}:{r[2]}:{r[3]}"
+    i = 0
+    for r in refs + [None]:
+        line = r[3] if r else float("inf")
+        while i < len(defs) and defs[i][3] <= line:
+            d = defs[i]
+            i += 1
+            stack = [x for x in stack if x[4] >= d[4] and x[3] <= d[3] and x is not d]
+            boxes = [x for x in stack if x[1] in _CONTAINERS]
+            inner = stack[-1] if stack else None
+            if d[1] == "function" and inner is not None and inner[1] in _CONTAINERS and (inner[3], inner[2]) != (d[3], d[2]):
+                d = (d[0], "method", *d[2:])
+            member = d[1] in ("method", "property")
+            outer = ".".join(x[2] for x in boxes) if member and boxes else None
+            out.append((*d, outer, name_of(boxes[-1]) if d[1] == "method" and boxes else None, None))
+            stack.append(d)
+        if r:
+            scope = next((x for x in reversed(stack) if x[3] <= line <= x[4] and x[1] in ("function", "method", "class")), None)
+            out.append((*r, None, None, name_of(scope) if scope else None))
     return out
 
 
@@ -129,11 +144,23 @@ def _doc_before(text: str, starts: list[int], line: int) -> str | None:
     return "\n".join(r.strip() for r in rows[k:]) or None
 
 
-def _python(text: str) -> list[tuple]:
+def clean_comment(text: str) -> str:
+    """A comment without its signs and with trimmed lines; tags and text stay."""
+    rows = re.sub(r"^\s*(?:/\*+!?|\"{3}|'{3}|<#|\(\*|\{-)|(?:\*+/|\"{3}|'{3}|#>|\*\)|-\})\s*$", "", text.strip()).split("\n")
+    return "\n".join(re.sub(r"^\s*(?:///?!?|\*(?!\*)|#+(?!!)|--+|;+|%+)?\s?", "", r).rstrip() for r in rows).strip()
+
+
+def strip_quotes(text: str) -> str:
+    """Without one pair of quotes around it."""
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'`" else text
+
+
+def _python(text: str) -> list[Row] | None:
+    """None if the file can't be parsed as a whole."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
     rows = text.split("\n")
     out: list[tuple] = []
 
@@ -146,6 +173,11 @@ def _python(text: str) -> list[tuple]:
                 for base in getattr(child, "bases", []):
                     if isinstance(base, (ast.Name, ast.Attribute)):
                         out.append(("ref", "extends", base.id if isinstance(base, ast.Name) else base.attr, child.lineno, child.lineno, None, None, None, child.name))
+                if not isinstance(child, ast.ClassDef):
+                    notes = [a.annotation for a in [*child.args.posonlyargs, *child.args.args, *child.args.kwonlyargs] if a.annotation] + ([child.returns] if child.returns else [])
+                    for name in {x.id for note in notes for x in ast.walk(note) if isinstance(x, ast.Name)} - BUILTIN_TYPES:
+                        if name[:1].isupper():
+                            out.append(("ref", "types", name, child.lineno, child.lineno, None, None, None, None))
                 visit(child, isinstance(child, ast.ClassDef))
                 continue
             if isinstance(child, ast.Assign) and isinstance(node, (ast.Module, ast.ClassDef)):
@@ -168,14 +200,14 @@ def _python(text: str) -> list[tuple]:
     return out
 
 
-_SCHEMA = "file_path string, language string, record string, kind string, name string, start_line int, end_line int, exported boolean, doc_comment string, body string, extra string"
+_SCHEMA = "file_path string, language string, record string, kind string, name string, start_line int, end_line int, exported boolean, doc_comment string, body string, extra string, outer string, container string, scope string"
 
 
 def extract(files: DataFrame) -> DataFrame:
     """Definitions and raw references of files (file_path, language, content), one pass per file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.bool_()] + [pa.string()] * 3
+        kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.bool_()] + [pa.string()] * 6
         names = [c.split()[0] for c in _SCHEMA.split(", ")]
         for b in batches:
             rows = [(p, lang, *r) for p, lang, t in zip(*(b.column(c).to_pylist() for c in ("file_path", "language", "content"))) for r in extract_file(p, (lang or "").lower(), t or "")]
@@ -193,12 +225,8 @@ def nodes_of(extracted: DataFrame) -> DataFrame:
     defs = extracted.where("record = 'def'").withColumn("id", node_id("kind", "file_path", "name", "start_line"))
     rank = F.row_number().over(W.partitionBy("file_path", "name", "start_line").orderBy(F.desc(F.create_map(*[F.lit(x) for kv in SPECIFICITY.items() for x in kv])[F.col("kind")]), "id"))
     defs = defs.withColumn("r", rank).where("r = 1").drop("r")
-    box = defs.where(F.col("kind").isin(*_CONTAINERS)).select("file_path", F.col("name").alias("c_name"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
-    inner = defs.where("kind in ('method', 'property')").select("id", "file_path", "start_line", "end_line")
-    around = inner.join(box, (inner.file_path == box.file_path) & (box.c_start <= inner.start_line) & (inner.end_line <= box.c_end))
-    names = around.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct((F.col("c_end") - F.col("c_start")).alias("span"), "c_name")), asc=False), lambda x: x["c_name"]).alias("outer"))
-    qualified = F.when(F.col("outer").isNotNull(), F.concat(F.array_join("outer", "."), F.lit("."), F.col("name")))
-    return defs.join(names, "id", "left").select("id", F.col("kind").alias("type"), "name", qualified.alias("qualified_name"), "file_path", "start_line", "end_line", "language", "doc_comment", "body", "exported", is_test(F.col("name"), F.col("file_path"), F.col("language")).alias("is_test"))
+    qualified = F.when(F.col("outer").isNotNull(), F.concat("outer", F.lit("."), F.col("name")))
+    return defs.select("id", F.col("kind").alias("type"), "name", qualified.alias("qualified_name"), "file_path", "start_line", "end_line", "language", "doc_comment", "body", "exported", is_test(F.col("name"), F.col("file_path"), F.col("language")).alias("is_test"))
 
 
 def is_test(name: Column, path: Column, language: Column) -> Column:
@@ -210,37 +238,76 @@ def is_test(name: Column, path: Column, language: Column) -> Column:
 
 
 def contains_edges(nodes: DataFrame) -> DataFrame:
-    """(source_id, target_id): each method in its tightest container, the one that begins last."""
-    box = nodes.where(F.col("type").isin(*_CONTAINERS)).select("file_path", F.col("id").alias("source_id"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
+    """(source_id, target_id): each method of a table of symbols in its tightest container, the one that begins last.
+
+    The containers of a file travel as one array, so a large file makes no rows of containers x members.
+    """
+    box = nodes.where(F.col("type").isin(*_CONTAINERS)).groupBy("file_path").agg(F.collect_list(F.struct(F.col("start_line").alias("s"), F.col("id").alias("i"), F.col("end_line").alias("e"))).alias("boxes"))  # of one file
     inner = nodes.where("type = 'method'").select(F.col("id").alias("target_id"), "file_path", "start_line", "end_line")
-    pairs = inner.join(box, "file_path").where("c_start <= start_line and end_line <= c_end and source_id <> target_id")
-    return pairs.groupBy("target_id").agg(F.max_by("source_id", F.struct("c_start", "source_id")).alias("source_id")).select("source_id", "target_id")
+    around = F.filter("boxes", lambda x: (x["s"] <= F.col("start_line")) & (F.col("end_line") <= x["e"]) & (x["i"] != F.col("target_id")))
+    return inner.join(box, "file_path").select(F.array_max(around)["i"].alias("source_id"), "target_id").where("source_id is not null")
 
 
 def enclosing_scope(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """References with `scope`: the smallest function, method or class around their line, else `file:` and the path."""
-    scopes = nodes.where("type in ('function', 'method', 'class')").select("file_path", F.col("id").alias("s_id"), F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
-    keyed = refs.withColumn("__ref", F.xxhash64("file_path", "start_line", "kind", "name", F.coalesce("extra", F.lit(""))))
-    hit = keyed.select("__ref", "file_path", "start_line").distinct().join(scopes, "file_path").where("s_start <= start_line and start_line <= s_end")
-    best = hit.groupBy("__ref").agg(F.min_by("s_id", F.struct(F.col("s_end") - F.col("s_start"), "s_start", "s_id")).alias("scope"))
-    return keyed.join(best, "__ref", "left").withColumn("scope", F.coalesce("scope", F.concat(F.lit("file:"), F.col("file_path")))).drop("__ref")
+    """References of a table with `scope`: the smallest function, method or class around their line, else `file:` and the path."""
+    scopes = nodes.where("type in ('function', 'method', 'class')").groupBy("file_path").agg(F.collect_list(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), F.col("start_line").alias("s"), F.col("id").alias("i"), F.col("end_line").alias("e"))).alias("scopes"))  # of one file
+    around = F.filter("scopes", lambda x: (x["s"] <= F.col("start_line")) & (F.col("start_line") <= x["e"]))
+    return refs.drop("scope").join(scopes, "file_path", "left").withColumn("scope", F.coalesce(F.array_min(around)["i"], F.concat(F.lit("file:"), F.col("file_path")))).drop("scopes")
 
 
 def resolve_names(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """References with `target_id`: of the symbols of that name the one in the same file, else an exported one, else the first by file and line."""
-    keyed = refs.withColumn("__ref", F.xxhash64("file_path", "start_line", "kind", "name", "scope"))
-    cand = nodes.select(F.col("name"), F.col("id").alias("target_id"), F.col("file_path").alias("t_file"), F.col("start_line").alias("t_line"), F.coalesce("exported", F.lit(False)).alias("t_exported"))
-    order = F.struct((F.col("file_path") != F.col("t_file")).alias("a"), (~F.col("t_exported")).alias("b"), "t_file", "t_line", "target_id")
-    best = keyed.join(cand, "name").groupBy("__ref").agg(F.min(order).alias("t")).select("__ref", "t.target_id")
-    return keyed.join(best, "__ref", "left").withColumn("target_id", F.coalesce("target_id", F.concat(F.lit("unresolved:"), F.col("name")))).drop("__ref")
+    """References with `target_id`: of the symbols of that name the first in the same file, else the first exported, else the
+    first, by file and line.
+
+    Candidates are reduced to one row per name and file and one per name before they meet the references, so a name that
+    very many symbols have is no product.
+    """
+    first = F.struct("file_path", "start_line", "id")
+    same = nodes.groupBy("name", "file_path").agg(F.min(F.struct("start_line", "id")).alias("same"))
+    any_ = nodes.groupBy("name").agg(F.min(F.when(F.coalesce("exported", F.lit(False)), first)).alias("out"), F.min(first).alias("first"))
+    found = refs.join(same, ["name", "file_path"], "left").join(any_, "name", "left")
+    target = F.coalesce(F.col("same.id"), F.col("out.id"), F.col("first.id"), F.concat(F.lit("unresolved:"), F.col("name")))
+    return found.select(*refs.columns, target.alias("target_id"))
+
+
+def _named(place: Column, path: Column) -> Column:
+    """The id of "kind:name:line" in a file."""
+    parts = F.split(place, ":")
+    return node_id(parts[0], path, parts[1], parts[2])
+
+
+def edges_of(extracted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source_id, target_id, type, properties): calls, inheritance, imports, references to types, containment.
+
+    properties is a JSON object with filePath and line, and where there is one the object, the names, or constructor. A
+    reference to a type that no symbol answers is none.
+    """
+    refs = extracted.where("record = 'ref'").select("file_path", "kind", "name", "start_line", "extra", "scope").distinct()
+    path = F.concat(F.lit("file:"), F.col("file_path"))
+    source = F.coalesce(_named(F.col("scope"), F.col("file_path")), path)
+    child = F.col("kind").isin("extends", "implements")
+    of_child = nodes.where(F.col("type").isin(*_CONTAINERS)).groupBy("file_path", F.col("name").alias("extra")).agg(F.min(F.struct("start_line", "id")).alias("c")).select("file_path", "extra", F.col("c.id").alias("child_id"))
+    named = resolve_names(refs.where("kind <> 'imports'"), nodes).join(of_child, ["file_path", "extra"], "left").where("kind <> 'types' or not startswith(target_id, 'unresolved:')")
+    named = named.select(F.when(child, F.coalesce("child_id", source)).otherwise(source).alias("source_id"), "target_id", F.when(F.col("kind") == "types", "references").otherwise(F.col("kind")).alias("type"), "file_path", "start_line", F.when(child, F.lit(None)).otherwise(F.col("extra")).alias("extra"))
+    imports = refs.where("kind = 'imports'").select(path.alias("source_id"), F.concat(F.lit("module:"), F.col("name")).alias("target_id"), F.lit("imports").alias("type"), "file_path", "start_line", "extra")
+    boxes = extracted.where("record = 'def' and kind = 'method' and container is not null").select(_named(F.col("container"), F.col("file_path")).alias("source_id"), node_id("kind", "file_path", "name", "start_line").alias("target_id"), F.lit("contains").alias("type"), "file_path", "start_line", F.lit(None).cast("string").alias("extra"))
+    made = (F.col("type") == "calls") & (F.col("extra") == "new")
+    properties = F.to_json(
+        F.struct(
+            F.col("file_path").alias("filePath"),
+            F.col("start_line").cast("string").alias("line"),
+            F.when(made, "true").alias("constructor"),
+            F.when((F.col("type") == "calls") & ~made, F.col("extra")).alias("object"),
+            F.when(F.col("type") == "imports", F.regexp_replace("extra", r"^\*,?", "")).alias("names"),
+            F.when((F.col("type") == "imports") & F.startswith("extra", F.lit("*")), "true").alias("reexport"),
+        )
+    )
+    return named.unionByName(imports).unionByName(boxes).where("source_id <> target_id").select("source_id", "target_id", "type", properties.alias("properties"))
 
 
 def reference_edges(extracted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(source_id, target_id, type) of calls, inheritance and imports."""
-    refs = extracted.where("record = 'ref'").select("file_path", "kind", "name", "start_line", "extra").distinct()
-    calls = resolve_names(enclosing_scope(refs.where("kind <> 'imports'"), nodes), nodes).select(F.col("scope").alias("source_id"), "target_id", F.col("kind").alias("type"))
-    imports = refs.where("kind = 'imports'").select(F.concat(F.lit("file:"), F.col("file_path")).alias("source_id"), F.concat(F.lit("module:"), F.col("name")).alias("target_id"), F.lit("imports").alias("type"))
-    return calls.unionByName(imports).unionByName(contains_edges(nodes).withColumn("type", F.lit("contains"))).distinct()
+    """Distinct (source_id, target_id, type) of `edges_of`."""
+    return edges_of(extracted, nodes).select("source_id", "target_id", "type").distinct()
 
 
 def resolve_imports(extracted: DataFrame, nodes: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +316,7 @@ def resolve_imports(extracted: DataFrame, nodes: DataFrame, files: DataFrame) ->
     A relative or alias specifier is the first existing of its candidates; named imports go to the symbols of that name
     in the file, others to all it exports.
     """
-    refs = extracted.where("record = 'ref' and kind = 'imports' and name rlike '^(?:\\\\.{1,2}/|@/|~/)'").select("file_path", F.col("name").alias("specifier"), F.col("start_line").alias("line"), F.col("extra").alias("names")).distinct()
+    refs = extracted.where("record = 'ref' and kind = 'imports' and name rlike '^(?:\\\\.{1,2}/|@/|~/)'").select("file_path", F.col("name").alias("specifier"), F.col("start_line").alias("line"), F.when(~F.startswith("extra", F.lit("*")), F.col("extra")).alias("names")).distinct()
     s = F.col("specifier")
     base = resolve_dots(F.when(s.rlike("^[@~]/"), F.concat(F.lit("src/"), F.expr("substring(specifier, 3)"))).otherwise(F.concat(directory(F.col("file_path")), F.lit("/"), s)))
     tried = refs.withColumn("base", base).select("*", F.posexplode(F.array(*[F.lit(x) for x in ["", *SUFFIXES, "/__init__.py"]])).alias("pos", "suffix")).withColumn("target_file", F.concat("base", "suffix"))
@@ -282,3 +349,34 @@ def framework_edges(nodes: DataFrame) -> DataFrame:
     src = nodes.withColumn("framework", rules).where("framework is not null").select("id", "framework", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1)))).alias("name"))
     dst = nodes.where("type in ('function', 'method', 'class')").select(F.col("id").alias("target_id"), "name")
     return src.join(dst, "name").where("id <> target_id").select(F.col("id").alias("source_id"), "target_id", F.lit("references").alias("type"), "framework").distinct()
+
+
+def resolve_barrel(edges: DataFrame) -> DataFrame:
+    """(source_id, target_id, type, properties): imports from files that only export again lead one hop on.
+
+    `edges` are file-to-file imports with properties; those with `reexport` are the hops. New edges have barrel = true.
+    """
+    hop = edges.where(F.get_json_object("properties", "$.reexport") == "true").select(F.col("source_id").alias("via"), F.col("target_id").alias("beyond"))
+    through = edges.where("type = 'imports'").select("source_id", F.col("target_id").alias("via")).distinct().join(hop.distinct(), "via").where("source_id <> beyond")
+    return through.select("source_id", F.col("beyond").alias("target_id"), F.lit("imports").alias("type"), F.to_json(F.struct(F.lit("true").alias("barrel"))).alias("properties")).distinct()
+
+
+def is_pascal_case(name: Column) -> Column:
+    return name.rlike("^[A-Z]") & name.rlike("[a-z]") & ~name.rlike("[_\\-]")
+
+
+def react_components(nodes: DataFrame) -> DataFrame:
+    """(source_id, target_id, type): components of one name in different files.
+
+    Each component of a name refers to the name's first one in another file, so a name that very many files have stays
+    linear: the first refers to the second, all others to the first.
+    """
+    parts = nodes.where(F.col("type").isin("function", "class", "variable") & F.lower("language").isin("tsx", "jsx", "typescript", "javascript") & is_pascal_case(F.col("name"))).select("id", "name", "file_path", "start_line").distinct()
+    per_file = parts.groupBy("name", "file_path").agg(F.min(F.struct("start_line", "id")).alias("own"))
+    low = per_file.groupBy("name").agg(F.min(F.struct("file_path", "own")).alias("one"), F.max(F.struct("file_path", "own")).alias("last"))
+    low = low.where("one.file_path <> last.file_path")
+    second = per_file.join(low.select("name", "one"), "name").where("file_path <> one.file_path").groupBy("name").agg(F.min(F.struct("file_path", "own")).alias("two"))
+    ends = low.select("name", "one").join(second, "name")
+    out = parts.join(ends, "name")
+    target = F.when(F.col("file_path") == F.col("one.file_path"), F.col("two.own.id")).otherwise(F.col("one.own.id"))
+    return out.select(F.col("id").alias("source_id"), target.alias("target_id"), F.lit("references").alias("type"))
