@@ -13,28 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.functions.fixed import ABBREVIATIONS, QUESTION_WORDS, SYNONYMS
 from orrery.functions.text import split_words, terms
 
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
 # Weights of the fields of a symbol.
 SYMBOL_FIELDS = {"name": 10.0, "qualified_name": 8.0, "signature": 5.0, "doc_comment": 3.0, "file_path": 1.0, "name_tokens": 7.0}
-# Abbreviations and what they stand for.
-ABBREVIATIONS = {
-    "auth": "authentication", "cfg": "configuration", "config": "configuration", "db": "database", "req": "request", "res": "response", "resp": "response", "msg": "message", "err": "error", "ctx": "context",
-    "fn": "function", "func": "function", "impl": "implementation", "init": "initialize", "param": "parameter", "params": "parameters", "str": "string", "int": "integer", "btn": "button", "nav": "navigation",
-    "doc": "document", "docs": "documents", "env": "environment", "util": "utility", "utils": "utilities", "src": "source", "dest": "destination", "dst": "destination", "dir": "directory", "tmp": "temporary",
-    "temp": "temporary", "pkg": "package", "lib": "library", "obj": "object", "arg": "argument", "args": "arguments", "val": "value", "prev": "previous", "cur": "current", "idx": "index", "len": "length",
-    "num": "number", "max": "maximum", "min": "minimum", "avg": "average", "calc": "calculate", "del": "delete", "fmt": "format", "gen": "generate", "info": "information", "opt": "option", "opts": "options",
-    "ref": "reference", "refs": "references", "repo": "repository", "spec": "specification", "sync": "synchronize", "async": "asynchronous",
-}
-# Groups of words that stand for each other.
-SYNONYMS = [
-    "remove delete destroy drop", "create new init make build", "error exception fault failure", "get fetch retrieve find lookup", "set update put assign", "send emit dispatch publish", "receive consume subscribe listen",
-    "start begin launch run", "stop end halt terminate shutdown", "show display render present", "hide conceal collapse", "load read open parse", "save write store persist flush", "check validate verify test assert",
-    "convert transform map translate", "list array collection vec", "handle process execute", "connect attach bind link", "disconnect detach unbind unlink", "enable activate on", "disable deactivate off",
-]
-# Words of questions.
-QUESTION_WORDS = set("the a an how what which where when why who find get all that this with from for into does show list is are can should function method class file functions methods classes files".split())
 # Weights of the keyword and the vector list by intent.
 BLEND = {"symbol": (0.8, 0.2), "semantic": (0.3, 0.7), "hybrid": (1.0, 1.0)}
 
@@ -59,9 +43,8 @@ def expand(query: str, leak_or: bool = False) -> list[str]:
     for w in words:
         found = [w, *([ABBREVIATIONS[w]] if w in ABBREVIATIONS else []), *back.get(w, [])]
         for group in SYNONYMS:
-            members = group.split()
-            if w in members:
-                found += members
+            if w in group:
+                found += group
         out += [x for x in found if x not in out]
     return out + (["or"] if leak_or and len(out) > 1 and "or" not in out else [])
 

@@ -1,7 +1,8 @@
 """Rule-based scanning, reports over findings, redaction, and taint tracking.
 
-Rules are regular expressions over single lines, in the common subset of the engines. A bad pattern of a rule that the
-caller loads raises at once. Empty and null texts have no findings.
+Rules are regular expressions over whole texts, in the common subset of the engines, so a match may go over line ends; each
+finding has the line and the column where it begins. A bad pattern of a rule that the caller loads raises at once. Empty
+and null texts have no findings.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.fixed import SANITIZERS, SINKS, SOURCES
 
 SEVERITIES = ["info", "low", "medium", "high", "critical"]
 # Rules as (id, name, severity, cwe, owasp, languages, pattern, message, fix, category).
@@ -72,26 +74,73 @@ def is_test_path(path):
     return F.lower(path).rlike(TEST_PATHS)
 
 
-def _finding_of(r: tuple):
-    fixed = [F.lit(x).cast("string").alias(n) for x, n in ((r[0], "rule_id"), (r[2], "severity"), (r[3], "cwe"), (r[4], "owasp"), (r[9], "category"))]
-    return lambda m: F.struct(*fixed, m.alias("matched_text"))
+def owasp_rules(rules: list[tuple] | None = None) -> list[tuple]:
+    """The rules with a place in the OWASP list."""
+    return [r for r in RULES if r[4]] if rules is None else [r for r in rules if r[4]]
+
+
+def cwe_rules(rules: list[tuple] | None = None) -> list[tuple]:
+    """The rules with a weakness number."""
+    return [r for r in RULES if r[3]] if rules is None else [r for r in rules if r[3]]
+
+
+def line_and_column(text: str, at: int) -> tuple[int, int]:
+    """1-based line and column of an offset."""
+    return text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at)
+
+
+_FINDING = "key string, line_no int, column_no int, rule_id string, severity string, cwe string, owasp string, category string, matched_text string"
 
 
 def scan(texts: DataFrame, key: str, text: str, language: str | None = None, rules: list[tuple] | None = None) -> DataFrame:
-    """(key, line_no, rule_id, severity, cwe, owasp, category, matched_text): all matches of all rules, line by line.
+    """(key, line_no, column_no, rule_id, severity, cwe, owasp, category, matched_text): all matches of all rules.
 
-    The rules are literals of one expression: a line is read once, and no join is needed.
+    One expression of all patterns leaves the texts without any behind; only the others are searched for places.
     """
     rules = RULES if rules is None else rules
-    src = texts.select(F.col(key), F.col(text), (F.lower(F.col(language)) if language else F.lit("")).alias("__lang"))
-    rows = src.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), "__lang", F.posexplode(F.split(F.col(text), "\r?\n")).alias("p", "line"))
-    hits = []
+    if not rules:
+        return texts.sparkSession.createDataFrame([], _FINDING)
+    compiled = [(re.compile(r[6], re.ASCII), set(r[5].split(",")) if language and r[5] else None, (r[0], r[2], r[3], r[4], r[9])) for r in rules]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _FINDING.split(", ")]
+        kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6]
+        for b in batches:
+            out = []
+            for k, t, lang in zip(*(b.column(c).to_pylist() for c in ("key", "text", "language"))):
+                for pattern, languages, fixed in compiled:
+                    if languages is None or lang in languages:
+                        for m in pattern.finditer(t):
+                            out.append((k, *line_and_column(t, m.start()), *fixed, m.group()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
+
+    some = F.lit(False)
     for r in rules:
-        found = F.transform(F.regexp_extract_all("line", F.lit(r[6]), F.lit(0)), _finding_of(r))
-        if language and r[5]:
-            found = F.when(F.col("__lang").isin(*r[5].split(",")), found).otherwise(F.slice(found, 1, 0))
-        hits.append(found)
-    return rows.select("key", (F.col("p") + 1).alias("line_no"), F.explode(F.concat(*hits)).alias("h")).select("key", "line_no", "h.*")
+        some = some | F.col("text").rlike(r[6])
+    lang = F.lower(F.coalesce(F.col(language), F.lit(""))) if language else F.lit("")
+    src = texts.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), lang.alias("language"))
+    return src.where(some).mapInArrow(run, _FINDING)
+
+
+def scan_files(files: DataFrame, rules: list[tuple] | None = None, exclude_tests: bool = False) -> DataFrame:
+    """Findings of files (file_path, language, content), the worst first, with the path as key."""
+    if exclude_tests:
+        files = files.where(~is_test_path(F.col("file_path")))
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    return scan(files, "file_path", "content", "language", rules).orderBy(F.desc(rank), "key", "line_no", "column_no", "rule_id")
+
+
+def ci_report(findings: DataFrame, least: str = "medium", most: int = 50) -> tuple[str, int]:
+    """(Markdown of the findings from a severity on, exit code): 1 if any is critical. At most `most` rows are listed."""
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.lower("severity"))
+    bad = findings.where(rank > SEVERITIES.index(least))
+    counts = {r.severity: r.n for r in bad.groupBy(F.lower("severity").alias("severity")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = bad.orderBy(F.desc(rank), "key", "line_no", "column_no", "rule_id").limit(most).collect()
+    out = ["## Security findings", "", *(f"- {s}: {counts[s]}" for s in reversed(SEVERITIES) if s in counts)]
+    if not counts:
+        return "## Security findings\n\nNone.", 0
+    out += ["", "| severity | rule | place |", "|---|---|---|", *(f"| {r.severity} | {r.rule_id} | {r.key}:{r.line_no}:{r.column_no} |" for r in rows)]
+    return "\n".join(out), int("critical" in counts)
 
 
 def severity_summary(findings: DataFrame) -> DataFrame:
@@ -135,34 +184,6 @@ def redact(text):
     return text
 
 
-# Sources of input per language, as (language, kind, patterns).
-SOURCES = [
-    ("python", "user_input", "request.args request.form request.data request.json request.values request.cookies request.headers request.GET request.POST request.COOKIES request.META".split()),
-    ("python", "command_args", "input( sys.argv sys.stdin".split()), ("python", "environment", "os.environ os.getenv(".split()), ("python", "file_read", "open( .read( read_to_string".split()),
-    ("javascript", "user_input", "req.query req.body req.params req.cookies req.headers request.query request.body request.params".split()), ("typescript", "user_input", "req.query req.body req.params req.cookies req.headers".split()),
-    ("javascript", "environment", "process.argv process.env".split()), ("javascript", "file_read", "fs.readFile fs.readFileSync readFile(".split()),
-    ("go", "user_input", "r.URL.Query r.FormValue( r.PostFormValue( r.Header.Get( r.Body".split()), ("go", "environment", "os.Getenv( os.Args".split()),
-    ("java", "user_input", "getParameter( getParameterValues( getInputStream( getReader( getHeader( getCookies( getQueryString(".split()), ("kotlin", "user_input", "getParameter( getParameterValues(".split()),
-    ("php", "user_input", "$_GET $_POST $_REQUEST $_COOKIE $_SERVER $_FILES".split()), ("php", "file_read", "file_get_contents( fread( fgets(".split()), ("ruby", "user_input", "params[ request.params request.body".split()),
-    ("rust", "user_input", "web::Query web::Form web::Json web::Path".split()), ("rust", "environment", "std::env::var( env::var(".split()), ("c", "user_input", "scanf( gets( fgets( getenv(".split()), ("cpp", "user_input", "std::cin getline( getenv(".split()),
-]
-# Sinks per language, as (language, kind, patterns).
-SINKS = [
-    ("python", "sql_query", "cursor.execute( .execute( raw( extra(".split()), ("javascript", "sql_query", ".query( .execute( knex.raw(".split()), ("java", "sql_query", "executeQuery( executeUpdate( execute( createQuery( createNativeQuery(".split()),
-    ("php", "sql_query", "mysql_query( mysqli_query( ->query(".split()), ("go", "sql_query", "db.Query( db.Exec( db.QueryRow(".split()), ("python", "command_exec", "os.system( subprocess.call( subprocess.run( subprocess.Popen( os.popen(".split()),
-    ("javascript", "command_exec", "child_process.exec( child_process.execSync( execSync( exec(".split()), ("php", "command_exec", "exec( system( passthru( shell_exec( popen(".split()), ("ruby", "command_exec", "system( ` exec( IO.popen(".split()),
-    ("javascript", "html_output", "innerHTML document.write( dangerouslySetInnerHTML".split()), ("python", "html_output", "Markup( render_template_string(".split()), ("python", "file_path", "open( os.path.join(".split()),
-    ("javascript", "file_path", "fs.readFile( fs.writeFile( path.join(".split()), ("python", "code_eval", "eval( exec(".split()), ("javascript", "code_eval", "eval( Function(".split()), ("php", "code_eval", "eval( assert(".split()),
-    ("python", "deserialization", "pickle.loads( pickle.load( yaml.load(".split()), ("java", "deserialization", "readObject( ObjectInputStream(".split()), ("php", "deserialization", ["unserialize("]),
-]
-# What makes a value safe for a kind of sink.
-SANITIZERS = {
-    "sql_query": "parameterized prepared sanitize escape quote bind placeholder %s ?".split(),
-    "command_exec": "shlex.quote escapeshellarg shellescape".split(),
-    "html_output": "escape( html.escape cgi.escape bleach.clean DOMPurify.sanitize encodeURIComponent escapeHtml sanitize strip_tags".split(),
-    "file_path": "realpath abspath canonicalize normalize basename secure_filename".split(),
-    "code_eval": "ast.literal_eval json.loads JSON.parse".split(),
-}
 _COLLECT = ("append", "push", "add", "extend", "insert", "set")
 
 

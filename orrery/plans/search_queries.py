@@ -109,7 +109,13 @@ def context_document(spark, folder):
 
 def rule_findings(spark, folder):
     b = _bodies(spark, folder)
-    return security.scan(b, "id", "body").select("key", "line_no", "rule_id", "matched_text")
+    return security.scan(b, "id", "body").select("key", "line_no", "column_no", "rule_id", "matched_text")
+
+
+def owasp_findings(spark, folder):
+    rows = table(spark, folder, "nodes").where("body is not null").groupBy("id").agg(F.first("body").alias("content"), F.max(F.lower("language")).alias("language"), F.max("file_path").alias("file_path"))
+    found = security.scan(rows.where(~security.is_test_path(F.col("file_path"))), "id", "content", "language", security.owasp_rules())
+    return found.groupBy("owasp", "cwe", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def finding_summary(spark, folder):
@@ -148,7 +154,7 @@ def trace_taint(spark, folder):
     return security.find_injections(_by_language(spark, folder), "id", "body", "language", from_line=2, keep_sanitized=True)
 
 
-_ALL = (bm25_topk, keyword_symbols, hybrid_symbols, search_files, workspace_search, knn_cosine, rrf_fusion, rrf_weighted, expand_terms, intents, snippets, identifier_words, token_estimate, pack_budget, truncate_fit, signatures, context_document, rule_findings, finding_summary, scan_summary, top_rules, redact_secrets, taint_sources, taint_sinks, find_injections, trace_taint)
+_ALL = (bm25_topk, keyword_symbols, hybrid_symbols, search_files, workspace_search, knn_cosine, rrf_fusion, rrf_weighted, expand_terms, intents, snippets, identifier_words, token_estimate, pack_budget, truncate_fit, signatures, context_document, rule_findings, owasp_findings, finding_summary, scan_summary, top_rules, redact_secrets, taint_sources, taint_sinks, find_injections, trace_taint)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -176,7 +182,15 @@ bonus AS (SELECT * FROM (VALUES (1, 0.05), (2, 0.02), (3, 0.02)) v(r, x))"""
 _B = "b AS (SELECT id, any_value(body) AS body, max(lower(language)) AS language FROM nodes WHERE body IS NOT NULL GROUP BY 1), l AS (SELECT id AS key, language, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line_no, rtrim(unnest(string_split(body, chr(10))), chr(13)) AS line FROM b)"
 _quote = lambda x: "'" + x.replace("'", "''") + "'"
 _RULES = "r AS (SELECT * FROM (VALUES " + ", ".join(f"({_quote(r[0])}, {_quote(r[2])}, {_quote(r[6])})" for r in security.RULES) + ") v(rule_id, severity, pattern))"
-_HITS = f"WITH {_B}, {_RULES}, f AS (SELECT key, CAST(line_no AS INT) AS line_no, rule_id, severity, unnest(regexp_extract_all(line, pattern)) AS matched_text FROM l, r)"
+#: Matches over whole texts: what stands between them gives their offsets, and these the line and the column.
+_WHOLE = """m AS (SELECT key, language, file_path, rule_id, severity, body, regexp_extract_all(body, pattern) AS hits, string_split_regex(body, pattern) AS gaps FROM (SELECT id AS key, body, language, file_path FROM b), r WHERE regexp_matches(body, pattern){only}),
+h AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+o AS (SELECT *, substr(body, 1, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT)) AS before FROM h),
+f AS (SELECT key, language, file_path, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INT) AS line_no, CAST(length(string_split(before, chr(10))[-1]) + 1 AS INT) AS column_no, rule_id, severity, hits[i] AS matched_text FROM o)"""
+_BF = "b AS (SELECT id, any_value(body) AS body, max(lower(language)) AS language, max(file_path) AS file_path FROM nodes WHERE body IS NOT NULL GROUP BY 1)"
+_HITS = f"WITH {_BF}, {_RULES}, " + _WHOLE.format(only="")
+_OWASP_RULES = "r AS (SELECT * FROM (VALUES " + ", ".join(f"({_quote(r[0])}, {_quote(r[2])}, {_quote(r[6])}, {_quote(r[3])}, {_quote(r[4])}, {_quote(r[5])})" for r in security.owasp_rules()) + ") v(rule_id, severity, pattern, cwe, owasp, languages))"
+_NO_TEST = r"(^|/)(tests?|__tests__|spec|fixtures?|testdata|mocks?)/|(^|/)test_[^/]*$|[._-](test|spec|tests)\.[^/]*$"
 _COUNTS = ", ".join(f"count(*) FILTER (lower(severity) = '{s}') AS {s}" for s in security.SEVERITIES)
 _RISK = "CASE WHEN critical > 0 THEN 'CRITICAL' WHEN high > 0 THEN 'HIGH' WHEN medium > 0 THEN 'MEDIUM' WHEN low > 0 THEN 'LOW' ELSE 'NONE' END AS risk"
 
@@ -208,7 +222,10 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC,
     "token_estimate": f"SELECT doc_id, coalesce({_TOKENS}, 0) AS tokens FROM documents",
     "pack_budget": f"""WITH d AS (SELECT DISTINCT doc_id, coalesce(lower(trim(source, ' ')), '') AS source, coalesce({_TOKENS}, 0) AS tokens FROM documents),
 u AS (SELECT *, row_number() OVER w AS r, CAST(sum(greatest(tokens, 1)) OVER w AS BIGINT) AS used FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) SELECT source, doc_id, used FROM u WHERE used <= 500 OR r = 1""",
-    "rule_findings": _HITS + " SELECT key, line_no, rule_id, matched_text FROM f",
+    "rule_findings": _HITS + " SELECT key, line_no, column_no, rule_id, matched_text FROM f",
+    "owasp_findings": f"WITH {_BF}, {_OWASP_RULES}, "
+    + _WHOLE.format(only=" AND (languages = '' OR list_contains(string_split(languages, ','), language))")
+    + f" SELECT owasp, cwe, r.severity, count(*) AS n FROM f JOIN r USING (rule_id) WHERE NOT regexp_matches(lower(file_path), {_quote(_NO_TEST)}) GROUP BY 1, 2, 3",
     "scan_summary": _HITS + f", c AS (SELECT count(*) AS total, {_COUNTS} FROM f) SELECT *, {_RISK} FROM c",
     "finding_summary": f"WITH c AS (SELECT count(*) AS total, {_COUNTS} FROM (SELECT DISTINCT * FROM security_findings)) SELECT *, {_RISK} FROM c",
     "top_rules": _HITS + " SELECT rule_id, count(*) AS n FROM f GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",

@@ -64,6 +64,24 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("file_path", "language", F.col("length").alias("size_bytes"), text.alias("content")).where("content is not null").withColumn("content_hash", content_hash(F.col("content")))
 
 
+# Directories that the security scan passes over, besides those with a dot.
+SCAN_SKIPPED = ["node_modules", "target", "dist", "build", "vendor", "__pycache__"]
+
+
+def scan_dir_security(spark: SparkSession, root: str, exclude_tests: bool = False) -> DataFrame:
+    """(file_path, language, content) for the security scan: what git ignores is read too, dot names and SCAN_SKIPPED aren't."""
+    from orrery.operators.security import is_test_path
+
+    base = Path(root).resolve().as_uri()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path = F.regexp_replace(F.col("path"), "^" + base.replace("file:///", "file:/+") + "/", "")
+    inside = ~path.rlike(r"(?:^|/)\.") & ~path.rlike("(?:^|/)(?:" + "|".join(SCAN_SKIPPED) + ")/")
+    rows = files.where(F.col("length") <= MOST_BYTES).withColumn("file_path", path).where(inside).withColumn("language", language_of(F.col("file_path"))).where("language is not null")
+    if exclude_tests:
+        rows = rows.where(~is_test_path(F.col("file_path")))
+    return rows.select("file_path", "language", F.try_validate_utf8(F.col("content").cast("string")).alias("content")).where("content is not null")
+
+
 def changed(files: DataFrame, hashes: DataFrame) -> DataFrame:
     """Files whose (path, hash) the index lacks."""
     return files.join(hashes.select("file_path", "content_hash").distinct(), ["file_path", "content_hash"], "left_anti")
