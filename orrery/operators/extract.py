@@ -343,12 +343,14 @@ ROUTES = [
 def framework_edges(nodes: DataFrame) -> DataFrame:
     """(source_id, target_id, type, framework): registrations to the functions and classes they name.
 
-    Bodies are cut to words, so the names meet them by an equi-join.
+    Bodies are cut to words, and a word means the symbol that `resolve_names` gives it, so a name that very many symbols
+    have makes one edge.
     """
     rules = F.coalesce(*[F.when(F.col("file_path").rlike(p) & F.col("body").rlike(b), F.lit(n)) for n, p, b in ROUTES])
-    src = nodes.withColumn("framework", rules).where("framework is not null").select("id", "framework", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1)))).alias("name"))
-    dst = nodes.where("type in ('function', 'method', 'class')").select(F.col("id").alias("target_id"), "name")
-    return src.join(dst, "name").where("id <> target_id").select(F.col("id").alias("source_id"), "target_id", F.lit("references").alias("type"), "framework").distinct()
+    words = F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1))))
+    src = nodes.withColumn("framework", rules).where("framework is not null").select("id", "framework", "file_path", words.alias("name"))
+    found = resolve_names(src, nodes.where("type in ('function', 'method', 'class')")).where("id <> target_id and not startswith(target_id, 'unresolved:')")
+    return found.select(F.col("id").alias("source_id"), "target_id", F.lit("references").alias("type"), "framework").distinct()
 
 
 def resolve_barrel(edges: DataFrame) -> DataFrame:

@@ -31,22 +31,28 @@ def query_terms(query: str) -> list[str]:
 
 
 def expand(query: str, leak_or: bool = False) -> list[str]:
-    """The query first, then the words of its compounds, abbreviations both ways and synonyms.
+    """The query first, then the words of its compounds, abbreviations both ways and synonyms, each once whatever its case.
 
     `leak_or` adds the joining word itself as a term, as a compatible mode.
     """
-    out = [query.strip()]
-    words = list(dict.fromkeys(w for token in query.split() for w in [token.lower(), *split_words(token)]))
+    text = query.strip()
+    if not text:
+        return [""]
     back: dict[str, list[str]] = {}
     for short, long in ABBREVIATIONS.items():
         back.setdefault(long, []).append(short)
-    for w in words:
-        found = [w, *([ABBREVIATIONS[w]] if w in ABBREVIATIONS else []), *back.get(w, [])]
-        for group in SYNONYMS:
-            if w in group:
-                found += group
-        out += [x for x in found if x not in out]
-    return out + (["or"] if leak_or and len(out) > 1 and "or" not in out else [])
+    more: list[str] = []
+    for token in text.split():
+        for w in split_words(token):
+            more += [w] if len(w) > 1 and w != token.lower() else []
+            more += [ABBREVIATIONS[w]] if w in ABBREVIATIONS else []
+            more += back.get(w, [])
+            more += [x for group in SYNONYMS if w in group for x in group if x != w]
+    out = {text.lower(): text}
+    for x in more:
+        out.setdefault(x, x)
+    terms_ = list(out.values())
+    return terms_ + (["or"] if leak_or and len(terms_) > 1 and "or" not in out else [])
 
 
 def intent(query: str) -> str:

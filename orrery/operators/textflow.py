@@ -54,7 +54,7 @@ def complexity_report(texts: DataFrame, key: str, text: str, least: int = 5, n:
 
 def definitions(rows: DataFrame) -> DataFrame:
     """(key, var, line_no): one definition per line at most, `name = value` with or without a declaring keyword."""
-    line = F.trim("line")
+    line = F.trim(F.col("line"), F.lit(" \t\r"))
     declared = r"^(?:(?:" + "|".join(DECLARE) + r")\s+)*(" + IDENTIFIER + r")\s*(?::\s*[\w<>\[\], ]+?)?\s*(?::=|=)(?![=>])"
     name = F.regexp_extract(line, declared, 1)
     return rows.where(~line.rlike(r"^(?://|#|\*|/\*)")).select("key", name.alias("var"), "line_no").where((F.col("var") != "") & ~F.col("var").isin(*KEYWORDS))
@@ -62,7 +62,7 @@ def definitions(rows: DataFrame) -> DataFrame:
 
 def uses(rows: DataFrame) -> DataFrame:
     """(key, var, line_no): identifiers that are read, one row per line; string contents and comments are left out."""
-    line = F.trim("line")
+    line = F.trim(F.col("line"), F.lit(" \t\r"))
     bare = F.regexp_replace(line, r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", "")
     bare = F.regexp_replace(bare, r"(?://|(?<=\s)#).*$", "")
     right = F.regexp_replace(bare, r"^(?:(?:" + "|".join(DECLARE) + r")\s+)*" + IDENTIFIER + r"\s*(?::\s*[\w<>\[\], ]+?)?\s*(?::=|=)(?![=>])", "")

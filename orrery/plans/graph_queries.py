@@ -99,12 +99,12 @@ def tests_for(spark, folder):
     return graph.tests_for(table(spark, folder, "edges"), table(spark, folder, "nodes"), first_symbol(spark, folder), 5)
 
 
-def pagerank_12(spark, folder):
-    return graph.pagerank(table(spark, folder, "edges"), table(spark, folder, "nodes"), 12).select("id", F.round("rank", 9).alias("rank"))
+def pagerank_20(spark, folder):
+    return graph.pagerank(table(spark, folder, "edges"), table(spark, folder, "nodes"), 20).select("id", F.round("rank", 9).alias("rank"))
 
 
-def ppr_12(spark, folder):
-    return graph.pagerank(table(spark, folder, "edges"), table(spark, folder, "nodes"), 12, personal=first_symbol(spark, folder)).select("id", F.round("rank", 9).alias("rank"))
+def ppr_20(spark, folder):
+    return graph.pagerank(table(spark, folder, "edges"), table(spark, folder, "nodes"), 20, personal=first_symbol(spark, folder)).select("id", F.round("rank", 9).alias("rank"))
 
 
 def cycles(spark, folder):
@@ -115,7 +115,7 @@ def vertex_types(spark, folder):
     return graph.vertices(table(spark, folder, "nodes"), table(spark, folder, "edges")).groupBy("vertex_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (bfs_min_depth, reverse_bfs, all_depths, neighborhood_nodes, neighborhood_edges, find_path_len, callers, callees, dependencies, transitive_deps, impact_risk, impact_buckets, tests_for, pagerank_12, ppr_12, cycles, vertex_types)}
+QUERIES = {f.__name__: f for f in (bfs_min_depth, reverse_bfs, all_depths, neighborhood_nodes, neighborhood_edges, find_path_len, callers, callees, dependencies, transitive_deps, impact_risk, impact_buckets, tests_for, pagerank_20, ppr_20, cycles, vertex_types)}
 
 _PART = """
 lines AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem),
@@ -182,8 +182,8 @@ seen AS (SELECT t.* FROM reached r JOIN tests t USING (id) WHERE r.depth > 0),
 named AS (SELECT t.* FROM tests t WHERE EXISTS (SELECT 1 FROM nodes n JOIN seed USING (id) WHERE contains(t.name, lower(n.name)))),
 hits AS (SELECT * FROM seen UNION ALL SELECT * FROM named WHERE NOT EXISTS (SELECT 1 FROM seen))
 SELECT file_path, string_agg(id, ',' ORDER BY id) AS test_ids FROM hits GROUP BY 1""",
-    "pagerank_12": _ranks(12, "SELECT id, 1.0 / (SELECT count(*) FROM ids) AS home FROM ids"),
-    "ppr_12": "SELECT * FROM (" + _ranks(12, "SELECT id, CASE WHEN id IN (SELECT id FROM seed) THEN 1.0 ELSE 0.0 END AS home FROM ids").replace("SELECT id, round(rank, 9) AS rank FROM p12", "SELECT id, round(rank, 9) AS rank FROM p12 WHERE rank > 1e-10") + ")",
+    "pagerank_20": _ranks(20, "SELECT id, 1.0 / (SELECT count(*) FROM ids) AS home FROM ids"),
+    "ppr_20": "SELECT * FROM (" + _ranks(20, "SELECT id, CASE WHEN id IN (SELECT id FROM seed) THEN 1.0 ELSE 0.0 END AS home FROM ids").replace("SELECT id, round(rank, 9) AS rank FROM p20", "SELECT id, round(rank, 9) AS rank FROM p20 WHERE rank > 1e-10") + ")",
     "cycles": """WITH RECURSIVE link AS (SELECT DISTINCT source_id AS src, target_id AS dst FROM edges WHERE source_id IS NOT NULL AND source_id <> target_id AND target_id IN (SELECT source_id FROM edges)),
 reach AS (SELECT src, dst FROM link UNION SELECT r.src, l.dst FROM reach r JOIN link l ON l.src = r.dst),
 mutual AS (SELECT a.src AS id, min(least(a.src, a.dst)) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)

@@ -130,3 +130,11 @@ WHEN 'go' THEN regexp_matches(name, '^(Test|Benchmark|Example)[A-Z_]') WHEN 'jav
 n AS (SELECT k, sum(coalesce(f, 0) * coalesce(e, 0)) AS hit, count(f) AS nf, count(e) AS ne FROM f FULL JOIN e USING (k, v) GROUP BY 1), m AS (SELECT k, CASE WHEN nf > 0 THEN hit / nf ELSE 0 END AS p, CASE WHEN ne > 0 THEN hit / ne ELSE 0 END AS r FROM n)
 SELECT k, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM m""",
 }
+
+_RULE = "CASE " + " ".join(f"WHEN regexp_matches(file_path, '{p}') AND regexp_matches(body, '{b}') THEN '{n}'" for n, p, b in extract.ROUTES) + " END"
+ORACLES["framework_edges"] = f"""WITH {_S.replace("lower(language) AS language", "lower(language) AS language, exported, body")},
+c AS (SELECT * FROM s WHERE type IN ('function', 'method', 'class')), f AS (SELECT id, file_path, {_RULE} AS framework, body FROM s),
+w AS (SELECT DISTINCT id, file_path, framework, unnest(regexp_extract_all(body, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM f WHERE framework IS NOT NULL),
+same AS (SELECT name, file_path, arg_min(id, (start_line, id)) AS target FROM c GROUP BY 1, 2), out_ AS (SELECT name, arg_min(id, (file_path, start_line, id)) AS target FROM c WHERE exported GROUP BY 1), any_ AS (SELECT name, arg_min(id, (file_path, start_line, id)) AS target FROM c GROUP BY 1),
+r AS (SELECT w.id, w.framework, coalesce(same.target, out_.target, any_.target) AS target FROM w JOIN any_ USING (name) LEFT JOIN out_ USING (name) LEFT JOIN same ON same.name = w.name AND same.file_path = w.file_path)
+SELECT framework, count(*) AS n FROM (SELECT DISTINCT id, target, framework FROM r WHERE id <> target) GROUP BY 1"""

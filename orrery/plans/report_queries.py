@@ -134,3 +134,8 @@ SELECT id, coalesce(n, 0) AS in_degree FROM s LEFT JOIN i USING (id) ORDER BY 2
 SELECT id, type, name, file_path, (SELECT count(*) FROM d WHERE target_id = s.id) AS n_in, (SELECT count(*) FROM d WHERE source_id = s.id) AS n_out FROM s WHERE id IN (SELECT id FROM seed)""",
     "prefix_context": """SELECT description, count(*) AS n_paths FROM (SELECT DISTINCT file_path, CASE WHEN starts_with(file_path, 'harbor-mono/src/') THEN 'its sources' WHEN starts_with(file_path, 'harbor-mono/') THEN 'main repository' WHEN starts_with(file_path, 'amber-api/') THEN 'interface' END AS description FROM nodes) WHERE description IS NOT NULL GROUP BY 1""",
 }
+
+_LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
+ORACLES["source_hashes"] = f"""WITH i AS (SELECT DISTINCT id FROM nodes), h AS (SELECT id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(id, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) AS u FROM i),
+s AS (SELECT id, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS h FROM h), b AS (SELECT h, array_to_string(list_transform(range(0, 7), lambda k: substr('{_LETTERS}', CAST((abs(h) // CAST(pow(36, 6 - k) AS BIGINT)) % 36 + 1 AS BIGINT), 1)), '') AS d FROM s)
+SELECT CAST(length(CASE WHEN h < 0 THEN '-' ELSE '' END || CASE WHEN ltrim(d, '0') = '' THEN '0' ELSE ltrim(d, '0') END) AS INT) AS digits, count(*) AS n FROM b GROUP BY 1"""

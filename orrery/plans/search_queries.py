@@ -162,9 +162,9 @@ def _sql_terms(x: str) -> str:
     return rf"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
-def _sql_bm25(name: str, source: str, key: str, fields: dict[str, float], query: str) -> str:
+def _sql_bm25(name: str, source: str, key: str, fields: dict[str, float], query: str | list[str]) -> str:
     """CTEs that end in `name` (id, score) over all matching rows."""
-    wanted = search.query_terms(query)
+    wanted = search.query_terms(query) if isinstance(query, str) else list(dict.fromkeys(query))
     tf = [" + ".join(f"{w} * len(list_filter(t{i}, lambda x: x = '{t}'))" for i, w in enumerate(fields.values())) for t in wanted]
     f = lambda k: f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / mean))"
     return f"""{name}_t AS (SELECT {key} AS id, {", ".join(f"{_sql_terms(x)} AS t{i}" for i, x in enumerate(fields))} FROM {source} WHERE {key} IS NOT NULL),
@@ -206,8 +206,32 @@ def _sql_redact(x: str) -> str:
     return x
 
 
-_TOKENS = "CAST(list_sum(list_transform(regexp_extract_all(coalesce(text, ''), {p}), lambda x: CASE WHEN x[1] IN ('\"', '''', '`') THEN 1 + ceil(length(x) / 4.0) ELSE 1 END)) AS BIGINT)".format(p=_quote(text.TOKEN))
+_tokens_of = lambda x: "coalesce(CAST(list_sum(list_transform(regexp_extract_all(coalesce({x}, ''), {p}), lambda x: CASE WHEN x[1] IN ('\"', '''', '`') THEN 1 + ceil(length(x) / 4.0) ELSE 1 END)) AS BIGINT), 0)".format(x=x, p=_quote(text.TOKEN))
+_TOKENS = _tokens_of("text")
+# the words of the compounds in "validateCfg token ledger", their long forms and their synonyms, as the expansion has to give them
+_MORE = ["validate", "check", "verify", "test", "assert", "cfg", "configuration"]
+_ASKED = "q(query) AS (VALUES ('parse_config'), ('UserService'), ('how does the login work'), ('load file'), ('a::b'), (''), ('find all the callers of x'))"
 ORACLES = {
+    "hybrid_symbols": f"""WITH {_S}, {_sql_bm25("a", "s", "id", search.SYMBOL_FIELDS, SYMBOL_QUERY)}, {_sql_bm25("b", "s", "id", search.SYMBOL_FIELDS, _MORE)},
+ra AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM a QUALIFY r <= 60), rb AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM b QUALIFY r <= 60),
+x AS (SELECT id, 1.0 / (60 + r) + CASE WHEN r = 1 THEN 0.05 WHEN r <= 3 THEN 0.02 ELSE 0 END AS x FROM ra UNION ALL SELECT id, 0.5 / (60 + r) FROM rb)
+SELECT id, round(sum(x), 6) AS score FROM x GROUP BY 1 ORDER BY sum(x) DESC, 1 LIMIT 20""",
+    "expand_terms": """SELECT * FROM (VALUES ('auth cfg', 0, 'auth cfg'), ('auth cfg', 1, 'authentication'), ('auth cfg', 2, 'configuration'),
+('removeUser', 0, 'removeUser'), ('removeUser', 1, 'remove'), ('removeUser', 2, 'delete'), ('removeUser', 3, 'destroy'), ('removeUser', 4, 'drop'), ('removeUser', 5, 'user'),
+('load', 0, 'load'), ('load', 1, 'read'), ('load', 2, 'open'), ('load', 3, 'parse'), ('', 0, '')) v(query, place, term)""",
+    "intents": f"""WITH {_ASKED}, w AS (SELECT query, contains(query, ' ') AS spaced, list_filter(string_split(lower(query), ' '), lambda x: x <> '') AS ws FROM q),
+n AS (SELECT *, len(list_filter(ws, lambda x: list_contains([{", ".join(map(_quote, sorted(search.QUESTION_WORDS)))}], x))) AS asked FROM w),
+c AS (SELECT query, 2 * CAST(contains(query, '_') AS INT) + 2 * CAST(contains(query, '.') AS INT) + 2 * CAST(contains(query, '::') AS INT) + 2 * CAST(regexp_matches(query, '[a-z][A-Z]') AS INT)
+  + CAST(NOT spaced AND length(query) > 1 AND regexp_matches(query, '^[A-Z]') AND regexp_matches(query, '[a-z]') AS INT) + CAST(NOT spaced AS INT) AS y,
+  CAST(spaced AS INT) + 2 * CAST(len(ws) > 3 AS INT) + CAST(asked >= 1 AS INT) + 2 * CAST(asked >= 2 AS INT) AS z FROM n)
+SELECT query, CASE WHEN query = '' THEN 'hybrid' WHEN (y >= 2 AND z = 0) OR (y > z + 1 AND NOT (z >= 2 AND y = 0)) THEN 'symbol' WHEN (z >= 2 AND y = 0) OR z > y + 1 THEN 'semantic' ELSE 'hybrid' END AS intent FROM c""",
+    "snippets": rf"""WITH {_S}, p AS (SELECT id, name, trim(string_split(doc_comment, chr(10))[1], ' ') AS d, trim(regexp_replace(signature, '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS g FROM s)
+SELECT id, CASE WHEN d <> '' THEN d WHEN g <> '' THEN CASE WHEN length(g) > 120 THEN substr(g, 1, 120) || '...' ELSE g END ELSE name END AS snippet FROM p""",
+    "identifier_words": r"""WITH n AS (SELECT DISTINCT name FROM nodes), w AS (SELECT unnest(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')), '[^a-z0-9]+')) AS word FROM n)
+SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1""",
+    "truncate_fit": f"""WITH b AS (SELECT id, any_value(body) AS body FROM nodes WHERE body IS NOT NULL GROUP BY 1), l AS (SELECT id AS key, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS p, unnest(string_split(body, chr(10))) AS line FROM b),
+t AS (SELECT *, 1 + {_tokens_of("line")} AS tokens FROM l), u AS (SELECT *, sum(tokens) OVER (PARTITION BY key ORDER BY p ROWS UNBOUNDED PRECEDING) AS used FROM t)
+SELECT key, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(length(line)) + count(*) - 1 AS INT) AS n_chars FROM u WHERE used <= 60 OR p = 1 GROUP BY 1""",
     "bm25_topk": f"WITH {_sql_bm25('a', 'documents', 'doc_id', _D, QUERY)} SELECT id, round(score, 6) AS score FROM a ORDER BY a.score DESC, id LIMIT 20",
     "keyword_symbols": f"WITH {_S}, {_sql_bm25('a', 's', 'id', search.SYMBOL_FIELDS, SYMBOL_QUERY)} SELECT id, round(score, 6) AS score FROM a ORDER BY a.score DESC, id LIMIT 20",
     "search_files": f"""WITH {_S}, {_sql_bm25('a', 's', 'id', search.SYMBOL_FIELDS, SYMBOL_QUERY)}, x AS (SELECT a.*, s.name, s.file_path, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, id) AS r FROM a JOIN s USING (id))

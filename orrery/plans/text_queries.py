@@ -102,3 +102,16 @@ c AS (SELECT key, {_words(textflow.BRANCHES)} AS b, len(regexp_extract_all(line,
 r AS (SELECT key, CAST(1 + sum(b + o) AS BIGINT) AS cyclomatic, CAST(sum(n + f + o) AS BIGINT) AS cognitive FROM c GROUP BY 1)"""
 ORACLES["complexity"] = _C + " SELECT * FROM r"
 ORACLES["complexity_report"] = _C + " SELECT * FROM r WHERE cyclomatic >= 5 ORDER BY cyclomatic DESC, key LIMIT 50"
+
+
+_KW = ", ".join(f"'{w}'" for w in textflow.KEYWORDS)
+_ID = "[A-Za-z_$][A-Za-z0-9_$]*"
+_SET = rf"^((?:{'|'.join(textflow.DECLARE)})\s+)*({_ID})\s*(:\s*[A-Za-z0-9_<>\[\], ]+?)?\s*(:=|=)"
+_STRINGS = r'"([^"\\]|\\.)*"|' + r"''([^''\\]|\\.)*''"
+_TEXTUAL = rf"""{_B}, t AS (SELECT key, CAST(line_no AS INT) AS line_no, trim(line, ' ' || chr(9) || chr(13)) AS line FROM l), c AS (SELECT * FROM t WHERE NOT regexp_matches(line, '^(//|#|\*|/\*)')),
+d AS (SELECT * FROM (SELECT key, line_no, regexp_extract(line || ' ', '{_SET}[^=>]', 2) AS var FROM c) WHERE var <> '' AND var NOT IN ({_KW})),
+x AS (SELECT key, line_no, regexp_replace(regexp_replace(regexp_replace(line, '{_STRINGS}', '', 'g'), '//.*$|(\s)#.*$', '\1'), '{_SET}([^=>]|$)', '\5') AS bare FROM c),
+u AS (SELECT DISTINCT key, line_no, var FROM (SELECT key, line_no, unnest(regexp_extract_all(' ' || bare, '[^A-Za-z0-9_$.]({_ID})', 1)) AS var FROM x) WHERE var NOT IN ({_KW}))"""
+ORACLES["body_definitions"] = f"WITH {_TEXTUAL} SELECT key, count(*) AS n_defs, count(DISTINCT var) AS n_vars FROM d GROUP BY 1"
+ORACLES["body_dead_stores"] = f"""WITH {_TEXTUAL}, e AS (SELECT DISTINCT key, var, line_no, 1 AS d FROM d UNION ALL SELECT key, var, line_no, 0 FROM u),
+o AS (SELECT *, lead(d) OVER w AS nd, lead(line_no) OVER w AS nl FROM e WINDOW w AS (PARTITION BY key, var ORDER BY line_no, d)) SELECT key, var, line_no, nl AS next_def FROM o WHERE d = 1 AND nd = 1"""
