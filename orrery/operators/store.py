@@ -32,3 +32,23 @@ def write_snapshot(df: DataFrame, root: str, name: str, version: int) -> str:
     path = f"{root}/{name}/v={version}"
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+def add_unresolved(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The unresolved references with new ones; the same source, specifier and line count once."""
+    return old.unionByName(new.select(*old.columns)).dropDuplicates(["source_id", "specifier", "line"])
+
+
+def unresolved_of(refs: DataFrame, file_path: str | None = None) -> DataFrame:
+    """Unresolved references, of one file if asked."""
+    return refs if file_path is None else refs.where(F.col("file_path") == file_path)
+
+
+def clear_unresolved(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """Without those of the files."""
+    return refs.join(files.select("file_path").distinct(), "file_path", "left_anti").select(*refs.columns)
+
+
+def count_unresolved(refs: DataFrame) -> DataFrame:
+    """One row: how many distinct references there are."""
+    return refs.distinct().agg(F.count(F.lit(1)).alias("n"))

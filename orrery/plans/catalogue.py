@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.plans import general, graph_queries, pipeline_queries, report_queries, search_queries, text_queries
+from orrery.plans import fixture_queries, general, graph_queries, pipeline_queries, report_queries, search_queries, text_queries
 
-MODULES = [general, graph_queries, report_queries, text_queries, search_queries, pipeline_queries]
+MODULES = [general, graph_queries, report_queries, text_queries, search_queries, pipeline_queries, fixture_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -85,3 +85,24 @@ def branch_info(repo: str) -> dict:
     except subprocess.CalledProcessError:
         pass
     return out
+
+
+def file_history(spark: SparkSession, repo: str, path: str, n: int | None = None) -> DataFrame:
+    """Commits of a file, the latest first, renames followed."""
+    args = ["log", "--numstat", LOG_FORMAT, "--follow", *([f"-n{n}"] if n else []), "--", path]
+    return parse_log(text_rows(spark, run_git(repo, *args)))
+
+
+def recent_changes(spark: SparkSession, repo: str, n: int = 20) -> DataFrame:
+    """Files of the last n commits, a row per commit and file."""
+    return parse_log(text_rows(spark, run_git(repo, "log", "--numstat", LOG_FORMAT, f"-n{n}")))
+
+
+def symbol_history(spark: SparkSession, repo: str, name: str, globs: list[str] | None = None) -> DataFrame:
+    """Commits that changed how often a name stands in the sources."""
+    from orrery.sources.tree import LANGUAGE_OF
+
+    if name.startswith("-"):
+        raise ValueError("a name doesn't begin with a dash")
+    globs = globs if globs is not None else [f"*.{x}" for x in sorted(LANGUAGE_OF)]
+    return parse_log(text_rows(spark, run_git(repo, "log", "--numstat", LOG_FORMAT, f"-S{name}", "--", *globs)))
