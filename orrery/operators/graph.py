@@ -35,15 +35,18 @@ def vertices(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, types: list[str] | None = None, reverse: bool = False) -> DataFrame:
     """(id, depth): the least number of steps from any seed; seeds have depth 0."""
+    found = frontier = cut(seeds.select("id").where("id is not null").distinct().withColumn("depth", F.lit(0)))
     adjacency = links(edges, types, reverse)
-    found = cut(seeds.select("id").where("id is not null").distinct().withColumn("depth", F.lit(0)))
-    frontier = found
+    if max_depth > 1:
+        adjacency = cut(adjacency)  # laid out once, not on every level
     for depth in range(1, max_depth + 1):
         step = adjacency.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         frontier = cut(step.join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        found = cut(found.unionByName(frontier))
+        found = found.unionByName(frontier)  # of checkpointed parts
+        if depth % 10 == 0:
+            found = cut(found)
     return found
 
 
@@ -131,13 +134,24 @@ def impact_buckets(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_dep
     return near.withColumn("impact", F.when(F.col("depth") <= 1, "high").when(F.col("depth") <= 3, "medium").otherwise("low"))
 
 
+#: Names of seeds that are held against all tests at once.
+NAME_BLOCK = 10_000
+
+
 def tests_for(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
     """(file_path, test_ids): tests that reach the seeds; where none does, those whose name or path tells."""
     tests = nodes.where("is_test = 1").select("id", "file_path", "name").dropDuplicates(["id"])
     by_graph = bfs(edges, seeds, max_depth, reverse=True).where("depth > 0").join(tests, "id")
-    names = nodes.join(seeds.select("id"), "id", "left_semi").select(F.lower("name").alias("seed")).distinct()
-    by_name = tests.join(F.broadcast(names), F.lower("name").contains(F.col("seed"))) if by_graph.isEmpty() else None  # seeds are a parameter
-    hits = by_graph if by_name is None else by_name
+    if not by_graph.isEmpty():
+        hits = by_graph
+    else:
+        names = cut(nodes.join(seeds.select("id"), "id", "left_semi").select(F.lower("name").alias("seed")).distinct())
+        blocks = -(-max(1, names.count()) // NAME_BLOCK)
+        hits = None  # a stated set of seeds against all tests, in blocks of a bounded size
+        for k in range(blocks):
+            some = F.broadcast(names.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k))
+            part = tests.join(some, F.lower("name").contains(F.col("seed"))).select("id", "file_path")
+            hits = part if hits is None else hits.unionByName(part)
     return hits.groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("test_ids"))
 
 

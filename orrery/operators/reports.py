@@ -170,17 +170,23 @@ def longest_prefix(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     return hit.groupBy("path").agg(F.max_by("description", F.struct(F.length("prefix"), "description")).alias("description"))
 
 
+#: A diagram with more edges than this can't be read; asking for one is an error.
+MOST_DRAWN = 5000
+
+
 def mermaid(edges: DataFrame, names: DataFrame, direction: str = "LR") -> str:
-    """Text of a diagram. `edges` are those of a neighborhood, which the caller bounds; `names` has id and name.
+    """Text of a diagram of at most MOST_DRAWN edges. `names` has id and name; only those at an end of an edge are fetched.
 
     Ids become their hash in hex; ends without a name are left out.
     """
-    named = {r["id"]: r["name"] for r in names.collect()}
-    rows = sorted((r["source_id"], r["target_id"], r["type"]) for r in edges.collect())
+    drawn = edges.select("source_id", "target_id", "type").distinct()
+    rows = sorted((r["source_id"], r["target_id"], r["type"]) for r in drawn.limit(MOST_DRAWN + 1).collect())
+    if len(rows) > MOST_DRAWN:
+        raise ValueError(f"more than {MOST_DRAWN} edges: draw a smaller neighborhood")
+    ends = edges.sparkSession.createDataFrame([(x,) for x in sorted({x for s, t, _ in rows for x in (s, t)})] or [], "id string")
+    named = {r["id"]: r["name"] for r in names.join(F.broadcast(ends), "id", "left_semi").groupBy("id").agg(F.max("name").alias("name")).collect()}
     lines = [f"graph {direction}"]
-    used = sorted({x for s, t, _ in rows for x in (s, t) if x in named})
-    for i in used:
-        lines.append(f'    n{mermaid_id(i)}["{safe_label(named[i])}"]')
+    lines += [f'    n{mermaid_id(i)}["{safe_label(named[i])}"]' for i in sorted(named)]
     lines += [f"    n{mermaid_id(s)} -->|{t}| n{mermaid_id(d)}" for s, d, t in rows if s in named and d in named]
     return "\n".join(lines)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.fixed import ABBREVIATIONS, QUESTION_WORDS, SYNONYMS
 from orrery.functions.text import split_words, terms
+from orrery.session import cut
 
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
 # Weights of the fields of a symbol.
@@ -138,9 +139,19 @@ def knn(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10,
 
 
 def ranked(scores: DataFrame, n: int | None = None) -> DataFrame:
-    """(id, rank) by score, of the n best: the list is short, so one task numbers it."""
-    top = scores.orderBy(F.desc("score"), "id").limit(n) if n else scores
-    return top.select("id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "id")).alias("rank"))
+    """(id, rank) by score, of the n best, which one task numbers, or of all: then in ranges, each with the number of rows before it."""
+    best = (F.desc("score"), F.asc("id"))
+    if n:
+        return scores.orderBy(*best).limit(n).select("id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*best)).alias("rank"))
+    placed = cut(scores.select("id", "score").repartitionByRange(*best).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}  # one per range
+    before, total = [], 0
+    for p in sorted(sizes):
+        before.append((p, total))
+        total += sizes[p]
+    offsets = F.broadcast(placed.sparkSession.createDataFrame(before or [], "__part int, __before long"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*best))
+    return placed.withColumn("__own", own).join(offsets, "__part").select("id", (F.col("__own") + F.col("__before")).cast("int").alias("rank"))
 
 
 def rrf(lists: list[tuple[DataFrame, float, bool]], k: int = RRF_K) -> DataFrame:

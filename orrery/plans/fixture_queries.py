@@ -43,7 +43,7 @@ def extracted_references(spark, folder):
 
 
 def parsed_log(spark, folder):
-    return history.parse_log(history.text_rows(spark, LOG)).select("commit", "author", "email", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "subject", "file_path", "added", "deleted")
+    return history.parse_log(history.log_records(spark, LOG)).select("commit", "author", "email", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "subject", "file_path", "added", "deleted")
 
 
 def parsed_blame(spark, folder):
@@ -55,11 +55,11 @@ def parsed_status(spark, folder):
 
 
 def log_hotspots(spark, folder):
-    return history.hotspots(history.parse_log(history.text_rows(spark, LOG))).select("file_path", "commits", "score")
+    return history.hotspots(history.parse_log(history.log_records(spark, LOG))).select("file_path", "commits", "score")
 
 
 def log_contributors(spark, folder):
-    return history.contributors(history.parse_log(history.text_rows(spark, LOG)))
+    return history.contributors(history.parse_log(history.log_records(spark, LOG)))
 
 
 def frameworks(spark, folder):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.operators import graph
+from orrery.operators import graph, reports
 from orrery.sources.tables import table
 
 
@@ -107,6 +107,13 @@ def ppr_20(spark, folder):
     return graph.pagerank(table(spark, folder, "edges"), table(spark, folder, "nodes"), 20, personal=first_symbol(spark, folder)).select("id", F.round("rank", 9).alias("rank"))
 
 
+def diagram(spark, folder):
+    """The neighborhood of the first symbol as a diagram, a row per line."""
+    edges, nodes = table(spark, folder, "edges"), table(spark, folder, "nodes")
+    text = reports.mermaid(graph.neighborhood(edges, first_symbol(spark, folder), 1)[1], nodes.select("id", "name"))
+    return spark.createDataFrame(list(enumerate(text.split("\n"), 1)), "line_no int, line string")
+
+
 def cycles(spark, folder):
     return graph.cycles(table(spark, folder, "edges"))
 
@@ -115,7 +122,7 @@ def vertex_types(spark, folder):
     return graph.vertices(table(spark, folder, "nodes"), table(spark, folder, "edges")).groupBy("vertex_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (bfs_min_depth, reverse_bfs, all_depths, neighborhood_nodes, neighborhood_edges, find_path_len, callers, callees, dependencies, transitive_deps, impact_risk, impact_buckets, tests_for, pagerank_20, ppr_20, cycles, vertex_types)}
+QUERIES = {f.__name__: f for f in (bfs_min_depth, reverse_bfs, all_depths, neighborhood_nodes, neighborhood_edges, find_path_len, callers, callees, dependencies, transitive_deps, impact_risk, impact_buckets, tests_for, pagerank_20, ppr_20, diagram, cycles, vertex_types)}
 
 _PART = """
 lines AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem),

@@ -58,13 +58,13 @@ def knn_cosine(spark, folder):
 
 def rrf_fusion(spark, folder):
     d = _documents(spark, folder)
-    a, b = search.ranked(search.bm25(d, "doc_id", {"text": 1.0}, "graph index", 50)), search.ranked(search.bm25(d, "doc_id", {"text": 1.0}, "missing edges", 50))
+    a, b = search.ranked(search.bm25(d, "doc_id", {"text": 1.0}, "graph index", 50), 50), search.ranked(search.bm25(d, "doc_id", {"text": 1.0}, "missing edges", 50), 50)
     return _round(search.rrf([(a, 1.0, True), (b, 1.0, True)]))
 
 
 def rrf_weighted(spark, folder):
     d = _documents(spark, folder)
-    a, b = search.ranked(search.bm25(d, "doc_id", {"text": 1.0}, "graph index", 50)), search.ranked(search.bm25(d, "doc_id", {"text": 1.0}, "missing edges", 50))
+    a, b = search.ranked(search.bm25(d, "doc_id", {"text": 1.0}, "graph index", 50), 50), search.ranked(search.bm25(d, "doc_id", {"text": 1.0}, "missing edges", 50), 50)
     return _round(search.rrf([(a, 0.8, True), (b, 0.2, True), (b, 0.4, False)]))
 
 
@@ -151,7 +151,8 @@ def find_injections(spark, folder):
 
 
 def trace_taint(spark, folder):
-    return security.find_injections(_by_language(spark, folder), "id", "body", "language", from_line=2, keep_sanitized=True)
+    """Flows from every source of input, with those that are made safe on the way."""
+    return security.find_injections(_by_language(spark, folder), "id", "body", "language", keep_sanitized=True)
 
 
 _ALL = (bm25_topk, keyword_symbols, hybrid_symbols, search_files, workspace_search, knn_cosine, rrf_fusion, rrf_weighted, expand_terms, intents, snippets, identifier_words, token_estimate, pack_budget, truncate_fit, signatures, context_document, rule_findings, owasp_findings, finding_summary, scan_summary, top_rules, redact_secrets, taint_sources, taint_sinks, find_injections, trace_taint)

@@ -25,20 +25,28 @@ def text_rows(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(rows, 1)) or [], "line_no long, line string")
 
 
-def parse_log(rows: DataFrame) -> DataFrame:
-    """(commit, author, email, date, subject, file_path, added, deleted) of `git log --numstat` in LOG_FORMAT, a row per file; binary files count 0."""
-    head = F.startswith("line", F.lit("\x1e"))
-    parts = F.split(F.expr("substring(line, 2)"), UNIT)
-    fill = W.partitionBy(F.lit(1)).orderBy("line_no")  # one log, read in its order
-    filled = rows.withColumn("c", F.last(F.when(head, parts), ignorenulls=True).over(fill))
+def log_records(spark: SparkSession, text: str) -> DataFrame:
+    """(record) of a log in LOG_FORMAT: a row per commit."""
+    return spark.createDataFrame([(r,) for r in text.split("\x1e") if r.strip()] or [], "record string")
+
+
+def parse_log(records: DataFrame) -> DataFrame:
+    """(commit, author, email, date, subject, file_path, added, deleted) of `git log --numstat`, a row per file; binary files count 0.
+
+    A record is parsed by itself, so the log needs no order.
+    """
+    parts = F.split(F.substring_index("record", "\n", 1), UNIT)
+    rows = records.select(parts.alias("c"), F.explode(F.slice(F.split("record", "\n"), 2, 1 << 30)).alias("line")).where(F.trim("line") != "")
     stat = F.split("line", "\t")
-    out = filled.where(~head & (F.trim("line") != "")).select(
-        *[F.col("c")[i].alias(n) for i, n in enumerate(("commit", "author", "email", "date", "subject"))],
+    count = lambda i: F.coalesce(F.expr(f"try_cast(get(split(line, '\t'), {i}) as int)"), F.lit(0))
+    return rows.select(
+        *[F.col("c")[i].alias(n) for i, n in enumerate(("commit", "author", "email"))],
+        F.to_timestamp(F.col("c")[3]).alias("date"),
+        F.col("c")[4].alias("subject"),
         F.coalesce(F.try_element_at(stat, F.lit(3)), F.col("line")).alias("file_path"),
-        F.coalesce(F.expr("try_cast(split(line, '\t')[0] as int)"), F.lit(0)).alias("added"),
-        F.coalesce(F.expr("try_cast(get(split(line, '\t'), 1) as int)"), F.lit(0)).alias("deleted"),
+        count(0).alias("added"),
+        count(1).alias("deleted"),
     )
-    return out.withColumn("date", F.to_timestamp("date"))
 
 
 def parse_blame(rows: DataFrame) -> DataFrame:
@@ -90,12 +98,12 @@ def branch_info(repo: str) -> dict:
 def file_history(spark: SparkSession, repo: str, path: str, n: int | None = None) -> DataFrame:
     """Commits of a file, the latest first, renames followed."""
     args = ["log", "--numstat", LOG_FORMAT, "--follow", *([f"-n{n}"] if n else []), "--", path]
-    return parse_log(text_rows(spark, run_git(repo, *args)))
+    return parse_log(log_records(spark, run_git(repo, *args)))
 
 
 def recent_changes(spark: SparkSession, repo: str, n: int = 20) -> DataFrame:
     """Files of the last n commits, a row per commit and file."""
-    return parse_log(text_rows(spark, run_git(repo, "log", "--numstat", LOG_FORMAT, f"-n{n}")))
+    return parse_log(log_records(spark, run_git(repo, "log", "--numstat", LOG_FORMAT, f"-n{n}")))
 
 
 def symbol_history(spark: SparkSession, repo: str, name: str, globs: list[str] | None = None) -> DataFrame:
@@ -105,4 +113,4 @@ def symbol_history(spark: SparkSession, repo: str, name: str, globs: list[str] |
     if name.startswith("-"):
         raise ValueError("a name doesn't begin with a dash")
     globs = globs if globs is not None else [f"*.{x}" for x in sorted(LANGUAGE_OF)]
-    return parse_log(text_rows(spark, run_git(repo, "log", "--numstat", LOG_FORMAT, f"-S{name}", "--", *globs)))
+    return parse_log(log_records(spark, run_git(repo, "log", "--numstat", LOG_FORMAT, f"-S{name}", "--", *globs)))

@@ -53,7 +53,7 @@ def test_tree_and_git(spark, tmp_path):
     assert got == set(FILES) - {"src/empty.ts"}
     m = spark.createDataFrame([("package.json", (tmp_path / "package.json").read_text())], "path string, content string")
     assert {(r.name, r.version) for r in tree.detect_frameworks(m).collect()} == {("express", "4.18.2"), ("jest", "29.0")}
-    log = history.parse_log(history.text_rows(spark, history.run_git(str(tmp_path), "log", "--numstat", history.LOG_FORMAT)))
+    log = history.parse_log(history.log_records(spark, history.run_git(str(tmp_path), "log", "--numstat", history.LOG_FORMAT)))
     assert {r.subject for r in log.collect()} == {"first | with pipe"}
     assert history.hotspots(log).count() > 5 and history.contributors(log).first().commits == 1
     blame = history.parse_blame(history.text_rows(spark, history.run_git(str(tmp_path), "blame", "--porcelain", "HEAD", "--", "src/lib.rs"))).orderBy("line_no").collect()
