@@ -1,13 +1,16 @@
 """Functions paired with their documentation (problem 3): packrat grammars per language, then a filter for what is said.
 
 The documentation of a function or method is `doc_comment` or, where that is null or blank, the comment directly before
-the declaration or the docstring directly after it in `body`. The grammars read the head of a body and keep source
-offsets; their actions give (documentation, declaration, code). The description then has to say something that the name,
-the parameters and types, bare tags, references, placeholders, tool directives, rulers, licence lines and disabled code
-don't say.
+the declaration or the docstring directly after it in `body`. A grammar per language reads the head of a body and keeps
+source offsets: comments, annotations, and the declaration with its name and parameters, whose brackets nest as deep as
+they do. Where a declaration has another form, its first line stands for it. Documentation, wherever it stands, is read by
+a grammar of its own into blank lines, lines that say nothing, tags and prose. The description then has to say something
+that the name, the parameters and types, bare tags, references, placeholders, tool directives, rulers, licence lines and
+disabled code don't say.
 
 Defined results: a null body has no comment; a null signature is replaced by the parsed declaration; a null language is
-read as the C-like one; repeated rows and ids give one row each; other columns aren't read; empty tables give no rows.
+read as the C-like one; brackets nested hundreds deep make a head without parts; repeated rows and ids give one row each;
+other columns aren't read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,24 +22,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.peg import Parser, ahead, first, many, maybe, rule, seq, span, token
+from orrery.llm.peg import Expr, Parser, ahead, first, many, maybe, rule, seq, span, token
 
 _NL = r"[ \t]*(?:\r?\n|\Z)"
 
 
-def _grammar(line_comment: str, block_comment: str | None, annotation: str | None, declaration: str, docstring: bool) -> dict:
+_BLOCK = r"/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)"
+
+
+def _grammar(line_comment: str, block_comment: str | None, annotation: Expr | None, declaration: list[Expr], docstring: bool) -> dict[str, Expr]:
+    """A head: comments, annotations and the declaration, with the docstring after it. `declaration` are ordered choices."""
     blank = token(r"[ \t]*\r?\n")
     one = token(r"[ \t]*" + line_comment + r"[^\n]*(?:\n|\Z)")
     comments = [many(one, 1)] + ([token(r"[ \t]*" + block_comment + _NL)] if block_comment else [])
     g = {
-        "line": token(r"[^\n]*(?:\n|\Z)"),
+        # brackets nest as deep as they do; literals inside keep theirs to themselves
+        "literal": first(token(r'"(?:[^"\\\n]|\\.)*"'), token(r"'(?:[^'\\\n]|\\.)*'"), token(r"`(?:[^`\\]|\\.)*`")),
+        "round": seq(token(r"\("), many(first(rule("literal"), rule("round"), rule("square"), rule("curly"), token(r"[^()\[\]{}\"'`]+|[\"'`]"))), token(r"\)")),
+        "square": seq(token(r"\["), many(first(rule("literal"), rule("round"), rule("square"), rule("curly"), token(r"[^()\[\]{}\"'`]+|[\"'`]"))), token(r"\]")),
+        "curly": seq(token(r"\{"), many(first(rule("literal"), rule("round"), rule("square"), rule("curly"), token(r"[^()\[\]{}\"'`]+|[\"'`]"))), token(r"\}")),
+        "angle": seq(token("<"), many(first(rule("angle"), token(r"[^<>(){};\n]+"))), token(">")),
+        "parameters": span("parameters", rule("round")),
         "comment": first(*comments),
-        "annotation": token(annotation) if annotation else token(r"(?!)"),
-        "declaration": token(declaration),
+        "annotation": annotation or token(r"(?!)"),
+        "declaration": first(*declaration),
         # comments that something else parts from the declaration are passed over
         "before": seq(span("comment", rule("comment")), many(rule("annotation")), ahead(rule("declaration"))),
         "passed": first(blank, rule("comment"), rule("annotation")),
-        "head": first(rule("before"), seq(rule("passed"), rule("head")), many(rule("annotation"))),
+        "head": seq(many(seq(ahead(rule("before"), False), rule("passed"))), first(rule("before"), many(rule("annotation")))),
         "function": seq(rule("head"), span("declaration", rule("declaration")), maybe(rule("docstring"))),
     }
     if docstring:
@@ -47,22 +60,74 @@ def _grammar(line_comment: str, block_comment: str | None, annotation: str | Non
     return g
 
 
-_BLOCK = r"/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)"
-_PARENS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-# What a declaration looks like, up to where its body begins.
+def _named(pattern: str) -> Expr:
+    return span("name", token(pattern))
+
+
+_ID = r"[A-Za-z_$][\w$]*"
+_S = token(r"[ \t]*")
+_GAP = token(r"\s*")
+_TYPES = maybe(rule("angle"))
+#: What may stand between the parameters and the block.
+_RESULT = token(r"[^\n{;=]*(?:=(?!>)[^\n{;]*)?")
+_OPEN = token(r"[ \t]*(?:\{|=>|;|\r?\n|\Z)")
+_AT = seq(token(r"[ \t]*@[\w.$]+"), maybe(rule("round")), token(_NL))
+#: Any line that isn't a comment: for bodies that are cut or begin elsewhere.
+_LINE = token(r"[ \t]*[^\s/*#@][^\n{;]*(?:\{|;|=>|\n|\Z)")
+_SCRIPT = [
+    seq(_S, token(r"(?:(?:export|default|async|declare)[ \t]+)*function\b[ \t]*\*?[ \t]*"), maybe(_named(_ID)), _TYPES, rule("parameters"), _RESULT, _OPEN),
+    seq(_S, token(r"(?:(?:export|default|declare)[ \t]+)*(?:const|let|var)[ \t]+"), _named(_ID), token(r"[^\n=]*=[ \t]*(?:async[ \t]+)?"), rule("parameters"), _RESULT, token(r"[ \t]*=>[^\n{]*(?:\{|\n|\Z)")),
+    seq(_S, token(r"(?:(?:public|private|protected|static|async|readonly|get|set|override|abstract)[ \t]+)*\*?[ \t]*"), ahead(token(r"(?:if|for|while|switch|return|catch)\b"), False), _named(r"#?" + _ID), _TYPES, rule("parameters"), _RESULT, _OPEN),
+    _LINE,
+]
+_JAVA = [
+    seq(_S, token(r"(?:(?:public|private|protected|static|final|abstract|synchronized|default|native|strictfp)[ \t]+)*"), _TYPES, _S, ahead(token(r"(?:if|for|while|switch|return|catch|new|throw|else)\b"), False), token(r"[\w.]+"), _TYPES, token(r"[\[\] \t.]*"), maybe(_named(_ID)), rule("parameters"), _RESULT, _OPEN),
+    _LINE,
+]
+_GO = [
+    seq(_S, token(r"func[ \t]*"), maybe(seq(span("receiver", rule("round")), _S)), maybe(_named(_ID)), maybe(rule("square")), rule("parameters"), _S, maybe(rule("round")), _RESULT, _OPEN),
+    _LINE,
+]
+_RUST = [
+    seq(_S, token(r"(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:async|const|unsafe|default|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*fn[ \t]+"), _named(_ID), _TYPES, rule("parameters"), _RESULT, _OPEN),
+    _LINE,
+]
+_PYTHON = [
+    seq(_S, token(r"(?:async[ \t]+)?def[ \t]+"), _named(r"\w+"), maybe(rule("square")), rule("parameters"), token(r"[^\n:]*(?::|\n|\Z)")),
+    token(r"[ \t]*(?:async[ \t]+)?(?:def|class|lambda|struct|trait)\b[^\n(:]*(?:\([^\n]*)?(?::|\n|\Z)"),
+]
+_SHELL = [
+    seq(_S, token(r"(?:function[ \t]+)?"), _named(r"[A-Za-z_][\w\-:]*"), token(r"[ \t]*\([ \t]*\)"), _GAP, token(r"\{|\(|\Z")),
+    token(r"[ \t]*[^\s#][^\n{]*(?:\{|\n|\Z)"),
+]
+_RUBY = [
+    seq(_S, token(r"(?:(?:private|public|protected)[ \t]+)?def[ \t]+(?:self\.)?"), _named(r"[A-Za-z_]\w*[?!=]?"), maybe(rule("parameters")), token(r"[^\n]*(?:\n|\Z)")),
+    token(r"[ \t]*[^\s#][^\n]*(?:\n|\Z)"),
+]
 GRAMMARS = {
-    "c": _grammar("//", _BLOCK, r"[ \t]*(?:@[\w.$]+(?:" + _PARENS + r")?|#!?\[[^\n]*\])" + _NL, r"[ \t]*[^\s/*#@][^\n{;]*(?:\{|;|=>|\n|\Z)", False),
-    "python": _grammar("#", None, r"[ \t]*@[^\n]*\n", r"[ \t]*(?:async[ \t]+)?(?:def|class|lambda|struct|trait)\b[^\n(:]*(?:" + _PARENS + r")?[^\n:]*(?::|\n|\Z)", True),
-    "hash": _grammar("#", None, None, r"[ \t]*[^\s#][^\n{]*(?:\{|\n|\Z)", False),
+    "script": _grammar("//", _BLOCK, _AT, _SCRIPT, False),
+    "java": _grammar("//", _BLOCK, _AT, _JAVA, False),
+    "go": _grammar("//", _BLOCK, None, _GO, False),
+    "rust": _grammar("//", _BLOCK, token(r"[ \t]*#!?\[[^\n]*\]" + _NL), _RUST, False),
+    "c": _grammar("//", _BLOCK, first(_AT, token(r"[ \t]*#!?\[[^\n]*\]" + _NL)), [*_SCRIPT[:1], *_JAVA], False),
+    "python": _grammar("#", None, token(r"[ \t]*@[^\n]*\n"), _PYTHON, True),
+    "shell": _grammar("#", None, None, _SHELL, False),
+    "ruby": _grammar("#", None, None, _RUBY, False),
 }
-# The grammar of each language.
-LANGUAGES = {"python": "python", "bash": "hash", "shell": "hash", "sh": "hash", "ruby": "hash", "r": "hash", "perl": "hash", "elixir": "hash"}
+# The grammar of each language; others are read as C-like.
+LANGUAGES = {
+    "typescript": "script", "tsx": "script", "javascript": "script", "jsx": "script", "java": "java", "kotlin": "c", "csharp": "c", "go": "go", "rust": "rust", "python": "python",
+    "bash": "shell", "shell": "shell", "sh": "shell", "r": "shell", "perl": "shell", "ruby": "ruby", "elixir": "ruby",
+}
 
 
 def parse_head(body: str, language: str) -> tuple[str | None, str, tuple[int, int] | None]:
     """(documentation or None, declaration, offsets of the documentation) of a body."""
     grammar = GRAMMARS[LANGUAGES.get(language.lower(), "c")]
-    spans = Parser(grammar, body).parse("function") or []
+    try:
+        spans = Parser(grammar, body).parse("function") or []
+    except RecursionError:  # brackets nested deeper than the parser follows
+        spans = []
     parts = {name: (a, b) for name, a, b in spans}
     at = parts.get("comment") or parts.get("docstring")
     if "comment" in parts and "docstring" in parts and not informative_text(body[slice(*parts["comment"])], "", ""):
@@ -158,23 +223,49 @@ def clean_lines(comment: str) -> list[str]:
     return out
 
 
+def _line(pattern: re.Pattern, anywhere: bool = False) -> Expr:
+    """A whole line that the pattern fits."""
+    fits = pattern.search if anywhere else pattern.match
+
+    def run(p: Parser, at: int) -> int:
+        end = p.text.find("\n", at)
+        end = len(p.text) if end < 0 else end
+        return end if fits(p.text[at:end]) else -1
+
+    return run
+
+
+#: The grammar of a documentation, wherever it stands: the first kind that fits a line is its kind.
+DOCUMENTATION = {
+    "text": seq(many(seq(rule("line"), token(r"\n"))), rule("line")),
+    "line": first(
+        span("blank", _line(re.compile(r"[\W_]*$"))),
+        span("said nothing", first(_line(DIRECTIVE), _line(LICENCE, True), _line(PLACEHOLDER), _line(SECTION), _line(CODE))),
+        span("tag", _line(TAG)),
+        span("prose", token(r"[^\n]*")),
+    ),
+}
+
+
 def description(comment: str, names: list[str] | None = None) -> list[str]:
     """The parts of a comment that may describe: text and descriptions of tags, without all that says nothing.
 
     `names` gets the parameters that tags and argument lists name.
     """
     names = [] if names is None else names
-    if PLACEHOLDER.match(" ".join(clean_lines(comment)).strip()):
+    text = "\n".join(clean_lines(comment))
+    if PLACEHOLDER.match(text.replace("\n", " ").strip()):
         return []
     out, reference = [], False
-    for line in clean_lines(comment):
-        if not line or not any(ch.isalnum() for ch in line):
+    for kind, a, b in Parser(DOCUMENTATION, text).parse("text") or []:
+        line = text[a:b]
+        if kind == "blank":
             reference = False
             continue
-        if DIRECTIVE.match(line) or LICENCE.search(line) or PLACEHOLDER.match(line) or SECTION.match(line) or CODE.match(line):
+        if kind == "said nothing":
             continue
-        tag = TAG.match(line)
-        if tag:
+        if kind == "tag":
+            tag = TAG.match(line)
             name = (tag["at"] or tag["sphinx"] or "param").lower()
             rest = tag["rest"]
             reference = name in REFERENCE

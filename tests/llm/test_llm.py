@@ -134,6 +134,33 @@ def test_doc_grammars(spark):
     assert docpairs.documented(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("language", "body", "name", "parameters"),
+    [
+        ("typescript", "// Says it.\nexport async function go<T extends A<B>>(a: (x: number) => void, b = f(g(h(1)))): Promise<T> {", "go", "(a: (x: number) => void, b = f(g(h(1))))"),
+        ("javascript", "const go = async (a, { b, c }) => {", "go", "(a, { b, c })"),
+        ("typescript", "  private static get value(): string {", "value", "()"),
+        ("java", "@A(x = {1, 2})\n@B\npublic static <T> Map<String, List<T>> go(final int[] a, Map<K, V> b) throws E {", "go", "(final int[] a, Map<K, V> b)"),
+        ("go", "func (s *Set[T]) Add(x T, f func(int) (int, error)) (n int, err error) {", "Add", "(x T, f func(int) (int, error))"),
+        ("rust", "#[inline]\npub(crate) async fn go<'a, T: B<C>>(x: &'a str, y: (u8, u8)) -> Result<T> {", "go", "(x: &'a str, y: (u8, u8))"),
+        ("python", "@deco(a=(1, 2))\nasync def go(a: dict[str, int] = {}, *b,\n    c=')') -> None:", "go", "(a: dict[str, int] = {}, *b,\n    c=')')"),
+        ("bash", "function go() {", "go", None),
+        ("ruby", "def self.go?(a, b = [1, (2)])", "go?", "(a, b = [1, (2)])"),
+    ],
+)
+def test_declarations(language, body, name, parameters):
+    spans = {k: body[a:b] for k, a, b in docpairs.Parser(docpairs.GRAMMARS[docpairs.LANGUAGES[language]], body).parse("function")}
+    assert spans["name"] == name and spans.get("parameters") == parameters
+
+
+def test_deep_and_long_heads():
+    deep = "def f(a=" + "(" * 5000 + ")" * 5000 + "):\n    pass"
+    assert docpairs.parse_head(deep, "python")[0] is None
+    long = "# a\n\n" * 20_000 + "# Adds the numbers and rounds.\ndef f(a): pass"
+    assert docpairs.parse_head(long, "python")[0] == "# Adds the numbers and rounds.\n"
+    assert docpairs.informative_text("\n".join(["// x"] * 50_000 + ["// keeps what the reader left"]), "f", "f()")
+
+
 def test_credentials_held_out():
     trained = credentials.model()
     tp = fp = fn = 0
