@@ -100,6 +100,50 @@ def bm25(corpus: DataFrame, key: str, fields: dict[str, float], query: list[str]
     return out.orderBy(F.desc("score"), "id").limit(n) if n else out
 
 
+class Postings:
+    """An inverted index of a corpus in a folder: built once, and a query reads the postings of its terms alone.
+
+    `postings` are partitioned by a bucket of the term and sorted by it, so that the scan is pruned to a few row groups;
+    each has the weighted frequency and the length of its document. `totals` is one row.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def build(cls, corpus: DataFrame, key: str, fields: dict[str, float], path: str) -> Postings:
+        """Documents with a key; those without any term have no postings but count in the totals."""
+        index = cls(corpus.sparkSession, path)
+        rows = corpus.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *[terms(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)])
+        length = sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0))
+        rows = rows.withColumn("dl", length)
+        rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).withColumn("id", F.lit(None).cast(corpus.schema[key].dataType)).write.mode("overwrite").parquet(f"{index.path}/totals")  # with the type of the ids
+        each = rows.select("id", "dl", F.explode(F.array_distinct(F.concat(*[F.col(f"t{i}") for i in range(len(fields))]))).alias("term"), *[f"t{i}" for i in range(len(fields))])
+        tf = sum((F.size(F.filter(f"t{i}", lambda x: x == F.col("term"))) * F.lit(w) for i, w in enumerate(fields.values())), F.lit(0.0))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")
+        laid = each.select("id", "dl", "term", tf.alias("tf")).withColumn("bucket", bucket)
+        laid.repartition(F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings")
+        return index
+
+    def search(self, query: str | list[str], n: int | None = None) -> DataFrame:
+        """(id, score), the same as `bm25` over the corpus."""
+        wanted = query_terms(query) if isinstance(query, str) else list(dict.fromkeys(query))
+        totals = self.spark.read.parquet(f"{self.path}/totals")
+        if not wanted:
+            return totals.select("id", F.lit(0.0).alias("score")).limit(0)
+        where = self.spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.BUCKETS)).alias(f"b{k}") for k, t in enumerate(wanted)]).first()
+        kind = totals.schema["id"].dataType.simpleString()
+        read = self.spark.read.schema(f"id {kind}, dl int, term string, tf double, bucket int").parquet(f"{self.path}/postings").where(F.col("bucket").isin(*sorted({int(x) for x in where})) & F.col("term").isin(*wanted))
+        counts = F.broadcast(read.groupBy("term").agg(F.count(F.lit(1)).alias("nt")))  # the terms of the query
+        totals = F.broadcast(totals.drop("id"))  # one row
+        idf = F.greatest(F.log((F.col("n") - F.col("nt") + 0.5) / (F.col("nt") + 0.5)), F.lit(LEAST_IDF))
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+        out = read.join(counts, "term").crossJoin(totals).groupBy("id").agg(F.sum(part).alias("score"))
+        return out.orderBy(F.desc("score"), "id").limit(n) if n else out
+
+
 def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
     """Rows of `rows` vectors: (block ids, block vectors laid end to end, width). Null and empty vectors are left out."""
 

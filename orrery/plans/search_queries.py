@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import text
 from orrery.operators import context, reports, search, security
 from orrery.plans.text_queries import _bodies
+from orrery.session import new_folder
 from orrery.sources.tables import table
 
 QUERY = "graph index missing edges"
@@ -32,6 +33,12 @@ def _symbols(spark, folder):
     return reports.symbols(nodes).join(tokens, "id")
 
 
+def bm25_postings(spark, folder):
+    """The same answer from an inverted index, which is built here and of which the query's postings are read."""
+    index = search.Postings.build(_documents(spark, folder), "doc_id", {"text": 1.0}, new_folder(spark))
+    return _round(index.search(QUERY, 20))
+
+
 def keyword_symbols(spark, folder):
     return _round(search.bm25(_symbols(spark, folder), "id", search.SYMBOL_FIELDS, SYMBOL_QUERY, 20))
 
@@ -155,7 +162,7 @@ def trace_taint(spark, folder):
     return security.find_injections(_by_language(spark, folder), "id", "body", "language", keep_sanitized=True)
 
 
-_ALL = (bm25_topk, keyword_symbols, hybrid_symbols, search_files, workspace_search, knn_cosine, rrf_fusion, rrf_weighted, expand_terms, intents, snippets, identifier_words, token_estimate, pack_budget, truncate_fit, signatures, context_document, rule_findings, owasp_findings, finding_summary, scan_summary, top_rules, redact_secrets, taint_sources, taint_sinks, find_injections, trace_taint)
+_ALL = (bm25_topk, bm25_postings, keyword_symbols, hybrid_symbols, search_files, workspace_search, knn_cosine, rrf_fusion, rrf_weighted, expand_terms, intents, snippets, identifier_words, token_estimate, pack_budget, truncate_fit, signatures, context_document, rule_findings, owasp_findings, finding_summary, scan_summary, top_rules, redact_secrets, taint_sources, taint_sinks, find_injections, trace_taint)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -260,3 +267,4 @@ u AS (SELECT *, row_number() OVER w AS r, CAST(sum(greatest(tokens, 1)) OVER w A
     "signatures": """WITH b AS (SELECT id, any_value(body) AS body FROM nodes WHERE body IS NOT NULL GROUP BY 1)
 SELECT id, trim(regexp_replace(CASE WHEN contains(body, '{') THEN string_split(body, '{')[1] WHEN contains(body, '=>') THEN string_split(body, '=>')[1] || '=>' ELSE string_split(body, chr(10))[1] END, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS signature FROM b""",
 }
+ORACLES["bm25_postings"] = ORACLES["bm25_topk"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,6 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="orrery-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
 
 
@@ -47,7 +50,28 @@ def cut(df: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder, for tables that a query writes."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    sc._orrery_written = [*getattr(sc, "_orrery_written", []), path]
+    return path
+
+
+def tidy(spark: SparkSession) -> int:
+    """Delete what this context's queries have written and checkpointed so far; results that aren't read yet are lost.
+
+    For the caller to use once it has its results: a query can't know when its rows have been read.
+    """
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir()
+    if not folder:
+        return 0
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [hadoop.Path(p) for p in getattr(sc, "_orrery_written", [])]
+    gone += [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("rdd-")]
+    sc._orrery_written = []
+    return sum(bool(fs.delete(p, True)) for p in gone)
 
 
 def ship(spark: SparkSession) -> None:

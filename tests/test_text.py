@@ -55,6 +55,34 @@ def test_bm25_and_fusion(spark):
     assert s["a"] > s["b"] and abs(s["a"] - (1 / 61 + 0.05 + 0.5 / 61)) < 1e-12
 
 
+def test_postings(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    words = ["graph", "index", "edge", "token", "cache", "the", "a"]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(r.randint(0, 30))), r.choice(words)) for i in range(200)] + [(900, None, None), (None, "graph", "graph")], "i long, a string, b string")
+    fields = {"a": 1.0, "b": 3.0}
+    index = search.Postings.build(docs, "i", fields, str(tmp_path / "ix"))
+    again = search.Postings(spark, str(tmp_path / "ix"))
+    for query in ("graph edge", "Token, token!", "nowhere", ""):
+        want = {x.id: round(x.score, 9) for x in search.bm25(docs, "i", fields, query).collect()}
+        assert {x.id: round(x.score, 9) for x in index.search(query).collect()} == want == {x.id: round(x.score, 9) for x in again.search(query).collect()}
+    plan = index.search("graph")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    assert search.Postings.build(docs.limit(0), "i", fields, str(tmp_path / "none")).search("graph").count() == 0
+
+
+def test_tidy(spark):
+    import os
+
+    from orrery import session
+
+    kept = session.cut(spark.range(5))
+    path = session.new_folder(spark)
+    kept.write.parquet(path)
+    assert session.tidy(spark) >= 2 and not os.path.exists(path.replace("file:", ""))
+
+
 def test_knn(spark):
     import numpy as np
 
