@@ -1,4 +1,4 @@
-"""Named queries of the training-data operators, and the SQL of those that SQL can express (none: see the tests)."""
+"""Named queries of the training-data operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -101,5 +101,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_BODIES = "b AS (SELECT DISTINCT id, md5(body) AS c, body FROM nodes WHERE id IS NOT NULL AND length(body) >= 200), k AS (SELECT DISTINCT c, body FROM b), g AS (SELECT c, p, md5(substr(body, p, 200)) AS h FROM k, unnest(range(1, length(body) - 198)) t(p))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Brute force over every 200 characters for problem 1; SQL can't say what the others do: see the tests."""
+    return {
+        "p1_found": f"""WITH {_BODIES}, s AS (SELECT DISTINCT c, h FROM g WHERE h IN (SELECT h FROM g GROUP BY 1 HAVING count(DISTINCT c) > 1)), pair AS (SELECT DISTINCT x.c AS a, y.c AS z FROM s x JOIN s y ON x.h = y.h AND x.c < y.c UNION ALL SELECT c, c FROM k)
+SELECT DISTINCT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM pair JOIN b x ON x.c = a JOIN b y ON y.c = z WHERE x.id <> y.id""",
+        "p1_copies": "WITH b AS (SELECT DISTINCT id, body FROM nodes WHERE id IS NOT NULL AND length(body) >= 200) SELECT id, min(id) OVER (PARTITION BY body) AS class_id, count(*) OVER (PARTITION BY body) AS n_copies FROM b",
+        "p1_coverage": f"""WITH {_BODIES}, w AS (SELECT c, p, lag(p) OVER (PARTITION BY c ORDER BY p) AS q FROM g WHERE h IN (SELECT h FROM g GROUP BY 1 HAVING count(DISTINCT c) > 1)),
+own AS (SELECT c, count(*) FILTER (q IS NULL OR p > q + 200) AS n, sum(CASE WHEN q IS NULL OR p > q + 200 THEN 200 ELSE p - q END) AS chars FROM w GROUP BY 1),
+m AS (SELECT id, length(body) AS size, count(*) OVER (PARTITION BY b.c) > 1 AS copied, n, chars FROM b LEFT JOIN own USING (c))
+SELECT id, max(CASE WHEN copied THEN 1 ELSE n END) AS n_stretches, CAST(max(CASE WHEN copied THEN size ELSE chars END) AS BIGINT) AS shared_chars, max(round(CASE WHEN copied THEN 1.0 ELSE chars / size END, 6)) AS share FROM m WHERE copied OR chars IS NOT NULL GROUP BY 1""",
+    }
