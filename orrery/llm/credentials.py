@@ -662,7 +662,7 @@ def redact(text: str, trained) -> str:
 
 def _finder(trained):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = Labeller(*trained)
+        field = Labeller(*trained.value)
         for batch in batches:
             keys, lines = [], []
             for key, text in zip(batch.column("rec_id").to_pylist(), batch.column("text").to_pylist()):
@@ -676,17 +676,17 @@ def _finder(trained):
 
 def credentials(df: DataFrame, key: str, text: str) -> DataFrame:
     """(rec_id, line_no): lines of `text` where a credential begins."""
-    trained = model()
+    trained = df.sparkSession.sparkContext.broadcast(model())  # some thousand features
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("rec_id"), F.col(text).alias("text")).where(F.length("text") > 0)
     return rows.mapInArrow(_finder(trained), "rec_id string, line_no long").distinct()
 
 
 def redacted(df: DataFrame, key: str, text: str) -> DataFrame:
     """(rec_id, text, redacted): texts with credentials, masked. Rows without any are left out."""
-    trained = model()
+    trained = df.sparkSession.sparkContext.broadcast(model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = Labeller(*trained)
+        field = Labeller(*trained.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("rec_id"), batch.column("text"), pa.array([redact(t, field) for t in texts], pa.string())], ["rec_id", "text", "redacted"])
