@@ -29,11 +29,10 @@ def p4_degrees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_typed_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges per kind of target, joined with their skewed in-degree by fragment and replicate."""
+    """Every edge with the skewed in-degree of its target and type, joined by fragment and replicate."""
     edges = table(spark, folder, "edges").select("id", "target_id", "type")
     degrees = edges.groupBy("target_id", "type").agg(F.count(F.lit(1)).alias("in_degree"))
-    joined = skew.skew_join(edges, degrees, ["target_id", "type"])
-    return joined.groupBy("type").agg(F.count(F.lit(1)).alias("n_edges"), F.max("in_degree").alias("max_in_degree"), F.round(F.avg("in_degree"), 6).alias("mean_in_degree"))
+    return skew.skew_join(edges, degrees, ["target_id", "type"]).select("id", "target_id", "type", "in_degree")
 
 
 def _orphans(spark: SparkSession, folder: str) -> orphans.OrphanReferences:
@@ -104,9 +103,7 @@ WITH last AS (SELECT max(finished_at) AS t FROM index_runs WHERE status = 'ok')
 SELECT min(started_at) AS reread_from FROM index_runs, last WHERE started_at <= t AND (finished_at IS NULL OR finished_at >= t)""",
     "p4_found": "SELECT target_id, type FROM edges GROUP BY 1, 2 HAVING count(*) >= 0.01 * (SELECT count(*) FROM edges)",
     "p4_degrees": "SELECT target_id, type, count(*) AS in_degree, count(DISTINCT source_id) AS distinct_sources FROM edges GROUP BY 1, 2",
-    "p4_typed_edges": """
-SELECT type, count(*) AS n_edges, max(d) AS max_in_degree, round(avg(d), 6) AS mean_in_degree
-FROM (SELECT type, count(*) OVER (PARTITION BY target_id, type) AS d FROM edges) GROUP BY 1""",
+    "p4_typed_edges": "SELECT id, target_id, type, count(*) OVER (PARTITION BY target_id, type) AS in_degree FROM edges WHERE target_id IS NOT NULL AND type IS NOT NULL",
     "p7_found": _P7 + "SELECT DISTINCT src_table, ref_id, side FROM orphan",
     "p7_cascade": _P7 + _FALL + "SELECT node_id, depth, kind FROM fall",
     "p7_report": _P7
