@@ -11,11 +11,6 @@ import numpy as np
 LABELS = ("O", "B", "I")
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 class _Bucket:
     """Lines of about one length, padded to the longest."""
 
@@ -37,16 +32,21 @@ class _Bucket:
     def gradient(self, w: np.ndarray, tr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k, n, width, mask = len(LABELS), self.n, self.width, self.mask
         e = np.stack([np.bincount(self.token_of, w[self.feats, y], n * width) for y in range(k)], 1).reshape(n, width, k)
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
+        # forward and backward in probabilities, scaled at each step, so that nothing over- or underflows
+        psi = np.exp(e - e.max(2, keepdims=True))
+        step = np.exp(tr - tr.max())
+        scaled = lambda x: x / x.sum(-1, keepdims=True)
+        alpha, beta = np.empty_like(psi), np.ones_like(psi)
+        alpha[:, 0] = scaled(psi[:, 0])
         for t in range(1, width):
-            alpha[:, t] = np.where(mask[:, t, None], _log_sum(alpha[:, t - 1, :, None] + tr[None], 1) + e[:, t], alpha[:, t - 1])
+            alpha[:, t] = np.where(mask[:, t, None], scaled((alpha[:, t - 1] @ step) * psi[:, t]), alpha[:, t - 1])
         for t in range(width - 2, -1, -1):
-            beta[:, t] = np.where(mask[:, t + 1, None], _log_sum(tr[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2), beta[:, t + 1])
-        z = _log_sum(alpha[:, -1], 1)
-        p = np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * mask[..., None]
-        pair = alpha[:, :-1, :, None] + tr + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        expected = (np.exp(np.minimum(pair, 0)) * self.both[..., None, None]).sum((0, 1))
+            beta[:, t] = np.where(mask[:, t + 1, None], scaled((psi[:, t + 1] * beta[:, t + 1]) @ step.T), 1.0)
+        p = scaled(alpha * beta) * mask[..., None]
+        onward = psi[:, 1:] * beta[:, 1:]
+        whole = np.einsum("nti,ij,ntj->nt", alpha[:, :-1], step, onward)
+        part = np.where(self.both, 1 / whole, 0.0)
+        expected = step * np.einsum("nti,ntj->ij", alpha[:, :-1] * part[..., None], onward)
         diff = (self.one_hot - p.reshape(-1, k))[self.token_of]
         return np.stack([np.bincount(self.feats, diff[:, y], len(w)) for y in range(k)], 1), self.real - expected
 
@@ -60,8 +60,12 @@ def train(sequences: list[list[list[str]]], labels: list[list[int]], rounds: int
                 counts[f] = counts.get(f, 0) + 1
     ids = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= least))}
     order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-    step_size = max(1, len(order) // 8)
-    parts = [order[i : i + step_size] for i in range(0, len(order), step_size)]
+    parts: list[list[int]] = []
+    for i in order:  # lines of about one length, so that little is padding
+        if parts and (len(sequences[i]) <= len(sequences[parts[-1][0]]) * 1.25 or len(parts[-1]) < 50):
+            parts[-1].append(i)
+        else:
+            parts.append([i])
     buckets = [_Bucket([sequences[i] for i in part], [labels[i] for i in part], ids) for part in parts]
     total = sum(len(s) for s in sequences)
     k = len(LABELS)
