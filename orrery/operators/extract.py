@@ -248,6 +248,15 @@ def contains_edges(nodes: DataFrame) -> DataFrame:
     return inner.join(box, "file_path").select(F.array_max(around)["i"].alias("source_id"), "target_id").where("source_id is not null")
 
 
+def qualified_names(nodes: DataFrame) -> DataFrame:
+    """(id, qualified_name) of the methods and properties of a table of symbols that have a container: its and all outer names."""
+    box = nodes.where(F.col("type").isin(*_CONTAINERS)).groupBy("file_path").agg(F.collect_list(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), F.col("name").alias("c"), F.col("id").alias("i"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))).alias("boxes"))  # of one file
+    around = F.filter("boxes", lambda x: (x["s"] <= F.col("start_line")) & (F.col("end_line") <= x["e"]) & (x["i"] != F.col("id")))
+    outer = F.transform(F.sort_array(around, asc=False), lambda x: x["c"])
+    rows = nodes.where("type in ('method', 'property')").join(box, "file_path").withColumn("outer", outer).where(F.size("outer") > 0)
+    return rows.select("id", F.concat_ws(".", F.array_join("outer", "."), "name").alias("qualified_name"))
+
+
 def enclosing_scope(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """References of a table with `scope`: the smallest function, method or class around their line, else `file:` and the path."""
     scopes = nodes.where("type in ('function', 'method', 'class')").groupBy("file_path").agg(F.collect_list(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), F.col("start_line").alias("s"), F.col("id").alias("i"), F.col("end_line").alias("e"))).alias("scopes"))  # of one file

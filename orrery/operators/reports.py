@@ -64,6 +64,17 @@ def top_directories(nodes: DataFrame, n: int = 10) -> DataFrame:
     return symbols(nodes).groupBy(directory_of(F.col("file_path")).alias("directory")).agg(F.countDistinct("file_path").alias("n_files")).orderBy(F.desc("n_files"), "directory").limit(n)
 
 
+def structure(nodes: DataFrame, edges: DataFrame, prefix: str = "", n: int = 10, iterations: int = 20) -> DataFrame:
+    """(section, name, value): symbols per kind, the n directories with most files, the n symbols of greatest rank below a path."""
+    from orrery.operators.graph import pagerank
+
+    here = nodes.where(F.col("file_path").startswith(prefix))
+    by_kind = kinds(here).select(F.lit("kind").alias("section"), F.col("type").alias("name"), F.col("n").cast("double").alias("value"))
+    by_directory = top_directories(here, n).select(F.lit("directory"), "directory", F.col("n_files").cast("double"))
+    ranks = pagerank(edges, nodes, iterations).select("id", F.round("rank", 9).alias("rank")).join(here.select("id").distinct(), "id", "left_semi")
+    return by_kind.union(by_directory).union(ranks.orderBy(F.desc("rank"), "id").limit(n).select(F.lit("rank"), "id", "rank"))
+
+
 def export_map(nodes: DataFrame) -> DataFrame:
     """(file_path, names) of the exported symbols, by line."""
     s = symbols(nodes).where(F.coalesce("exported", F.lit(False)))

@@ -6,9 +6,11 @@ JSON columns and evaluation run over the whole tables and have real twins.
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.operators import evaluate, extract, reports, store
+from orrery.plans import graph_queries
 from orrery.sources import history, rows, tree
 from orrery.sources.tables import table
 
@@ -126,12 +128,47 @@ def _rounded(df):
     return df.select(df.columns[0], *[F.round(c, 6).alias(c) for c in df.columns[1:]])
 
 
+def structure(spark, folder):
+    return reports.structure(table(spark, folder, "nodes"), table(spark, folder, "edges"), "harbor-mono/", 10)
+
+
+def reference_scopes(spark, folder):
+    """The function, method or class around each unresolved reference."""
+    refs = table(spark, folder, "unresolved_refs").select("id", "file_path", F.col("line").alias("start_line")).distinct()
+    return extract.enclosing_scope(refs, reports.symbols(table(spark, folder, "nodes"))).select("id", "start_line", "scope")
+
+
+def qualified_names(spark, folder):
+    """Methods and properties with the names of the containers around them, outermost first."""
+    s = reports.symbols(table(spark, folder, "nodes"))
+    return extract.qualified_names(s)
+
+
+def _intervals(spark, folder):
+    """Events as symbols of a file per user: purchases and signups are classes over the next events, the others methods."""
+    e = table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type")
+    at = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    box = F.col("event_type").isin("purchase", "signup")
+    return e.withColumn("start_line", at).select(
+        F.col("event_id").cast("string").alias("id"), F.concat(F.lit("e"), F.col("event_id")).alias("name"), F.when(box, "class").otherwise("method").alias("type"),
+        F.concat(F.lit("u"), F.col("user_id")).alias("file_path"), "start_line", F.when(box, F.col("start_line") + 4).otherwise(F.col("start_line")).alias("end_line"),
+    )
+
+
+def interval_containers(spark, folder):
+    return extract.contains_edges(_intervals(spark, folder))
+
+
+def interval_names(spark, folder):
+    return extract.qualified_names(_intervals(spark, folder))
+
+
 def react_components(spark, folder):
     s = reports.symbols(table(spark, folder, "nodes"))
     return extract.react_components(s)
 
 
-_ALL = (extracted_symbols, extracted_references, parsed_log, parsed_blame, parsed_status, log_hotspots, log_contributors, frameworks, decoded_nodes, decoded_edges, not_exported, node_metadata, unresolved_refs_count, unresolved_cleared, eval_callers, eval_dead, eval_dependencies, react_components)
+_ALL = (extracted_symbols, extracted_references, parsed_log, parsed_blame, parsed_status, log_hotspots, log_contributors, frameworks, decoded_nodes, decoded_edges, not_exported, node_metadata, unresolved_refs_count, unresolved_cleared, eval_callers, eval_dead, eval_dependencies, structure, reference_scopes, qualified_names, interval_containers, interval_names, react_components)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _LINKS = "n AS (SELECT DISTINCT id, name FROM nodes), p AS (SELECT DISTINCT id, file_path FROM nodes)"
@@ -197,3 +234,25 @@ o AS (SELECT name, file_path, arg_min(id, (start_line, id)) AS own FROM s GROUP
 t AS (SELECT a.name, a.file_path AS f1, a.own AS one, b.own AS two FROM k a JOIN k b ON a.name = b.name AND a.r = 1 AND b.r = 2)
 SELECT s.id AS source_id, CASE WHEN s.file_path = t.f1 THEN t.two ELSE t.one END AS target_id, 'references' AS type FROM s JOIN t USING (name)""",
 }
+
+_SYMBOLS = "s AS (SELECT id, type, name, file_path, start_line, end_line FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, deleted_at DESC NULLS LAST) AS rn FROM nodes) WHERE rn = 1)"
+_BOXES = "('class', 'interface', 'struct', 'trait', 'enum')"
+ORACLES |= {
+    "structure": f"""WITH {_SYMBOLS}, h AS (SELECT * FROM s WHERE starts_with(file_path, 'harbor-mono/')), r AS ({graph_queries.ORACLES["pagerank_20"]})
+SELECT 'kind' AS section, type AS name, CAST(count(*) AS DOUBLE) AS value FROM h GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'directory', regexp_replace(file_path, '/?[^/]*$', '') AS d, CAST(count(DISTINCT file_path) AS DOUBLE) AS n FROM h GROUP BY 2 ORDER BY n DESC, d LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'rank', id, rank FROM r WHERE id IN (SELECT id FROM nodes WHERE starts_with(file_path, 'harbor-mono/')) ORDER BY rank DESC, id LIMIT 10)""",
+    "reference_scopes": f"""WITH {_SYMBOLS}, q AS (SELECT DISTINCT id, file_path, line FROM unresolved_refs),
+m AS (SELECT q.id, q.file_path, q.line, s.id AS scope, row_number() OVER (PARTITION BY q.id, q.file_path, q.line ORDER BY s.end_line - s.start_line, s.start_line, s.id) AS r
+  FROM q LEFT JOIN s ON s.file_path = q.file_path AND s.type IN ('function', 'method', 'class') AND s.start_line <= q.line AND q.line <= s.end_line)
+SELECT id, line AS start_line, coalesce(scope, 'file:' || file_path) AS scope FROM m WHERE r = 1""",
+    "qualified_names": f"""WITH {_SYMBOLS} SELECT m.id, string_agg(c.name, '.' ORDER BY c.end_line - c.start_line DESC, c.name DESC) || '.' || any_value(m.name) AS qualified_name
+FROM s m JOIN s c ON c.file_path = m.file_path AND c.type IN {_BOXES} AND c.start_line <= m.start_line AND m.end_line <= c.end_line AND c.id <> m.id WHERE m.type IN ('method', 'property') GROUP BY 1""",
+}
+
+_INTERVALS = """i AS (SELECT CAST(event_id AS VARCHAR) AS id, 'e' || event_id AS name, event_type IN ('purchase', 'signup') AS box, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events),
+j AS (SELECT *, CASE WHEN box THEN s + 4 ELSE s END AS e FROM i), p AS (SELECT m.id, m.name, c.id AS cid, c.name AS cname, c.s, c.e FROM j m JOIN j c ON c.user_id = m.user_id AND c.box AND NOT m.box AND c.s <= m.s AND m.e <= c.e)"""
+ORACLES |= {
+    "interval_containers": f"WITH {_INTERVALS} SELECT arg_max(cid, (s, cid)) AS source_id, id AS target_id FROM p GROUP BY id",
+    "interval_names": f"WITH {_INTERVALS} SELECT id, string_agg(cname, '.' ORDER BY e - s DESC, cname DESC) || '.' || any_value(name) AS qualified_name FROM p GROUP BY id",
+}
