@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.session import written
+
 
 @dataclass
 class ShardPlan:
@@ -96,10 +98,7 @@ def count_and_distinct(df: DataFrame, keys: list[str], source: str, tasks: int |
     """
     tasks = tasks or tasks_of(df)
     pairs = df.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("__n"))
-    spark = df.sparkSession
-    from orrery.session import cut
-
-    pairs = cut(pairs)  # read twice: for the load and for the result
+    pairs = written(pairs)  # read twice: for the load and for the result
     plan = plan_shards(estimate_load(pairs, keys), keys, tasks)
     placed = assign_tasks(pairs, keys, plan, F.col(source)).repartitionById(tasks, F.col("__task"))
     # each task holds whole shards: the partial sums leave it as one row per key and shard
