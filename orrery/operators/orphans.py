@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.paths import canonical_path, directory, resolve_dots
-from orrery.session import cut
+from orrery.session import cut, written
 
 # What may be added to a specifier to give a file.
 SUFFIXES = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", ".py", ".rs", ".go", ".java"]
@@ -113,7 +113,7 @@ def cascade(edges: DataFrame, lost: DataFrame, child_types: tuple[str, ...] = ("
     `direct`; orphans without children only where another's children hold them.
     """
     links = edges.where(F.col("type").isin(*child_types) & F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
-    pairs = cut(links.select("source_id", "target_id").distinct())
+    pairs = written(links.select("source_id", "target_id").distinct())
     parents = pairs.select(F.col("source_id").alias("ref"))
     found = frontier = cut(lost.join(parents, "ref", "left_semi").select(F.col("ref").alias("node_id"), F.lit(0).alias("depth")))
     for depth in itertools.count(1):
@@ -134,8 +134,8 @@ class OrphanReferences:
 
     def __init__(self, edges: DataFrame, unresolved: DataFrame, nodes: DataFrame, hashes: DataFrame, child_types: tuple[str, ...] = ("contains",)):
         self.edges, self.unresolved = edges, unresolved
-        self.direct = cut(direct_orphans(edges, unresolved, nodes, hashes))
-        self.lost = cut(orphan_records(edges, self.direct))
+        self.direct = written(direct_orphans(edges, unresolved, nodes, hashes))
+        self.lost = written(orphan_records(edges, self.direct))
         self.records = cascade(edges, self.lost, child_types)
 
     def references(self) -> DataFrame:
