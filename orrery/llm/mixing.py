@@ -1,7 +1,8 @@
 """Mixing sources to target weights (problem 9): iterative proportional fitting, then calibrated sampling.
 
-1. Topics are the clusters of a spherical k-means over hashed words, fitted on at most TOPIC_ROWS documents (those with the
-   least hash of their id); every document gets its nearest one. Languages are taken as they come.
+1. Topics are the clusters of a spherical k-means over hashed words, fitted on all documents; every document gets its nearest
+   one. Words are counted once, with the tokens; each step of the fit is then one pass over these counts, which gives at most
+   TOPICS x DIMENSIONS sums. Languages are taken as they come.
 2. Documents of a source with a target are grouped into cells (source, language, topic). Token weights of the cells are
    raked to three marginals: the target shares of the sources, and the shares that languages and topics have by themselves.
    The caps are part of the raking: in each step a group is scaled such that it meets its goal with no weight above
@@ -26,7 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,10 +37,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm.tokens import TOKENIZERS, encoder
-from orrery.session import cut
+from orrery.session import cut, written
 
 ROUNDS, PRECISION = 300, 1e-9
-TOPICS, TOPIC_ROWS, TOPIC_ROUNDS, DIMENSIONS = 8, 20_000, 20, 2048
+TOPICS, TOPIC_ROUNDS, DIMENSIONS = 8, 20, 2048
+BLOCK = 1000  # documents that are laid out as one matrix
+WHOLE = float(1 << 32)  # weights are summed in whole parts of this size, so sums don't depend on the order
 MOST_LANGUAGES, PARTS = 200, 32
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
@@ -61,63 +64,168 @@ def word_counts(text: str) -> dict[int, int]:
     return out
 
 
+def packed(found: list[dict[int, int]]) -> tuple[list[bytes], list[bytes]]:
+    """The dimensions and the counts of each document as bytes."""
+    return [np.fromiter(x, np.uint16, len(x)).tobytes() for x in found], [np.fromiter(x.values(), np.uint32, len(x)).tobytes() for x in found]
+
+
+class Block:
+    """The words of some documents as one sparse matrix: the dimension and log count of each, document after document."""
+
+    def __init__(self, ids: np.ndarray, words: np.ndarray, dims: np.ndarray, counts: np.ndarray):
+        """ids and how many words each document has; dims (uint16) and counts (uint32) of all these words."""
+        self.ids, self.words, self.dims, self.counts = ids, words, dims, counts
+        self.ends = np.cumsum(words)
+        self.some = np.flatnonzero(words)
+        self.starts = (self.ends - words)[self.some]
+        self.cols = dims.astype(np.int64)
+        self.logs = 1 + np.log(counts.astype(float))
+
+    @classmethod
+    def of(cls, ids: list[int], dims: list[bytes], counts: list[bytes]) -> Block:
+        return cls(np.array(ids, np.int64), np.array([len(x) // 2 for x in dims], np.int64), np.frombuffer(b"".join(dims), np.uint16), np.frombuffer(b"".join(counts), np.uint32))
+
+    def sums(self, vals: np.ndarray) -> np.ndarray:
+        """The sum of what the words of each document have."""
+        out = np.zeros(len(self.ids))
+        if len(self.some):
+            out[self.some] = np.add.reduceat(vals, self.starts)
+        return out
+
+    def unit(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the words, such that each row has length 1, and which rows have any."""
+        vals = self.logs * idf.take(self.cols)
+        size = np.sqrt(self.sums(vals * vals))
+        return vals / np.repeat(np.where(size > 0, size, 1), self.words), size > 0
+
+    def row(self, i: int) -> tuple[bytes, bytes]:
+        at = slice(self.ends[i] - self.words[i], self.ends[i])
+        return self.dims[at].tobytes(), self.counts[at].tobytes()
+
+    def seen(self) -> np.ndarray:
+        """How many documents have a word of each dimension, and how many there are."""
+        return np.append(np.bincount(self.cols, minlength=DIMENSIONS), len(self.ids))
+
+
+def draws(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A number between 0 and 1 for each id, the same wherever the document stands (splitmix64)."""
+    x = ids.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53 + 2.0**-54
+
+
 class TopicModel:
-    """Unit centroids over words weighed by log count and inverse document frequency."""
-
-    def __init__(self, sample: list[dict[int, int]], k: int = TOPICS, seed: int = 7):
-        n = len(sample)
-        rows = np.repeat(np.arange(n), [len(x) for x in sample]) if n else np.zeros(0, int)
-        cols = np.array([d for x in sample for d in x], int)
-        vals = 1 + np.log(np.array([c for x in sample for c in x.values()], float))
-        self.idf = np.log((1 + n) / (1 + np.bincount(cols, minlength=DIMENSIONS)))
-        vals = vals * self.idf[cols]
-        size = np.sqrt(np.bincount(rows, vals**2, n))
-        vals = vals / np.where(size > 0, size, 1)[rows]
-        r = np.random.default_rng(seed)
-        filled = np.flatnonzero(size > 0)
+    """Unit centroids over words weighed by log count and inverse document frequency.
+
+    `fit` sees the documents through two functions only: total(f, size) adds up the whole numbers that f gives for each block,
+    and least(f) is the least row that f gives for any block.
+    """
+
+    def __init__(self, documents: list[dict[int, int]], k: int = TOPICS, seed: int = 7):
+        block = Block.of(list(range(len(documents))), *packed(documents))
+        self.fit(lambda f, size: f(block).astype(float), lambda f: min(f(block), default=None), k, seed)
+
+    def fit(self, total: Callable, least: Callable, k: int, seed: int) -> TopicModel:
+        *with_word, n = total(Block.seen, DIMENSIONS + 1)
+        self.idf = np.log((1 + n) / (1 + np.array(with_word)))
         self.centroids = np.zeros((0, DIMENSIONS))
-        if not len(filled):
-            return
-        dense = lambda i: np.bincount(cols[rows == i], vals[rows == i], DIMENSIONS)
-        product = lambda c: np.stack([np.bincount(rows, vals * x[cols], n) for x in c], 1)
-        first = [dense(r.choice(filled))]
-        far = 1 - product(first)[:, 0]
-        while len(first) < min(k, len(filled)):  # each next one far from those before
-            p = np.where(size > 0, np.maximum(far, 0) ** 2, 0)
-            if p.sum() <= 1e-12:
+        for step in range(k):  # each next one far from those before
+            found = least(lambda b: self.race(b, seed * k + step))
+            if found is None:
                 break
-            first.append(dense(r.choice(n, p=p / p.sum())))
-            far = np.minimum(far, 1 - product(first[-1:])[:, 0])
-        c = np.stack(first)
-        for _ in range(TOPIC_ROUNDS):
-            own = product(c).argmax(1)
-            new = np.stack([np.bincount(cols[own[rows] == j], vals[own[rows] == j], DIMENSIONS) for j in range(len(c))])
+            one = Block.of([found[1]], [found[2]], [found[3]])
+            self.centroids = np.vstack([self.centroids, np.bincount(one.cols, one.unit(self.idf)[0], DIMENSIONS)])
+        for _ in range(TOPIC_ROUNDS if len(self.centroids) else 0):
+            c = self.centroids
+            new = total(self.sums, c.size).reshape(c.shape) / WHOLE
             length = np.sqrt((new**2).sum(1, keepdims=True))
             new = np.where(length > 0, new / np.where(length > 0, length, 1), c)
             if np.abs(new - c).max() < 1e-6:
                 break
-            c = new
-        self.centroids = c
+            self.centroids = new
+        return self
+
+    def product(self, block: Block, vals: np.ndarray) -> np.ndarray:
+        return np.stack([block.sums(x.take(block.cols) * vals) for x in self.centroids], 1)
+
+    def race(self, block: Block, seed: int) -> list[tuple[float, int, bytes, bytes]]:
+        """The winner of a block, if any: (time, id, dimensions, counts). Times are exponential with the squared cosine distance from
+        the nearest centroid as their rate, so the least one of all is a document drawn in proportion to that."""
+        vals, filled = block.unit(self.idf)
+        far = 1 - self.product(block, vals).max(1) if len(self.centroids) else np.ones(len(block.ids))
+        rate = np.where(filled, np.maximum(far, 0) ** 2, 0)
+        can = np.flatnonzero(rate > 1e-12)
+        if not len(can):
+            return []
+        time = -np.log(draws(block.ids[can], seed)) / rate[can]
+        i = np.lexsort((block.ids[can], time))[0]
+        return [(float(time[i]), int(block.ids[can[i]]), *block.row(can[i]))]
+
+    def sums(self, block: Block) -> np.ndarray:
+        """Sums of the weights of the documents nearest to each centroid."""
+        vals, _ = block.unit(self.idf)
+        own = self.product(block, vals).argmax(1)
+        return np.bincount(np.repeat(own * DIMENSIONS, block.words) + block.cols, np.rint(vals * WHOLE), self.centroids.size).astype(np.int64)
+
+    def topics(self, block: Block) -> list[str]:
+        if not len(self.centroids):
+            return ["none"] * len(block.ids)
+        own = self.product(block, block.unit(self.idf)[0]).argmax(1)
+        return [f"topic{j}" if n else "none" for j, n in zip(own.tolist(), block.words)]
 
     def of(self, counts: dict[int, int]) -> str:
-        if not counts or not len(self.centroids):
-            return "none"
-        d = np.fromiter(counts, int)
-        x = (1 + np.log(np.fromiter(counts.values(), float))) * self.idf[d]
-        return f"topic{int((self.centroids[:, d] @ x).argmax())}"
+        return self.topics(Block.of([0], *packed([counts])))[0]
 
 
-def fit_topics(documents: DataFrame, rows: int = TOPIC_ROWS) -> TopicModel:
-    """Topics of at most `rows` documents with text, those with the least hash of their id."""
-    chosen = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that a column of bytes without nulls holds, and where those of each row begin, with the end."""
+    _, offsets, data = column.buffers()
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].astype(np.int64) // np.dtype(kind).itemsize
+    return np.frombuffer(data or b"", kind, at[-1])[at[0] :], at - at[0]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [word_counts(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["doc_id", "d", "n"])
 
-    counted = chosen.mapInArrow(count, "doc_id long, d array<int>, n array<int>").collect()  # at most `rows` x DIMENSIONS
-    return TopicModel([dict(zip(r.d, r.n)) for r in sorted(counted, key=lambda r: r.doc_id)])
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        (dims, at), (counts, _) = flat(batch.column("dims"), np.uint16), flat(batch.column("counts"), np.uint32)
+        for i in range(0, batch.num_rows, BLOCK):
+            here = at[i : i + BLOCK + 1]
+            words = slice(here[0], here[-1])
+            yield Block(ids[i : i + BLOCK], np.diff(here), dims[words], counts[words])
+
+
+def fit_topics(words: DataFrame, k: int = TOPICS, seed: int = 7) -> TopicModel:
+    """Topics of all documents: (doc_id, dims, counts), each doc_id once. It is read once for each step, so it should be a table."""
+    words = words.select("doc_id", "dims", "counts")
+
+    def total(f: Callable, size: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(size, np.int64)
+            for block in blocks(batches):
+                sums += f(block)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["place", "n"])
+
+        each = F.sum(F.col("n").cast("decimal(20,0)")).cast("double").alias("n")
+        got = words.mapInArrow(run, "place long, n long").groupBy("place").agg(each).toArrow()  # at most `size` rows
+        out = np.zeros(size)
+        out[got["place"].to_numpy()] = got["n"].to_numpy()
+        return out
+
+    def least(f: Callable) -> tuple[float, int, bytes, bytes] | None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = min((x for block in blocks(batches) for x in f(block)), default=None)
+            cols = list(zip(best)) if best else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.float64(), pa.int64(), pa.binary(), pa.binary()))], ["time", "doc_id", "dims", "counts"])
+
+        row = words.mapInArrow(run, "time double, doc_id long, dims binary, counts binary").agg(F.min(F.struct("time", "doc_id", "dims", "counts")).alias("x")).first().x
+        return row and (row.time, row.doc_id, bytes(row.dims), bytes(row.counts))
+
+    return TopicModel.__new__(TopicModel).fit(total, least, k, seed)
 
 
 def prepared(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -125,18 +233,26 @@ def prepared(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS,
     lang = F.coalesce(F.lower(F.trim("lang")), F.lit("und"))
     wanted = F.broadcast(targets.where("target_share > 0").select(F.lower(F.trim("source")).alias("source")).distinct())  # the sources with a target
     rows = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", F.lower(F.trim("source")).alias("source"), lang.alias("lang"), "text").join(wanted, "source", "left_semi")
-    shared = documents.sparkSession.sparkContext.broadcast(fit_topics(rows))  # TOPICS x DIMENSIONS numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, model = encoder(folder, name), shared.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(folder, name)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             tokens = pa.array([len(enc.encode_ordinary(t)) for t in texts], pa.int64())
-            topics = pa.array([model.of(word_counts(t)) for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), topics, tokens], ["doc_id", "source", "lang", "topic", "tokens"])
+            words = [pa.array(x, pa.binary()) for x in packed([word_counts(t) for t in texts])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), tokens, *words], ["doc_id", "source", "lang", "tokens", "dims", "counts"])
+
+    counted = written(rows.select("doc_id", "source", "lang", "text").mapInArrow(count, "doc_id long, source string, lang string, tokens long, dims binary, counts binary").dropDuplicates(["doc_id"]))
+    shared = documents.sparkSession.sparkContext.broadcast(fit_topics(counted))  # TOPICS x DIMENSIONS numbers
+
+    def name_topics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            topics = pa.array([t for block in blocks(iter([batch])) for t in model.topics(block)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), topics, batch.column("tokens")], ["doc_id", "source", "lang", "topic", "tokens"])
 
-    found = cut(rows.select("doc_id", "source", "lang", "text").mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long").dropDuplicates(["doc_id"]))
-    large = found.groupBy("lang").agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), "lang").limit(MOST_LANGUAGES).select("lang", F.lit(True).alias("kept"))
+    found = counted.mapInArrow(name_topics, "doc_id long, source string, lang string, topic string, tokens long")
+    large = counted.groupBy("lang").agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), "lang").limit(MOST_LANGUAGES).select("lang", F.lit(True).alias("kept"))
     return found.join(F.broadcast(large), "lang", "left").select("doc_id", "source", F.when(F.col("kept"), F.col("lang")).otherwise("other").alias("lang"), "topic", "tokens")
 
 

@@ -284,6 +284,28 @@ def test_topics_and_systematic_sampling(spark):
     assert abs(sum(x.copies for x in got if x.source == "s") - 740) <= 1 and abs(sum(x.copies for x in got if x.source == "t") - 2500) <= 1
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    import numpy as np
+
+    r = random.Random(12)
+    common, late = ["memory cache latency slow".split(), "token parser grammar syntax".split()], "garden flower meadow orchard".split()
+    order = [x.id for x in spark.range(20_300).orderBy(F.xxhash64("id"), "id").collect()]
+    theme = {i: common[i % 2] if n < 20_000 else late for n, i in enumerate(order)}  # the last ones in order of hash have words of their own
+    docs = spark.createDataFrame([(i, " ".join(r.choices(t, k=9)), "en", "wiki") for i, t in theme.items()], "doc_id long, text string, lang string, source string")
+    got = mixing.prepared(docs, spark.createDataFrame([("wiki", 1.0, 1)], "source string, target_share double, max_repeats int")).select("doc_id", "topic").collect()
+    topics = lambda own: {x.topic for x in got if (theme[x.doc_id] is late) == own}
+    assert len(got) == 20_300 and topics(True) and not topics(True) & topics(False)
+    # in tables of any layout the fit gives what it gives in memory, and the frequencies are those of all documents
+    words = [mixing.word_counts(" ".join(r.choices(r.choice([*common, late]) + ["the", "a"], k=r.randint(0, 12)))) for _ in range(3000)]
+    rows = spark.createDataFrame([(i, *map(bytearray, x)) for i, x in enumerate(zip(*mixing.packed(words)))], "doc_id long, dims binary, counts binary")
+    whole = mixing.TopicModel(words)
+    assert whole.idf.tolist() == np.log((1 + len(words)) / (1 + np.array([sum(d in x for x in words) for d in range(mixing.DIMENSIONS)]))).tolist() and len(whole.centroids) == mixing.TOPICS
+    for table in (rows.coalesce(1), rows.repartition(7, F.rand(3))):
+        model = mixing.fit_topics(table)
+        assert np.array_equal(model.idf, whole.idf) and np.array_equal(model.centroids, whole.centroids)
+    assert len(mixing.fit_topics(rows.limit(0)).centroids) == 0
+
+
 def test_spelling():
     s = lambda t: [" ".join(x) for x in spelling.sentences(t)]
     assert s("You l​o​s​e​r!") == ["you loser"] and s("u.g.l.y p a r a s i t e") == ["ugly parasite"]
